@@ -26,5 +26,23 @@ def op7_packing(spark, sf_dir):
     return packing.pack(common.read(spark, sf_dir, "documents"), tokens)
 
 
-QUERIES = {"op10_byte_bpe": op10_byte_bpe, "op7_packing": op7_packing}
+def op4_fingerprints(spark, sf_dir):
+    from . import fingerprints
+
+    return fingerprints.compare_with_edits(common.read(spark, sf_dir, "documents"))
+
+
+def op8_kneser_ney(spark, sf_dir):
+    from . import kneser_ney
+
+    docs = common.read(spark, sf_dir, "documents")
+    return kneser_ney.score(docs, F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1)
+
+
+QUERIES = {
+    "op10_byte_bpe": op10_byte_bpe,
+    "op7_packing": op7_packing,
+    "op4_fingerprints": op4_fingerprints,
+    "op8_kneser_ney": op8_kneser_ney,
+}
 ORACLES: dict[str, str] = {}
