@@ -39,7 +39,14 @@ def op8_kneser_ney(spark, sf_dir):
     return kneser_ney.score(docs, F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1)
 
 
+def op2_toxicity(spark, sf_dir):
+    from . import toxicity
+
+    return toxicity.score(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
     "op7_packing": op7_packing,
     "op4_fingerprints": op4_fingerprints,
