@@ -45,7 +45,21 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
 
 
+def op5_embedding_dedup(spark, sf_dir):
+    from . import embedding_dedup
+
+    return embedding_dedup.dedup(common.read(spark, sf_dir, "embeddings"))
+
+
+def op6_minhash_dedup(spark, sf_dir):
+    from . import minhash_dedup
+
+    return minhash_dedup.dedup(common.read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op2_toxicity": op2_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
     "op7_packing": op7_packing,
