@@ -57,7 +57,14 @@ def op6_minhash_dedup(spark, sf_dir):
     return minhash_dedup.dedup(common.read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    from . import suffix_dedup
+
+    return suffix_dedup.dedup(common.read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op2_toxicity": op2_toxicity,
