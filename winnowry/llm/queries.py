@@ -63,7 +63,14 @@ def op3_suffix_dedup(spark, sf_dir):
     return suffix_dedup.dedup(common.read(spark, sf_dir, "documents"))
 
 
+def op1_html_text(spark, sf_dir):
+    from . import html_text
+
+    return html_text.extract(common.read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
