@@ -69,7 +69,14 @@ def op1_html_text(spark, sf_dir):
     return html_text.extract(common.read(spark, sf_dir, "pages"))
 
 
+def op9_chain_dedup(spark, sf_dir):
+    from . import chain_dedup
+
+    return chain_dedup.dedup(common.read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op9_chain_dedup": op9_chain_dedup,
     "op1_html_text": op1_html_text,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -244,3 +245,20 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels, fold())
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), fold().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(scorer(model, uuid.uuid4().hex), RESULT)
+
+
+def clean(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows, with all their columns, whose text the model doesn't call toxic."""
+    import uuid
+
+    mark, at = uuid.uuid4().hex, docs.columns.index("text")
+    score_of = scorer(model, mark)
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            n = len(batch)
+            given = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([False] * n), batch.column(at)], ["doc_id", "held_out", "text"])
+            (scored,) = score_of(iter([given]))
+            yield batch.filter(pa.compute.equal(scored.column("predicted"), 0))
+
+    return docs.mapInArrow(batches, docs.schema)
