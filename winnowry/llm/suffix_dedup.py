@@ -62,16 +62,18 @@ def seed_maker(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(ats))], ["seed", "doc_id", "at"])
 
 
-HEAD = np.dtype([("doc", "<i8"), ("start", "<i4"), ("size", "<i4")])
+HEAD = np.dtype([("doc", "<i8"), ("start", "<i4"), ("size", "<i4"), ("part", "<u2")])
+#: Bytes of blocks sorted in one collection, unless one seed has more.
+COLLECTION = 150_000
 
 
 def block_maker(buckets: int, flush: int = 24_000_000):
     """Blocks around repeated seeds, packed by bucket; (doc_id, start, end) where a task already has the block from earlier."""
 
-    def out(held: dict[int, dict[bytes, tuple[int, int]]], spans):
+    def out(held: dict[int, dict[bytes, tuple[int, int, int]]], spans):
         rows = []
         for k, blocks in held.items():
-            head = np.array([(d, s, len(b)) for b, (d, s) in blocks.items()], HEAD)
+            head = np.array([(d, s, len(b), part) for b, (d, s, part) in blocks.items()], HEAD)
             body = b"".join(blocks)
             rows.append((k, zstandard.compress(np.int64(len(head)).tobytes() + head.tobytes() + body, 3)))
         n = len(rows)
@@ -89,7 +91,7 @@ def block_maker(buckets: int, flush: int = 24_000_000):
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
-        held: dict[int, dict[bytes, tuple[int, int]]] = {}
+        held: dict[int, dict[bytes, tuple[int, int, int]]] = {}
         spans, size = [], 0
         for batch in stream:
             for d, text, ats in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist(), batch.column("ats").to_pylist(), strict=True):
@@ -101,7 +103,7 @@ def block_maker(buckets: int, flush: int = 24_000_000):
                     a, b = max(0, at - WINDOW + 1), min(n, at + 1)
                     mine = np.flatnonzero(low[a:b] == value)  # the windows of which this is the least gram
                     a, b = a + int(mine[0]), a + int(mine[-1]) + SIZE
-                    block, key = text[a:b], (d, a)
+                    block, key = text[a:b], (d, a, int(value >> np.uint64(48)))
                     bucket = held.setdefault(int(value % np.uint64(buckets)), {})
                     known = bucket.get(block)
                     if known is None:
@@ -122,27 +124,43 @@ def block_maker(buckets: int, flush: int = 24_000_000):
 
 
 class Column:
-    """A file of bytes that each round reads and rewrites in order, piece by piece."""
+    """(symbol, common prefix) rows in two files by turns: each round reads one in order and writes the other, piece by piece."""
 
     PIECE = 1 << 22
 
     def __init__(self, path: str, first: np.ndarray):
-        self.path, self.size = path, len(first)
-        first.tofile(path)
+        self.paths = [path + "0", path + "1"]
+        self.files = [open(x, "w+b", buffering=0) for x in self.paths]
+        self.size = len(first)
+        self.files[0].write(first.tobytes())
 
     def read(self) -> np.ndarray:
-        return np.fromfile(self.path, np.uint8)
-
-    def write(self, old: np.ndarray, at: np.ndarray, new: np.ndarray) -> None:
-        """Writes old with new put in before positions at (sorted, in terms of old)."""
-        part = self.path + "+"
-        with open(part, "wb") as f:
-            for a in range(0, max(len(old), 1), self.PIECE):
-                b = min(a + self.PIECE, len(old))
-                x, y = np.searchsorted(at, [a, b + (b == len(old))])
-                np.insert(old[a:b], at[x:y] - a, new[x:y]).tofile(f)
-        os.replace(part, self.path)
-        self.size = len(old) + len(new)
+        self.files[0].seek(0)
+        return np.fromfile(self.files[0], np.uint8, 2 * self.size).reshape(-1, 2)
+
+    def close(self) -> None:
+        for f, path in zip(self.files, self.paths, strict=True):
+            f.close()
+            os.remove(path)
+
+    def write(self, old: np.ndarray, place: np.ndarray, new: np.ndarray) -> None:
+        """Writes old with new put in so that it stands at place (sorted)."""
+        total = len(old) + len(new)
+        old, new = old.view(np.uint16).ravel(), new.view(np.uint16).ravel()
+        self.files.reverse()
+        self.files[0].seek(0)
+        self.size, taken = total, 0
+        for a in range(0, total, self.PIECE):
+            b = min(a + self.PIECE, total)
+            x, y = np.searchsorted(place, [a, b])
+            out = np.empty(b - a, np.uint16)
+            free = np.ones(b - a, bool)
+            free[place[x:y] - a] = False
+            out[place[x:y] - a] = new[x:y]
+            n = b - a - (y - x)
+            out[free] = old[taken : taken + n]
+            taken += n
+            self.files[0].write(out.tobytes())
 
 
 def transform(text: np.ndarray, ends: np.ndarray, sizes: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
@@ -153,46 +171,46 @@ def transform(text: np.ndarray, ends: np.ndarray, sizes: np.ndarray, folder: str
     n = len(ends)
     coded = text + np.uint8(1)
     os.makedirs(folder, exist_ok=True)
-    bwt = Column(f"{folder}/bwt", coded[ends - 1])
-    lcp = Column(f"{folder}/lcp", np.zeros(n, np.uint8))
+    file = Column(f"{folder}/rows", np.stack([coded[ends - 1], np.zeros(n, np.uint8)], 1))
     active = np.arange(n)
     place = np.arange(n)
     for j in range(1, int(sizes.max()) + 1):
         keep = sizes[active] >= j
         active, place = active[keep], place[keep]
-        b, p = bwt.read(), lcp.read()
-        order = np.argsort(b, kind="stable")
-        rank = np.empty(len(b), np.int64)
-        rank[order] = np.arange(len(b))
-        ended = int(np.count_nonzero(b == 0))
-        mine = rank[place]
+        rows = file.read()
+        b, p = np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 1])
+        order = np.argsort(b, kind="stable")  # rows by symbol: where the next round's suffixes stand
+        first = np.concatenate([[0], np.cumsum(np.bincount(b, minlength=256))])
         symbol = b[place]
+        by = np.argsort(symbol, kind="stable")  # place rises, so this is the order of the new suffixes
+        active, place, symbol = active[by], place[by], symbol[by]
+        mine = np.empty(len(place), np.int64)
+        cut = np.flatnonzero(symbol[1:] != symbol[:-1]) + 1
+        for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(place)], strict=True):
+            if x < y:
+                c = int(symbol[x])
+                mine[x:y] = first[c] + np.searchsorted(order[first[c] : first[c + 1]], place[x:y])
         # common prefix with the neighbour above: one more than the least between the two rows that these suffixes continue
         before = order[np.maximum(mine - 1, 0)]
         up = (mine > 0) & (b[before] == symbol)
-        above = np.zeros(len(place), np.uint8)
-        above[up] = least(p, before[up] + 1, place[up] + 1) + 1
+        pair = np.zeros((len(place), 2), np.uint8)
+        pair[up, 1] = least(p, before[up] + 1, place[up] + 1) + 1
         after = order[np.minimum(mine + 1, len(b) - 1)]
         down = (mine + 1 < len(b)) & (b[after] == symbol)
         below = np.zeros(len(place), np.uint8)
         below[down] = least(p, place[down] + 1, after[down] + 1) + 1
-        target = n + mine - ended
-        by = np.argsort(target)
-        active, place, above, below = active[by], target[by], above[by], below[by]
-        at = place - np.arange(len(place))  # where they go among the old rows
-        follows = at < len(p)
+        place = n + mine - first[1]
+        at = place - np.arange(len(place))  # the old row they go before
         last = np.ones(len(at), bool)
-        last[:-1] = place[1:] != place[:-1] + 1  # rows put in side by side: only the last has an old row below
-        fix = follows & last
-        p[at[fix]] = below[fix]
+        last[:-1] = place[1:] != place[:-1] + 1  # of rows put in side by side only the last has an old row below
+        fix = (at < len(p)) & last
+        rows[at[fix], 1] = below[fix]
         left = ends[active] - j - 1
-        symbols = np.where(sizes[active] > j, coded[np.maximum(left, 0)], 0).astype(np.uint8)
-        bwt.write(b, at, symbols)
-        lcp.write(p, at, above)
-    out = bwt.read(), lcp.read()
-    for c in (bwt, lcp):
-        os.remove(c.path)
-    return out
+        pair[:, 0] = np.where(sizes[active] > j, coded[np.maximum(left, 0)], 0)
+        file.write(rows, place, pair)
+    out = file.read()
+    file.close()
+    return np.ascontiguousarray(out[:, 0]), np.ascontiguousarray(out[:, 1])
 
 
 def least(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -259,22 +277,31 @@ def bucket_worker(folder: str):
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["doc_id", "start", "end"])
 
     def work(blobs: list[bytes], place: str) -> list[tuple[int, int, int]]:
-        first: dict[bytes, tuple[int, int]] = {}
-        spans = []
+        parts: dict[int, dict[bytes, tuple[int, int]]] = {}
+        spans, total = [], 0
         for blob in blobs:
             raw = zstandard.decompress(blob)
             n = int(np.frombuffer(raw, np.int64, 1)[0])
             head = np.frombuffer(raw, HEAD, n, 8)
             at = 8 + n * HEAD.itemsize
-            for d, s, size in head.tolist():
+            for d, s, size, part in head.tolist():
                 block = raw[at : at + size]
                 at += size
+                total += size
+                first = parts.setdefault(part, {})
                 known = first.setdefault(block, (d, s))
                 if known != (d, s):
                     first[block], later = min(known, (d, s)), max(known, (d, s))
                     spans.append((later[0], later[1], later[1] + size))
-        doc, start = (np.array(x, np.int64) for x in zip(*first.values(), strict=True))
-        return spans + repeats(list(first), doc, start, place)
+        number = -(-total // COLLECTION)
+        groups: dict[int, dict[bytes, tuple[int, int]]] = {}
+        for part, first in parts.items():
+            groups.setdefault(part % number, {}).update(first)
+        for first in groups.values():
+            if first:
+                doc, start = (np.array(x, np.int64) for x in zip(*first.values(), strict=True))
+                spans += repeats(list(first), doc, start, place)
+        return spans
 
     return batches
 
