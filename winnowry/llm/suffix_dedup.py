@@ -62,7 +62,7 @@ def seed_maker(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(ats))], ["seed", "doc_id", "at"])
 
 
-HEAD = np.dtype([("doc", "<i8"), ("start", "<i4"), ("size", "<i4"), ("part", "<u2")])
+HEAD = np.dtype([("doc", "<i8"), ("start", "<i4"), ("size", "<i4"), ("seed", "<u8"), ("twice", "u1")])
 #: Bytes of blocks sorted in one collection, unless one seed has more.
 COLLECTION = 150_000
 
@@ -70,10 +70,10 @@ COLLECTION = 150_000
 def block_maker(buckets: int, flush: int = 24_000_000):
     """Blocks around repeated seeds, packed by bucket; (doc_id, start, end) where a task already has the block from earlier."""
 
-    def out(held: dict[int, dict[bytes, tuple[int, int, int]]], spans):
+    def out(held: dict[int, dict[bytes, tuple[int, int, int, bool]]], spans):
         rows = []
         for k, blocks in held.items():
-            head = np.array([(d, s, len(b), part) for b, (d, s, part) in blocks.items()], HEAD)
+            head = np.array([(d, s, len(b), seed, twice) for b, (d, s, seed, twice) in blocks.items()], HEAD)
             body = b"".join(blocks)
             rows.append((k, zstandard.compress(np.int64(len(head)).tobytes() + head.tobytes() + body, 3)))
         n = len(rows)
@@ -91,7 +91,7 @@ def block_maker(buckets: int, flush: int = 24_000_000):
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
-        held: dict[int, dict[bytes, tuple[int, int, int]]] = {}
+        held: dict[int, dict[bytes, tuple[int, int, int, bool]]] = {}
         spans, size = [], 0
         for batch in stream:
             for d, text, ats in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist(), batch.column("ats").to_pylist(), strict=True):
@@ -103,7 +103,7 @@ def block_maker(buckets: int, flush: int = 24_000_000):
                     a, b = max(0, at - WINDOW + 1), min(n, at + 1)
                     mine = np.flatnonzero(low[a:b] == value)  # the windows of which this is the least gram
                     a, b = a + int(mine[0]), a + int(mine[-1]) + SIZE
-                    block, key = text[a:b], (d, a, int(value >> np.uint64(48)))
+                    block, key = text[a:b], (d, a, int(value), bool(np.count_nonzero(h[a : b - GRAM + 1] == value) > 1))
                     bucket = held.setdefault(int(value % np.uint64(buckets)), {})
                     known = bucket.get(block)
                     if known is None:
@@ -277,31 +277,38 @@ def bucket_worker(folder: str):
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["doc_id", "start", "end"])
 
     def work(blobs: list[bytes], place: str) -> list[tuple[int, int, int]]:
-        parts: dict[int, dict[bytes, tuple[int, int]]] = {}
-        spans, total = [], 0
+        parts: dict[int, dict[bytes, tuple[int, int]]] = {}  # by seed
+        spans, twice = [], set()
         for blob in blobs:
             raw = zstandard.decompress(blob)
             n = int(np.frombuffer(raw, np.int64, 1)[0])
             head = np.frombuffer(raw, HEAD, n, 8)
             at = 8 + n * HEAD.itemsize
-            for d, s, size, part in head.tolist():
+            for d, s, size, seed, again in head.tolist():
                 block = raw[at : at + size]
                 at += size
-                total += size
-                first = parts.setdefault(part, {})
+                first = parts.setdefault(seed, {})
+                if again:
+                    twice.add(seed)
                 known = first.setdefault(block, (d, s))
                 if known != (d, s):
                     first[block], later = min(known, (d, s)), max(known, (d, s))
                     spans.append((later[0], later[1], later[1] + size))
-        number = -(-total // COLLECTION)
-        groups: dict[int, dict[bytes, tuple[int, int]]] = {}
-        for part, first in parts.items():
-            groups.setdefault(part % number, {}).update(first)
-        for first in groups.values():
-            if first:
-                doc, start = (np.array(x, np.int64) for x in zip(*first.values(), strict=True))
-                spans += repeats(list(first), doc, start, place)
-        return spans
+        # equal strings hold the same seed: alone with its seed, and with it once, a block has no repeat left
+        group: dict[bytes, tuple[int, int]] = {}
+        size = 0
+        for seed, first in parts.items():
+            if len(first) > 1 or seed in twice:
+                group.update(first)
+                size += sum(map(len, first))
+                if size > COLLECTION:
+                    spans += sort(group, place)
+                    group, size = {}, 0
+        return spans + (sort(group, place) if group else [])
+
+    def sort(group: dict[bytes, tuple[int, int]], place: str) -> list[tuple[int, int, int]]:
+        doc, start = (np.array(x, np.int64) for x in zip(*group.values(), strict=True))
+        return repeats(list(group), doc, start, place)
 
     return batches
 
