@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, list_values, table, word_hashes
+from .common import gram_hashes, list_values, lowered_words, table, word_hashes
 from .seeds import select
 
 SEED, SPREAD, PAD = 5, 8, 24
@@ -121,6 +121,19 @@ def chainer(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(out)
 
 
+def slicer(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts the words that each chain wants from the earlier text; rows of one text follow each other, so it is split once."""
+    last, words = None, []
+    for batch in stream:
+        parts = []
+        texts = batch.column("text")
+        for i, (e, low, high) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("other_id", "low", "high")), strict=True)):
+            if e != last:
+                last, words = e, WORD.findall(texts[i].as_py() or "")
+            parts.append(" ".join(words[low:high]))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "low", "ats", "others")), pa.array(parts, pa.string())], ["doc_id", "low", "ats", "others", "part"])
+
+
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
     """Longest common subsequence of two short word lists."""
     if not len(a) or not len(b):
@@ -192,11 +205,10 @@ def aligner(with_text: bool):
                     else:
                         runs.append([a, b])
                 rows.append([r for r in runs if r[1] - r[0] >= LEAST_WORDS])
-            n = np.diff(offsets)
             removed = [sum(b - a for a, b in r) for r in rows]
             texts = batch.column("text").to_pylist()
             rest = [without(t or "", r) for t, r in zip(texts, rows, strict=True)]
-            arrays = [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(list(map(len, rows)), pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in rest], pa.string()), pa.array(rest, pa.string())]
+            arrays = [batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(list(map(len, rows)), pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in rest], pa.string()), pa.array(rest, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays[: 5 + with_text], ["doc_id", "n_words", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
     return batches
@@ -236,7 +248,9 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     # two lone matches far apart can't make a passage, but what many chains cover together may
     placed = some.repartition(n, "doc_id")
     theirs = placed.select(F.col("doc_id").alias("other_id"), "text").join(chained, "other_id")
-    short = F.transform(F.slice(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+"), F.col("low") + 1 + F.when(F.col("text").rlike("^[\\x20\\x09-\\x0D]"), 1).otherwise(0), F.col("high") - F.col("low")), lambda w: F.shiftrightunsigned(F.xxhash64(w), 33).cast("int"))
-    sliced = theirs.select("doc_id", F.struct("low", "ats", "others", short.alias("slice")).alias("chain")).groupBy("doc_id").agg(F.collect_list("chain").alias("chains"))
+    cut = theirs.select("doc_id", "other_id", "text", "low", "high", "ats", "others").mapInArrow(slicer, "doc_id bigint, low int, ats array<int>, others array<int>, part string")
+    short = F.transform(word_hashes(F.col("part")), lambda w: F.shiftrightunsigned(w, 33).cast("int"))
+    sliced = cut.select("doc_id", F.struct("low", "ats", "others", short.alias("slice")).alias("chain")).groupBy("doc_id").agg(F.collect_list("chain").alias("chains"))
     out = placed.join(sliced, "doc_id", "left").unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
-    return out.select("doc_id", "text", word_hashes(F.col("text")).alias("words"), "chains").mapInArrow(aligner(with_text), RESULT + ", kept string" * with_text)
+    words = F.when(F.col("chains").isNotNull(), word_hashes(F.col("text"))).otherwise(F.array().cast("array<bigint>"))
+    return out.select("doc_id", "text", F.size(lowered_words(F.col("text"))).cast("bigint").alias("n_words"), words.alias("words"), "chains").mapInArrow(aligner(with_text), RESULT + ", kept string" * with_text)
