@@ -188,13 +188,13 @@ _STATE: dict = {}
 RUN = re.compile(r"\s[ \n]")
 
 
-def state(path: str, pattern: str) -> dict:
+def state(path: str, pattern: str, digest: bool) -> dict:
     """The worker's tables for one vocabulary; they last as long as the worker, within bounds."""
     import regex
 
-    if _STATE.get("of") != (path, pattern):
+    if _STATE.get("of") != (path, pattern, digest):
         _STATE.clear()
-        _STATE.update(of=(path, pattern), replay=Replay.from_ranks(path), find=regex.compile(pattern).findall)
+        _STATE.update(of=(path, pattern, digest), replay=Replay.from_ranks(path), find=regex.compile(pattern).findall)
     if len(_STATE.get("pieces", ())) > 300_000 or "pieces" not in _STATE:
         _STATE.update(pieces=Numbered(), ids=[], dec=[], n=[])
     return _STATE
@@ -226,7 +226,7 @@ def encoder(path: str, pattern: str, digest: bool, chunk: int = 16_000_000):
 
     def some(doc_ids, texts) -> pa.RecordBatch:
         gc.disable()  # many small lists, no cycles
-        s = state(path, pattern)
+        s = state(path, pattern, digest)
         pieces, find, ids, dec, n = s["pieces"], s["find"], s["ids"], s["dec"], s["n"]
         number = pieces.__getitem__
         docs = [list(map(number, pieces_of(t, find))) if t else [] for t in texts.to_pylist()]
