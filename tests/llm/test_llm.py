@@ -206,8 +206,9 @@ def test_pipeline_keeps_columns(spark, rows, tmp_path):
     docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     d = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for _, stage in pipeline.STAGES[:3]:
-        d = stage(spark, d, str(tmp_path))
+    for name, stage in pipeline.STAGES[:3]:
+        stage(spark, d, str(tmp_path)).write.parquet(str(tmp_path / name))
+        d = spark.read.parquet(str(tmp_path / name))
         assert d.columns == docs(spark, rows).columns
     left = {r.doc_id: r for r in d.collect()}
     assert 12 not in left and 16 in left and len(left[15].text.split()) == 40

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 WS = "[\\x20\\x09-\\x0D]+"
 _TEMP: dict[str, str] = {}
+#: Tables written by this process, in order.
+WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +43,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once to the shared folder: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -49,8 +52,12 @@ def drop_table(df: DataFrame) -> None:
     spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/winnowry/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lowered_words(text):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 DECAY, SPAN, MOST = 0.75, 8, 24
 #: Rows of each label that training takes, those of least hash: what is gathered stays bounded.
-SAMPLE = {1: 2000, 0: 3000}
+SAMPLE = {1: 1000, 0: 1500}
 LETTERS = 48
 RESULT = "doc_id bigint, held_out boolean, score double, predicted int"
 STEPS = [(i, j) for i in range(1, SPAN - 1) for j in range(i + 1, SPAN)]
