@@ -11,34 +11,57 @@ from winnowry.llm import chain_dedup, common, minhash_dedup, packing, toxicity
 from winnowry.session import prepare
 
 
+#: Tables that earlier stages' operators wrote; a stage's rows are written before the next one begins, which deletes them.
+_PAST: list[str] = []
+
+
+def stage(function):
+    """Prepares the session and deletes what the stage before left in the shared folder."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        own = {common.local_path(f.rsplit("/", 1)[0]) for f in docs.inputFiles()}
+        while _PAST:
+            path = _PAST.pop()
+            if not any(x.endswith(common.local_path(path).lstrip("/")) for x in own):
+                common.delete(spark, path)
+        began = len(common.WRITTEN)
+        out = function(spark, docs, sf_dir)
+        _PAST.extend(common.WRITTEN[began:])
+        return out
+
+    return run_stage
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model calls toxic go. It learns from labelled rows outside the held-out fold."""
-    prepare(spark)
     model = toxicity.fit(docs, common.read(spark, sf_dir, "labels"), toxicity.fold())
     return toxicity.clean(docs, model)
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of smallest doc_id stays."""
-    prepare(spark)
     kept = minhash_dedup.dedup(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
     return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(docs.columns))
 
 
+@stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat those of earlier documents are cut out; every document stays with what is left of it."""
-    prepare(spark)
-    kept = chain_dedup.dedup(docs.select("doc_id", "text"), with_text=True).where("n_removed > 0").select("doc_id", "kept")
+    kept = chain_dedup.dedup(docs.select("doc_id", "text"), with_text=True).where("n_removed > 0").select("doc_id", F.col("kept").alias("_left_of_it"))
     out = docs.join(kept, "doc_id", "left")
-    text = F.coalesce("kept", "text")
-    return out.withColumns({"text": text, "n_chars": F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.char_length("kept").cast("bigint"))}).select(docs.columns)
+    text = F.coalesce("_left_of_it", "text")
+    return out.withColumns({"text": text, "n_chars": F.when(F.col("_left_of_it").isNull(), F.col("n_chars")).otherwise(F.char_length("_left_of_it").cast("bigint"))}).select(docs.columns)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left, tokenised and packed into sequences."""
     import public_tokenizers as P
 
-    prepare(spark)
     return packing.pack(docs, functools.partial(packing.tokenise, path=P.path("word_bpe_49k.json")))
 
 
