@@ -73,12 +73,14 @@ def same(new: str, old: str) -> bool:
         return True
     if 2 * min(len(new), len(old)) >= 0.97 * (len(new) + len(old)) and ratio(new, old) >= 97:
         return True
-    return 40 <= len(new) < len(old) and (new in old or _may_hold(new, old) and partial_ratio(new, old) >= 98)
+    return 40 <= len(new) < len(old) and (new in old or (_may_hold(new, old) and partial_ratio(new, old) >= 98))
 
 
 def _may_hold(new: str, old: str) -> bool:
-    """Whether old has nearly all letters of new: less can't give a partial ratio of 98."""
-    return sum((Counter(new) - Counter(old)).values()) <= 0.04 * len(new)
+    """Whether one of new's pieces stands in old: so few letters may differ that not all of the pieces can."""
+    n = len(new)
+    k = int(0.06 * n) + 2
+    return any(new[i * n // k : (i + 1) * n // k] in old for i in range(k))
 
 
 def shingle_marks(t: str) -> set[int]:
@@ -118,10 +120,10 @@ def greedy(texts: list[str], exact_up_to: int = EXACT_UP_TO) -> list[bool]:
 
 def near_duplicates(rows: DataFrame) -> DataFrame:
     """(page_id, variant, idx) of paragraphs that repeat an earlier kept one of their page, nearly or within it."""
-    some = rows.withColumn("norm", normalized(F.col("text"))).where(eligible()).select(*KEY, "idx", "norm")
+    some = rows.withColumn("norm", normalized(F.col("text"))).select(*KEY, "idx", "norm", eligible().alias("fit"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
+        pdf = pdf[pdf["fit"]].sort_values("idx")
         return pdf.loc[greedy(pdf["norm"].tolist()), [*KEY, "idx"]]
 
     return some.groupBy(*KEY).applyInPandas(run, "page_id bigint, variant int, idx int")

@@ -9,8 +9,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnowry.functions.text import strip
-
 KEY = ("page_id", "variant")
 GROUPS = {"heading": "h1 h2 h3 h4 h5 h6", "list": "li ul ol dl dt dd", "table": "table tr td th", "quote": "blockquote q", "code": "pre code", "nav": "nav menu", "side": "aside footer header", "article": "article main section", "para": "p"}
 BASE = ["log_len", "log_words", "stopword_density", "link_density", "is_heading", "position", "ends_sentence", "word_length", "not_boilerplate", "cf_good", "cf_neargood", "cf_short", "log_depth", *(f"in_{g}" for g in GROUPS)]
@@ -18,12 +16,11 @@ NEIGHBOUR = ["log_len", "stopword_density", "link_density"]
 
 
 def features(rows: DataFrame, neighbour_flag: str = "cf_neargood") -> DataFrame:
-    """Adds the paragraph's own features and those of its neighbours on the page; blank paragraphs have none.
+    """Adds the paragraph's own features and those of its neighbours on the page. Rows are segmentation's, which has no blank paragraphs.
 
     neighbour_flag: the fourth feature of a neighbour, cf_neargood or not_boilerplate.
     """
     w = Window.partitionBy(*KEY).orderBy("idx")
-    rows = rows.where(strip(F.col("text")) != "")
     flag = lambda c: c.cast("double")
     tags = F.split("dom_path", "\\.")
     rows = rows.withColumns(
