@@ -150,6 +150,16 @@ def test_chain_dedup_finds_passages(spark, rows):
     assert chain_dedup.dedup(docs(spark, [])).count() == 0
 
 
+def test_chain_dedup_parts_chains_at_unlike_text(spark):
+    words = lambda seed, n: text(seed, n).split()
+    a, b, c, d = words(1001, 60), words(1002, 60), words(1003, 120), words(1004, 120)
+    rows = [(0, a + words(1, 100) + b), (1, c + words(2, 100) + d), (2, words(3, 20) + a + words(4, 100) + b), (3, words(5, 20) + a + b), (4, c + words(6, 100) + d), (5, a + words(7, 30) + b)]
+    got = {r.doc_id: r for r in chain_dedup.dedup(docs(spark, [(i, " ".join(t)) for i, t in rows]), with_text=True).collect()}
+    for i, due, spans in ((2, 120, 2), (3, 120, 1), (4, 240, 2), (5, 120, 2)):
+        assert abs(got[i].n_removed - due) <= 4 and got[i].n_spans == spans, (i, got[i].n_removed)
+    assert got[0].n_removed == got[1].n_removed == 0
+
+
 def test_chains_are_optimal_on_small_cases():
     def score(chain, at, other):
         return sum(chain_dedup.SEED for _ in chain) - chain_dedup.GAP_COST * sum(at[b] - at[a] + other[b] - other[a] for a, b in zip(chain, chain[1:], strict=False))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import gram_hashes, list_values, lowered_words, table, word_hashes
 from .seeds import select
 
-SEED, SPREAD, PAD = 5, 8, 24
+SEED, SPREAD, PAD, DROP = 5, 8, 40, 12
 GAP_COST, LEAST_WORDS, IDENTITY = 0.1, 40, 0.8
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -134,82 +134,190 @@ def slicer(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "low", "ats", "others")), pa.array(parts, pa.string())], ["doc_id", "low", "ats", "others", "part"])
 
 
-def common_words(a: np.ndarray, b: np.ndarray) -> int:
-    """Longest common subsequence of two short word lists."""
-    if not len(a) or not len(b):
-        return 0
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        hit = row[:-1] + (b == x)
-        row[1:] = np.maximum.accumulate(np.maximum(hit, row[1:]))
-    return int(row[-1])
-
-
-def grown(a: np.ndarray, b: np.ndarray) -> int:
-    """How many words two texts go on alike from their starts; single differing words may lie between runs of four."""
-    n = min(len(a), len(b))
-    if not n:
-        return 0
-    same = a[:n] == b[:n]
-    at = 0
-    while at < n:
-        if same[at]:
-            at += 1
-        elif at + 4 < n and same[at + 1 : at + 5].all():
-            at += 5
+def aligned(pairs: list[tuple[np.ndarray, np.ndarray]], free: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each pair of word lists the columns of its best alignment: (same words?, a word of the first list?).
+
+    A column of equal words counts 1, every other one -1. free: the alignment may end anywhere
+    in both, of equally good ends at the furthest. Pairs of like size are aligned side by side.
+    """
+    out: list = [None] * len(pairs)
+    sizes = np.array([max(len(a), len(b)) for a, b in pairs], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    x = 0
+    while x < len(order):
+        y = min(x + 512, len(order))
+        w = max(int(sizes[order[y - 1]]), 1)
+        some = order[x:y]
+        x = y
+        k = len(some)
+        a, b = np.full((k, w), -1, np.int64), np.full((k, w), -2, np.int64)
+        for r, t in enumerate(some):
+            p, q = pairs[t]
+            a[r, : len(p)], b[r, : len(q)] = p, q
+        cost = np.arange(w + 1, dtype=np.int32)
+        score = np.empty((w + 1, k, w + 1), np.int32)
+        score[0] = -cost
+        equal = a.T[:, :, None] == b[None]
+        for i in range(1, w + 1):
+            here = score[i - 1] - 1
+            np.maximum(here[:, 1:], score[i - 1][:, :-1] + np.where(equal[i - 1], 1, -1), out=here[:, 1:])
+            score[i] = np.maximum.accumulate(here + cost, axis=1) - cost
+        if free:
+            value = (score * 256 + cost[:, None, None] + cost).transpose(1, 0, 2).reshape(k, -1)
+            i, j = np.divmod(value.argmax(1), w + 1)
         else:
-            break
-    return at
+            i, j = (np.array([len(pairs[t][c]) for t in some]) for c in (0, 1))
+        lane = np.arange(k)
+        steps = []
+        while (i + j).any():
+            both = (i > 0) & (j > 0)
+            same = both & equal[i - 1, lane, j - 1]
+            now = score[i, lane, j]
+            across = both & (score[i - 1, lane, j - 1] + np.where(same, 1, -1) == now)
+            down = ~across & (i > 0) & ((j == 0) | (score[i - 1, lane, j] - 1 == now))
+            right = ~across & ~down & (j > 0)
+            steps.append((across & same, across | down, across | down | right))
+            i, j = i - (across | down), j - (across | right)
+        if steps:
+            same, own, live = (np.stack(c)[::-1] for c in zip(*steps, strict=True))
+        for r, t in enumerate(some):
+            out[t] = (same[live[:, r], r], own[live[:, r], r]) if steps else (np.empty(0, bool), np.empty(0, bool))
+    return out
 
 
-def align(words: np.ndarray, other: np.ndarray, low: int, ats: list[int], others: list[int]) -> tuple[int, int, int, int]:
-    """(start, end, equal words, aligned length) of a chain's passage; other are the earlier text's words from low on."""
-    others = [o - low for o in others]
-    a, o = ats[0], others[0]
-    back = grown(words[max(0, a - PAD) : a][::-1], other[max(0, o - PAD) : o][::-1])
-    start, equal, length = a - back, back, back
-    x, y = a, o
+def parts(ats: list[int], others: list[int]) -> Iterator[list[tuple[int, int, int]]]:
+    """A chain's seeds as stretches (place, place in the earlier text, words) that don't overlap, parted where more than PAD words lie between in either text."""
+    part: list[tuple[int, int, int]] = []
+    x = y = 0
     for p, q in zip(ats, others, strict=True):
-        gap, gap2 = words[x:p], other[y:q]
-        if len(gap) == len(gap2) and (gap == gap2).all():
-            equal += len(gap)
+        if part:
+            skip = max(x - p, y - q, 0)
+            if skip >= SEED:
+                continue
+            if p - x > PAD or q - y > PAD:
+                yield part
+                part = []
+                skip = 0
+        else:
+            skip = 0
+        if part and p + skip == x and q + skip == y:
+            part[-1] = (part[-1][0], part[-1][1], part[-1][2] + SEED - skip)
+        else:
+            part.append((p + skip, q + skip, SEED - skip))
+        x, y = p + SEED, q + SEED
+    if part:
+        yield part
+
+
+def pieces(same: np.ndarray) -> list[tuple[int, int]]:
+    """The columns' stretches without any part in which DROP more columns differ than agree."""
+    run = np.cumsum(np.where(same, 1, -1))
+    if (np.maximum.accumulate(np.append(0, run)) - np.append(0, run)).max() < DROP:
+        return [(0, len(same))]
+    out, start, inside, best, end, low = [], 0, True, 0, 0, 0
+    for i, v in enumerate(run.tolist(), 1):
+        if inside:
+            if v >= best:
+                best, end = v, i
+            elif best - v >= DROP:
+                out.append((start, end))
+                inside, low, start = False, v, i
+        elif v <= low:
+            low, start = v, i
+        elif v - low >= SEED:
+            inside, best, end = True, v, i
+    return [(a, b) for a, b in [*out, *([(start, end)] if inside else [])] if b > a]
+
+
+def alike(same: np.ndarray) -> list[tuple[int, int]]:
+    """What all stretches of LEAST_WORDS columns or more with IDENTITY cover; without one, the best stretch."""
+    n = len(same)
+    high = np.append(0, np.cumsum(np.where(same, 1 - IDENTITY, -IDENTITY) * 1000).round().astype(np.int64))
+    starts = np.flatnonzero(same)
+    if not len(starts):
+        return []
+    later = np.maximum.accumulate(high[::-1])[::-1]
+    ends = np.searchsorted(-later, -high[starts], side="right") - 1
+    last = np.maximum.accumulate(np.where(same, np.arange(1, n + 1), 0))
+    ends = last[np.maximum(ends, 1) - 1]
+    good = ends - starts >= LEAST_WORDS
+    if good.any():
+        return list(zip(starts[good].tolist(), ends[good].tolist(), strict=True))
+    rise = high - np.minimum.accumulate(high)
+    b = int(rise.argmax())
+    return [(b - int(high[b::-1].argmin()), b)]
+
+
+def merged(spans: list[tuple[int, int]], near: int) -> list[list[int]]:
+    runs: list[list[int]] = []
+    for a, b in sorted(spans):
+        if runs and a <= runs[-1][1] + near:
+            runs[-1][1] = max(runs[-1][1], b)
         else:
-            equal += common_words(gap, gap2)
-        length += max(len(gap), len(gap2))
-        nx = max(x, p + SEED)
-        step = nx - max(x, p)
-        equal += step
-        length += step
-        x, y = nx, max(y, q + SEED)
-    more = grown(words[x : x + PAD], other[y : y + PAD])
-    return start, x + more, equal + more, length + more
+            runs.append([a, b])
+    return runs
+
+
+def passages(docs: list[tuple[np.ndarray, list[dict]]]) -> list[list[tuple[int, int]]]:
+    """For each document (words, chains) the spans that are alike in its chains' earlier texts.
+
+    Seeds of a part are joined by aligning the words between them; its ends are extended by up to
+    PAD words with a gapped alignment. A short part whose surroundings hold too few common words
+    for a passage in any order stays without: no alignment could make it long enough.
+    """
+    work, gaps, ends, near, theirs = [], [], [], [], []
+    for k, (own, found) in enumerate(docs):
+        for c in found:
+            other, low = np.array(c["slice"], np.int64), c["low"]
+            for part in parts(c["ats"], [o - low for o in c["others"]]):
+                for (p, q, n), (p2, q2, _) in zip(part, part[1:], strict=False):
+                    gaps.append((own[p + n : p2], other[q + n : q2]))
+                (a, b, _), (p, q, n) = part[0], part[-1]
+                ends.append((own[max(0, a - PAD) : a][::-1], other[max(0, b - PAD) : b][::-1]))
+                ends.append((own[p + n : p + n + PAD], other[q + n : q + n + PAD]))
+                lane = len(work) << 32
+                near.append(own[max(0, a - PAD) : p + n + PAD] + lane)
+                theirs.append(other[max(0, b - PAD) : q + n + PAD] + lane)
+                work.append((k, part))
+    if work:
+        keys = np.concatenate(near)
+        common = np.bincount((keys >> 32)[np.isin(keys, np.concatenate(theirs))], minlength=len(work))
+        nothing = (keys[:0], keys[:0])
+        for i in np.flatnonzero(common < LEAST_WORDS * IDENTITY).tolist():
+            ends[2 * i] = ends[2 * i + 1] = nothing
+    between, beyond = iter(aligned(gaps, False)), iter(aligned(ends, True))
+    out: list[list[tuple[int, int]]] = [[] for _ in docs]
+    for k, part in work:
+        same, own = next(beyond)
+        columns = [(same[::-1], own[::-1])]
+        start = part[0][0] - int(own.sum())
+        for i, (_, _, n) in enumerate(part):
+            if i:
+                columns.append(next(between))
+            columns.append((np.ones(n, bool), np.ones(n, bool)))
+        columns.append(next(beyond))
+        same, own = (np.concatenate(c) for c in zip(*columns, strict=True))
+        place = start + np.append(0, np.cumsum(own))
+        for a, b in pieces(same):
+            for x, y in alike(same[a:b]):
+                out[k].append((int(place[a + x]), int(place[a + y])))
+    return out
 
 
 def aligner(with_text: bool):
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
-        for batch in stream:
-            rows = []
-            offsets, words = list_values(batch.column("words"))
-            for i, found in enumerate(batch.column("chains").to_pylist()):
-                own = (words[offsets[i] : offsets[i + 1]] >> np.uint64(33)).astype(np.int32)
-                spans = []
-                for c in found or ():
-                    start, end, equal, length = align(own, np.array(c["slice"], np.int32), c["low"], c["ats"], c["others"])
-                    if length and equal >= IDENTITY * length:
-                        spans.append((start, min(end, len(own))))
-                runs: list[list[int]] = []
-                for a, b in sorted(spans):
-                    if runs and a <= runs[-1][1] + 2:
-                        runs[-1][1] = max(runs[-1][1], b)
-                    else:
-                        runs.append([a, b])
-                rows.append([r for r in runs if r[1] - r[0] >= LEAST_WORDS])
-            removed = [sum(b - a for a, b in r) for r in rows]
-            texts = batch.column("text").to_pylist()
-            rest = [without(t or "", r) for t, r in zip(texts, rows, strict=True)]
-            arrays = [batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(list(map(len, rows)), pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in rest], pa.string()), pa.array(rest, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays[: 5 + with_text], ["doc_id", "n_words", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
+        for whole in stream:
+            for x in range(0, len(whole), 256):
+                batch = whole.slice(x, 256)
+                offsets, words = list_values(batch.column("words"))
+                docs = [((words[offsets[i] : offsets[i + 1]] >> np.uint64(33)).astype(np.int64), found or ()) for i, found in enumerate(batch.column("chains").to_pylist())]
+                rows = [[r for r in merged(spans, 2) if r[1] - r[0] >= LEAST_WORDS] for spans in passages(docs)]
+                removed = [sum(b - a for a, b in r) for r in rows]
+                texts = batch.column("text").to_pylist()
+                rest = [without(t or "", r) for t, r in zip(texts, rows, strict=True)]
+                arrays = [batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(list(map(len, rows)), pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in rest], pa.string()), pa.array(rest, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays[: 5 + with_text], ["doc_id", "n_words", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
     return batches
 
