@@ -160,6 +160,22 @@ def test_chain_dedup_parts_chains_at_unlike_text(spark):
     assert got[0].n_removed == got[1].n_removed == 0
 
 
+def test_chain_dedup_finds_fuzzy_passages(spark):
+    rows, due = [], {}
+    for k in range(120):
+        r = random.Random(k)
+        passage = text(2000 + k, 60).split()
+        other = list(passage)
+        for i in sorted(r.sample(range(60), 9), reverse=True):
+            other[i : i + 1] = r.choice([["changed" + str(r.random())], [], [other[i], "put" + str(r.random())]])
+        rows += [(k, text(3000 + k, 30) + " " + " ".join(passage) + " " + text(4000 + k, 30)), (1000 + k, text(5000 + k, 30) + " " + " ".join(other) + " " + text(6000 + k, 30))]
+        due[1000 + k] = len(other)
+    got = {r.doc_id: r.n_removed for r in chain_dedup.dedup(docs(spark, rows)).collect()}
+    assert sum(got[i] == 0 for i in due) <= 1
+    assert np.mean([min(got[i] / n, 1) for i, n in due.items()]) > 0.97 and all(got[i] <= n + 3 for i, n in due.items())
+    assert all(got[k] == 0 for k in range(120))
+
+
 def test_chains_are_optimal_on_small_cases():
     def score(chain, at, other):
         return sum(chain_dedup.SEED for _ in chain) - chain_dedup.GAP_COST * sum(at[b] - at[a] + other[b] - other[a] for a, b in zip(chain, chain[1:], strict=False))

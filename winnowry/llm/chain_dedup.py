@@ -1,12 +1,12 @@
 """Fuzzy substring deduplication: shared seeds, collinear chains, aligned passages.
 
-Seeds are sampled runs of SEED words: of every SPREAD neighbouring runs the one of least hash, so
-a stretch shared with another text shares its seeds. Each seed is joined to its first occurrence
-in the corpus alone, which keeps the join linear however many texts share it. The matches of a
-document with one earlier document are chained in order by dynamic programming with a Fenwick
-tree over places in the earlier text: a chain's score falls with the words between its matches.
-Chains are aligned with the earlier text's words, and what the alignments of a document cover
-together is a repeated passage if it is long enough.
+Every run of SEED words is a seed, joined to its first occurrence in the corpus alone, which keeps
+the join linear however many texts share it. Seeds and matches travel in compressed blocks. The
+matches of a document with one earlier document are chained in order by dynamic programming with
+a Fenwick tree over places in the earlier text: a chain's score falls with the words between its
+matches. Chains are parted at wide gaps, aligned with the earlier text's words, gaps and ends
+included, and parted again where the alignment is poor. What the alike stretches of a document
+cover together is a repeated passage if it is long enough.
 """
 
 from __future__ import annotations
@@ -18,32 +18,116 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, list_values, lowered_words, table, word_hashes
-from .seeds import select
+from .common import gram_hashes, list_values, lowered_words, mix64, table, word_hashes
 
-SEED, SPREAD, PAD, DROP = 5, 8, 40, 12
+SEED, PAD, DROP, FLUSH = 5, 40, 12, 2_000_000
 GAP_COST, LEAST_WORDS, IDENTITY = 0.1, 40, 0.8
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def seed_maker(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def packed(*columns: np.ndarray) -> bytes:
+    """int64 columns as compressed byte planes; all but the first as differences."""
+    planes = [c if i == 0 else np.diff(c, prepend=0) for i, c in enumerate(columns)]
+    return zstandard.compress(np.stack(planes).astype("<i8").view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes(), 1)
+
+
+def unpacked(blob: bytes, n: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(n, 8, -1)
+    columns = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8")[:, :, 0]
+    return [columns[0], *(np.cumsum(c) for c in columns[1:])]
+
+
+def blocks(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """One compressed block of rows for each bucket, in the rows' order."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+    blobs = [packed(*(c[order[x:y]] for c in columns)) for x, y in zip(cut, [*cut[1:], len(order)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+
+def gathered(stream: Iterator[pa.RecordBatch], n: int) -> Iterator[list[np.ndarray]]:
+    """The columns of each bucket."""
+    blobs: dict[int, list[bytes]] = {}
     for batch in stream:
-        offsets, words = list_values(batch.column("words"))
-        hashes, docs, ats = [], [], []
-        for d, a, b in zip(batch.column("doc_id").to_pylist(), offsets.tolist(), offsets[1:].tolist(), strict=False):
-            if b - a < LEAST_WORDS:
+        for k, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            blobs.setdefault(k, []).append(blob)
+    for k in list(blobs):
+        yield [np.concatenate(x) for x in zip(*(unpacked(b, n) for b in blobs.pop(k)), strict=True)]
+
+
+def seed_maker(buckets: int):
+    """Every run of SEED words: 48 bits of its hash, its document and place."""
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n = 0
+
+        def flush():
+            h, d, a = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return blocks((h % buckets).astype(np.int32), [h, d, a])
+
+        for batch in stream:
+            offsets, words = list_values(batch.column("words"))
+            for d, a, b in zip(batch.column("doc_id").to_pylist(), offsets.tolist(), offsets[1:].tolist(), strict=False):
+                if b - a < LEAST_WORDS:
+                    continue
+                h = (gram_hashes(words[a:b], SEED) >> np.uint64(16)).astype(np.int64)
+                held.append((h, np.full(len(h), d, np.int64), np.arange(len(h))))
+                n += len(h)
+                if n >= FLUSH:
+                    yield flush()
+                    n = 0
+        if held:
+            yield flush()
+
+    return batches
+
+
+def matcher(buckets: int):
+    """Each seed met before, with its first occurrence (least document, then place) if that is in an earlier document."""
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seed, doc, at in gathered(stream, 3):
+            order = np.argsort(seed)
+            same = seed[order[1:]] == seed[order[:-1]]
+            keep = np.zeros(len(order), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            order = order[keep]
+            order = order[np.lexsort((at[order], doc[order], seed[order]))]
+            s, d, a = seed[order], doc[order], at[order]
+            if not len(s):
+                continue
+            start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+            first = np.repeat(start, np.diff(np.append(start, len(s))))
+            hit = np.flatnonzero(d[first] < d)
+            if not len(hit):
                 continue
-            h = gram_hashes(words[a:b], SEED)
-            at, _ = select(h, SPREAD)
-            hashes.append(h[at])
-            docs.append(np.full(len(at), d, np.int64))
-            ats.append(at.astype(np.int32))
-        if hashes:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(ats))], ["seed", "doc_id", "at"])
+            rows = [d[hit], d[first[hit]], a[hit], a[first[hit]]]
+            order = np.lexsort((rows[2], rows[1], rows[0]))
+            rows = [c[order] for c in rows]
+            yield blocks((mix64(rows[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int32), rows)
+
+    return batches
+
+
+def thinned(d: np.ndarray, e: np.ndarray, a: np.ndarray, o: np.ndarray) -> list[np.ndarray]:
+    """Of matches one word after the other in both texts every SEED-th and the last: they cover the same words."""
+    order = np.lexsort((a, a - o, e, d))
+    d, e, a, o = d[order], e[order], a[order], o[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (e[1:] != e[:-1]) | (a[1:] - a[:-1] != 1) | (o[1:] - o[:-1] != 1)
+    start = np.flatnonzero(new)
+    at = np.arange(len(d)) - np.repeat(start, np.diff(np.append(start, len(d))))
+    keep = (at % SEED == 0) | np.append(new[1:], True)
+    return [c[keep] for c in (d, e, a, o)]
 
 
 def chains(at: list[int], other: list[int]) -> list[list[int]]:
@@ -87,36 +171,27 @@ def chains(at: list[int], other: list[int]) -> list[list[int]]:
 
 
 def chainer(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches sorted by document and earlier document to one row a chain."""
+    """Blocks of matches to one row a chain."""
     gc.disable()
-    held = [np.empty(0, np.int64)] * 4
     out: list[tuple] = []
 
-    def flush(d, e, a, o):
-        for c in chains(a.tolist(), o.tolist()):
-            pa_, po = a[c], o[c]
-            out.append((int(d), int(e), max(0, int(po[0]) - PAD), int(po[-1]) + SEED + PAD, pa_.tolist(), po.tolist()))
-
     def batch_of(rows):
         d, e, x, y, pa_, po = zip(*rows, strict=True)
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((d, e, x, y, pa_, po), kinds, strict=True)], ["doc_id", "other_id", "low", "high", "ats", "others"])
 
-    for batch in stream:
-        cols = [np.concatenate([h, np.asarray(batch.column(k)).astype(np.int64)]) for h, k in zip(held, ("doc_id", "other_id", "at", "other"), strict=True)]
-        d, e = cols[0], cols[1]
-        if not len(d):
-            continue
+    for columns in gathered(stream, 4):
+        d, e, at, other = thinned(*columns)
         cut = np.flatnonzero((d[1:] != d[:-1]) | (e[1:] != e[:-1])) + 1
-        start = [0, *cut.tolist()]
+        start = [0, *cut.tolist(), len(d)]
         for x, y in zip(start, start[1:], strict=False):
-            flush(d[x], e[x], cols[2][x:y], cols[3][x:y])
-        held = [c[start[-1] :] for c in cols]
-        if len(out) > 5000:
-            yield batch_of(out)
-            out.clear()
-    if len(held[0]):
-        flush(held[0][0], held[1][0], held[2], held[3])
+            a, o = at[x:y], other[x:y]
+            for c in chains(a.tolist(), o.tolist()):
+                p, q = a[c], o[c]
+                out.append((int(d[x]), int(e[x]), max(0, int(q[0]) - PAD), int(q[-1]) + SEED + PAD, p.tolist(), q.tolist()))
+            if len(out) > 5000:
+                yield batch_of(out)
+                out.clear()
     if out:
         yield batch_of(out)
 
@@ -348,10 +423,12 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     if not rows.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         rows = rows.where("doc_id is null").unionByName(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")))
     some = rows.where("doc_id is not null")
-    seeds = some.select("doc_id", word_hashes(F.col("text")).alias("words")).mapInArrow(seed_maker, "seed bigint, doc_id bigint, at int")
-    first = F.min(F.struct("doc_id", "at")).over(Window.partitionBy("seed"))
-    met = seeds.withColumn("first", first).where("first.doc_id < doc_id").select("doc_id", F.col("first.doc_id").alias("other_id"), "at", F.col("first.at").alias("other"))
-    met = met.repartition(n, "doc_id").sortWithinPartitions("doc_id", "other_id")
+    # a bucket of seeds is sorted in memory: about 2 million at most
+    chars = some.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    buckets = max(2 * n, chars // 12_000_000)
+    kinds = "bucket int, blob binary"
+    seeds = some.select("doc_id", word_hashes(F.col("text")).alias("words")).mapInArrow(seed_maker(buckets), kinds).repartition(buckets // 2, "bucket")
+    met = seeds.mapInArrow(matcher(buckets), kinds).repartition(buckets // 2, "bucket")
     chained = table(met.mapInArrow(chainer, "doc_id bigint, other_id bigint, low int, high int, ats array<int>, others array<int>"), "chains")
     # two lone matches far apart can't make a passage, but what many chains cover together may
     placed = some.repartition(n, "doc_id")
