@@ -203,6 +203,42 @@ def test_kneser_ney_sums_to_one_and_base_is_exact(spark, rows):
     assert kneser_ney.score(docs(spark, []), held).count() == 0
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_equals_plain_implementation(spark, order):
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(WORDS[:9]) for _ in range(r.randrange(0, 40)))) for i in range(80)]
+    train = [t.split() for i, t in rows if i % 4]
+    raw, count = collections.Counter(), {k: collections.Counter() for k in range(1, order + 1)}
+    for ws in train:
+        ws = ["<s>", *ws, "</s>"]
+        raw.update(tuple(ws[i : i + k]) for k in range(1, order + 1) for i in range(len(ws) - k + 1))
+    for g, c in raw.items():
+        if len(g) == order or (g[0] == "<s>" and len(g) > 1):
+            count[len(g)][g] = c
+        if len(g) > 1 and (len(g) > 2 or g[1] != "<s>"):
+            if len(g[1:]) < order:
+                count[len(g) - 1][g[1:]] += 1
+    d = {k: [0.0, *kneser_ney.discounts([sum(c == i for c in count[k].values()) for i in range(1, 5)])] for k in count}
+    v = len(count[1])
+
+    def p(ctx, w):
+        k = len(ctx) + 1
+        low = p(ctx[1:], w) if ctx else 1 / (v + 1)
+        seen = [c for g, c in count[k].items() if g[:-1] == ctx]
+        if not seen:
+            return low
+        c = count[k][(*ctx, w)]
+        return (max(c - d[k][min(c, 3)], 0) + sum(d[k][min(c, 3)] for c in seen) * low) / sum(seen)
+
+    got = {x.doc_id: x.score for x in kneser_ney.score(docs(spark, rows), F.col("doc_id") % 4 == 0, order).collect()}
+    for i, t in rows[:40]:
+        ws = ["<s>", *t.split(), "</s>"]
+        due = sum(math.log10(p(tuple(ws[max(0, k - order + 1) : k]), ws[k])) for k in range(1, len(ws)))
+        assert abs(got[i] - due) < 1e-6, i
+
+
 def test_toxicity_finds_insults(spark):
     bad = ["blorfnik", "zquogget", "vexmudge"]
     rows, labels = [], []

@@ -1,9 +1,11 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, memory-mapped for scoring.
-
-Counting: tasks send each bucket of left words one compressed block of the pairs they saw with
-counts; a bucket's blocks are added up and stored as sorted arrays of 64-bit pair hashes with
-their counts, and of left words with what interpolation needs. Words are 56-bit hashes. The
-arrays lie in the shared folder, which must be mounted on the workers; scoring maps the files.
+"""Interpolated modified Kneser-Ney model of any order from two: counted in Spark, memory-mapped for scoring.
+
+Counting: tasks send each bucket of contexts one compressed block of the grams they saw with
+counts; a bucket's blocks are added up and stored as sorted arrays of 64-bit gram hashes with
+their counts, and of contexts with what interpolation needs. Each order's buckets send the next
+lower order its grams with the numbers of distinct words before them. Grams that begin a text have
+their own counts instead, as nothing precedes them. Words are 56-bit hashes. The arrays lie in the
+shared folder, which must be mounted on the workers; scoring maps the files.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from .common import list_values, local_path, mix64, new_path, table, word_hashes
 
 MASK = np.uint64((1 << 56) - 1)
 BEGIN, END = np.uint64(0x00B5297A4D3F1C69), np.uint64(0x00D1B54A32D192ED)
-FLUSH = 4_000_000
+FLUSH = 2_000_000
+ORDER = 3
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -30,8 +33,15 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix64(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
-def sequences(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Left words, words and tokens of each document (words and one end)."""
+def context(columns: list[np.ndarray]) -> np.ndarray:
+    h = columns[0]
+    for c in columns[1:]:
+        h = pair_keys(h, c)
+    return h
+
+
+def sequences(batch, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of each document's grams, one for each token (words and one end), and numbers of tokens."""
     offsets, values = list_values(batch.column("words"))
     values = values & MASK
     n = len(offsets) - 1
@@ -42,10 +52,14 @@ def sequences(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inner[ends] = False
     right[inner] = values[offsets[0] : offsets[-1]] if n else values[:0]
     right[ends] = END
-    left = np.empty_like(right)
-    left[1:] = right[:-1]
-    left[ends - size + 1] = BEGIN
-    return left, right, size
+    place = np.arange(len(right)) - np.repeat(ends - size + 1, size)
+    columns = [right]
+    for back in range(1, order):
+        left = np.full(len(right), BEGIN)
+        left[back:] = right[: max(len(right) - back, 0)]
+        left[place < back] = BEGIN
+        columns.insert(0, left)
+    return columns, size
 
 
 def runs(*columns: np.ndarray) -> np.ndarray:
@@ -59,58 +73,63 @@ def runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def added(left: np.ndarray, right: np.ndarray, count: np.ndarray | None):
-    """The distinct pairs, sorted, with their summed counts."""
-    order = np.lexsort((right, left))
-    left, right = left[order], right[order]
-    at = runs(left, right)
+def added(columns: list[np.ndarray], follows: np.ndarray, raw: np.ndarray):
+    """The distinct grams, those of one context together, with their summed numbers."""
+    left = context(columns[:-1])
+    key = pair_keys(left, columns[-1])
+    order = np.argsort(key)
+    at = runs(key[order])
     if not len(at):
-        return left, right, np.empty(0, np.int64)
-    total = np.diff(np.append(at, len(left))) if count is None else np.add.reduceat(count[order], at)
-    return left[at], right[at], total.astype(np.int64)
+        return columns, follows, raw
+    follows, raw = (np.add.reduceat(x[order], at) for x in (follows, raw))
+    first = order[at]
+    order = np.argsort(left[first])
+    return [c[first[order]] for c in columns], follows[order], raw[order]
 
 
-def packed(left: np.ndarray, right: np.ndarray, count: np.ndarray) -> bytes:
-    at = runs(left)
-    rows = np.ascontiguousarray(right.view(np.uint8).reshape(-1, 8)[:, :7])
-    head = np.array([len(at), len(right)], np.int64)
-    parts = (head, left[at], np.diff(np.append(at, len(left))).astype(np.uint32), rows, count.astype(np.uint32))
+def packed(columns: list[np.ndarray], follows: np.ndarray, raw: np.ndarray) -> bytes:
+    words, index = np.unique(np.concatenate(columns), return_inverse=True)
+    planes = np.concatenate([index.astype(np.uint32), follows.astype(np.uint32), raw.astype(np.uint32)]).view(np.uint8).reshape(len(columns) + 2, -1, 4).transpose(0, 2, 1)
+    parts = (np.array([len(words), len(raw), len(columns)], np.int64), words, planes)
     return zstandard.compress(b"".join(p.tobytes() for p in parts), 1)
 
 
 def unpacked(blob: bytes):
     raw = zstandard.decompress(blob)
-    n, m = np.frombuffer(raw, np.int64, 2)
-    left = np.frombuffer(raw, np.uint64, n, 16)
-    run = np.frombuffer(raw, np.uint32, n, 16 + 8 * n)
-    rows = np.zeros((m, 8), np.uint8)
-    rows[:, :7] = np.frombuffer(raw, np.uint8, 7 * m, 16 + 12 * n).reshape(m, 7)
-    count = np.frombuffer(raw, np.uint32, m, 16 + 12 * n + 7 * m)
-    return np.repeat(left, run), rows.view(np.uint64).ravel(), count.astype(np.int64)
-
-
-def counter(buckets: int):
-    def flush(left, right):
-        left, right, count = added(np.concatenate(left), np.concatenate(right), None)
-        bucket = (left % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        left, right, count, bucket = left[order], right[order], count[order], bucket[order]
-        at = runs(bucket)
-        blobs = [packed(left[x:y], right[x:y], count[x:y]) for x, y in zip(at, [*at[1:], len(left)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+    v, m, k = (int(x) for x in np.frombuffer(raw, np.int64, 3))
+    words = np.frombuffer(raw, np.uint64, v, 24)
+    planes = np.frombuffer(raw, np.uint8, (k + 2) * 4 * m, 24 + 8 * v).reshape(k + 2, 4, m)
+    rows = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint32)[:, :, 0]
+    return [words[r] for r in rows[:k]], rows[k].astype(np.int64), rows[k + 1].astype(np.int64)
+
+
+def summed(parts: list):
+    """Grams of several blocks as one."""
+    return added([np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)], *(np.concatenate([p[i] for p in parts]) for i in (1, 2)))
 
+
+def blocks(buckets: int, columns, follows, raw) -> pa.RecordBatch:
+    bucket = (context(columns[:-1]) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    at = runs(bucket)
+    blobs = [packed([c[order[x:y]] for c in columns], follows[order[x:y]], raw[order[x:y]]) for x, y in zip(at, [*at[1:], len(order)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+
+def counter(buckets: int, order: int):
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right, n = [], [], 0
+        held, n = [], 0
         for batch in stream:
-            a, b, _ = sequences(batch)
-            left.append(a)
-            right.append(b)
-            n += len(a)
+            columns, _ = sequences(batch, order)
+            one = np.ones(len(columns[0]), np.int64)
+            held.append((columns, one, one))
+            n += len(one)
             if n >= FLUSH:
-                yield flush(left, right)
-                left, right, n = [], [], 0
+                yield blocks(buckets, *summed(held))
+                held, n = [], 0
         if n:
-            yield flush(left, right)
+            yield blocks(buckets, *summed(held))
 
     return batches
 
@@ -123,29 +142,43 @@ def save(path: str, name: str, array: np.ndarray) -> None:
     os.replace(part, f"{path}/{name}")
 
 
-def bucket_writer(path: str):
+def bucket_writer(path: str, buckets: int, size: int, top: bool):
+    """Stores the grams of size words and passes on those one word shorter: as blocks, or as words with numbers."""
+
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: dict[int, list[bytes]] = {}
         for batch in stream:
             for k, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 blobs.setdefault(k, []).append(blob)
         for k in list(blobs):
-            left, right, count = added(*(np.concatenate(x) for x in zip(*map(unpacked, blobs.pop(k)), strict=True)))
-            keys = pair_keys(left, right)
-            order = np.argsort(keys)
-            save(path, f"pair-key-{k}", keys[order])
-            save(path, f"pair-count-{k}", count[order].astype(np.uint32))
-            at = runs(left)
+            columns, follows, raw = summed([unpacked(b) for b in blobs.pop(k)])
+            # with two begins, a gram is a shorter one at the start of a text
+            whole = (columns[1] != BEGIN) if size > 2 else np.ones(len(raw), bool)
+            few = store(k, [c[whole] for c in columns], (raw if top else np.where(columns[0] == BEGIN, raw, follows))[whole])
+            if size > 2:
+                rest = summed([(columns[1:], np.ones(len(raw), np.int64), raw)])
+                yield blocks(buckets, *rest)
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([few.astype(np.int64).tobytes()], pa.binary())], ["bucket", "blob"])
+            else:
+                order = np.argsort(columns[1], kind="stable")
+                r, c = columns[1][order], raw[order]
+                at = runs(r)
+                yield out(np.zeros(len(at), np.int32), r[at], np.diff(np.append(at, len(r))), np.add.reduceat(c, at))
+                yield out(np.ones(4, np.int32), np.arange(1, 5, dtype=np.uint64), few, np.zeros(4, np.int64))
+
+    def store(k, columns, count):
+        left = context(columns[:-1])
+        keys = pair_keys(left, columns[-1])
+        order = np.argsort(keys)
+        save(path, f"pair{size}-key-{k}", keys[order])
+        save(path, f"pair{size}-count-{k}", count[order].astype(np.uint32))
+        at = runs(left)
+        if len(at):
             ones = [np.add.reduceat((count == c).astype(np.uint32), at) for c in (1, 2)]
             total, kinds = np.add.reduceat(count, at), np.diff(np.append(at, len(left)))
-            save(path, f"left-key-{k}", left[at])
-            save(path, f"left-stat-{k}", np.stack([total, *ones, kinds - ones[0] - ones[1]], 1).astype(np.float64))
-            order = np.argsort(right, kind="stable")
-            r, c = right[order], count[order]
-            at = runs(r)
-            yield out(np.zeros(len(at), np.int32), r[at], np.diff(np.append(at, len(r))), np.add.reduceat(c, at))
-            few = np.bincount(np.minimum(count, 5), minlength=6)[1:5]
-            yield out(np.ones(4, np.int32), np.arange(1, 5, dtype=np.uint64), few, np.zeros(4, np.int64))
+            save(path, f"left{size}-key-{k}", left[at])
+            save(path, f"left{size}-stat-{k}", np.stack([total, *ones, kinds - ones[0] - ones[1]], 1).astype(np.uint32))
+        return np.bincount(np.minimum(count, 5), minlength=6)[1:5]
 
     def out(kind, word, follows, count):
         arrays = [pa.array(kind), pa.array(word.astype(np.int64)), pa.array(follows.astype(np.int64)), pa.array(count.astype(np.int64))]
@@ -180,21 +213,27 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]
 
 
-def fit(words: DataFrame) -> dict:
+def fit(words: DataFrame, order: int = ORDER) -> dict:
     """Counts (words array<bigint>) rows and stores the model; returns its description."""
     spark = words.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     url = new_path(spark, "kneser-ney")
     path = local_path(url)
-    pairs = words.select("words").mapInArrow(counter(buckets), "bucket int, blob binary").repartition(buckets // 2, "bucket")
-    gathered = pairs.mapInArrow(bucket_writer(path), "kind int, word bigint, follows bigint, n bigint")
+    kinds = "bucket int, blob binary"
+    grams = words.select("words").mapInArrow(counter(buckets, order), kinds)
+    d = {}
+    for size in range(order, 2, -1):
+        whole = table(grams.repartition(buckets // 2, "bucket").mapInArrow(bucket_writer(path, buckets, size, size == order), kinds), "grams")
+        d[size] = discounts(np.sum([np.frombuffer(r.blob, np.int64) for r in whole.where("bucket < 0").select("blob").collect()] or [[0] * 4], 0).tolist())
+        grams = whole.where("bucket >= 0")
+    gathered = grams.repartition(buckets // 2, "bucket").mapInArrow(bucket_writer(path, buckets, 2, order == 2), "kind int, word bigint, follows bigint, n bigint")
     gathered = table(gathered.groupBy("kind", "word").agg(F.sum("follows").alias("follows"), F.sum("n").alias("n")), "words")
     few = {r.word: r.follows for r in gathered.where("kind = 1").collect()}
     vocabulary = gathered.where("kind = 0")
     s = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("follows"), F.lit(0)).alias("f"), *(F.count_if(F.col("follows") == i).alias(f"f{i}") for i in range(1, 5))).first()
     bucket = F.pmod(F.col("word"), F.lit(buckets)).cast("int").alias("bucket")
     vocabulary.select(bucket, "word", "follows", "n").repartition(buckets // 2, "bucket").mapInArrow(word_writer(path), "n bigint").agg(F.sum("n")).collect()
-    return {"path": path, "buckets": buckets, "v": s.v, "n": s.n, "follows": s.f, "d2": discounts([few.get(i, 0) for i in range(1, 5)]), "d1": discounts([s.f1, s.f2, s.f3, s.f4]), "few": [s.f1, s.f2, s.v - s.f1 - s.f2]}
+    return {"path": path, "buckets": buckets, "v": s.v, "n": s.n, "follows": s.f, "order": order, "d": d | {2: discounts([few.get(i, 0) for i in range(1, 5)])}, "d1": discounts([s.f1, s.f2, s.f3, s.f4]), "few": [s.f1, s.f2, s.v - s.f1 - s.f2]}
 
 
 _MAPS: dict = {}
@@ -217,7 +256,7 @@ def find(model: dict, kind: str, bucket: np.ndarray, keys: np.ndarray, dtype, wi
     out = np.zeros((len(keys), width) if width > 1 else len(keys), np.float64)
     order = np.lexsort((keys, bucket))
     at = runs(bucket[order])
-    stat = {"pair": "count"}.get(kind, "stat")
+    stat = "count" if kind.startswith("pair") else "stat"
     for x, y in zip(at, [*at[1:], len(order)], strict=True):
         rows, k = order[x:y], int(bucket[order[x]])
         stored = mapped(model["path"], f"{kind}-key-{k}", np.uint64)
@@ -233,26 +272,30 @@ def discount(counts: np.ndarray, d: list[float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(counts, 3).astype(np.int64)]
 
 
-def probabilities(model: dict, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(right | left) of the model, and each right word's count in training."""
+def probabilities(model: dict, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """P(last word | those before) of the model, and each last word's count in training."""
     buckets = np.uint64(model["buckets"])
+    right = columns[-1]
     words, back = np.unique(right, return_inverse=True)
     stat = find(model, "word", words % buckets, words, np.float64, 2)
     total = max(model["follows"], 1)
     spread = sum(d * n for d, n in zip(model["d1"], model["few"], strict=True)) / total if model["follows"] else 1.0
-    low = (np.maximum(stat[:, 0] - discount(stat[:, 0], model["d1"]), 0) / total + spread / (model["v"] + 1))[back]
-    count = find(model, "pair", left % buckets, pair_keys(left, right), np.uint32, 1)
-    lefts, where = np.unique(left, return_inverse=True)
-    c = find(model, "left", lefts % buckets, lefts, np.float64, 4)
-    gamma = np.where(c[:, 0] > 0, c[:, 1:] @ np.array(model["d2"]) / np.maximum(c[:, 0], 1), 1.0)
-    high = np.maximum(count - discount(count, model["d2"]), 0) / np.maximum(c[:, 0], 1)[where]
-    return high + gamma[where] * low, stat[back, 1]
+    p = (np.maximum(stat[:, 0] - discount(stat[:, 0], model["d1"]), 0) / total + spread / (model["v"] + 1))[back]
+    for size in range(2, model["order"] + 1):
+        d = model["d"][size]
+        left = context(columns[-size:-1])
+        count = find(model, f"pair{size}", left % buckets, pair_keys(left, right), np.uint32, 1)
+        lefts, where = np.unique(left, return_inverse=True)
+        c = find(model, f"left{size}", lefts % buckets, lefts, np.uint32, 4)
+        gamma = np.where(c[:, 0] > 0, c[:, 1:] @ np.array(d) / np.maximum(c[:, 0], 1), 1.0)
+        p = np.maximum(count - discount(count, d), 0) / np.maximum(c[:, 0], 1)[where] + gamma[where] * p
+    return p, stat[back, 1]
 
 
 def scorer(model: dict):
     def some(batch: pa.RecordBatch) -> pa.RecordBatch:
-        left, right, size = sequences(batch)
-        p, c = probabilities(model, left, right)
+        columns, size = sequences(batch, model["order"])
+        p, c = probabilities(model, columns)
         at = np.cumsum(size) - size
         n = len(size)
         base = np.log10((c + 0.5) / (model["n"] + 0.5 * (model["v"] + 1)))
@@ -265,14 +308,14 @@ def scorer(model: dict):
             size = np.diff(batch.column("words").offsets.to_numpy())
             total, a = np.cumsum(size), 0
             while a < len(size):
-                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + FLUSH // 2)))
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + FLUSH)))
                 yield some(batch.slice(a, b - a))
                 a = b
 
     return batches
 
 
-def score(docs: DataFrame, held_out) -> DataFrame:
+def score(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     """Learns from the rows that aren't held out and scores all: log10 probabilities of whole texts.
 
     Null and empty texts are one end token. held_out: a boolean column; null counts as false.
@@ -280,5 +323,5 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     10 ** (-score / n_tokens).
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), word_hashes(F.col("text").cast("string")).alias("words"))
-    model = fit(rows.where("not held_out"))
+    model = fit(rows.where("not held_out"), order)
     return rows.mapInArrow(scorer(model), RESULT)
