@@ -263,6 +263,13 @@ def test_rendering():
     assert html_text.render("<div>" * 5000 + "deep") == "deep"
 
 
+def test_rendering_of_visibility_and_foreign_text():
+    page = '<p>a<div style="visibility:hidden">no<hr><q>no</q><p style="visibility: visible">yes <b>too</b></p><ul><li>no</ul>no</div><p>z <math><mi>x</mi><annotation>no</annotation></math><svg><title>no</title><defs><text>no</text></defs><text>one</text><text>two</text></svg>'
+    assert html_text.render(page) == "a\n\nyes too\n\nz x one two"
+    assert html_text.render('<p>a<p style="VISIBILITY:collapse">b') == "a"
+    assert html_text.render('<p>a<p style="content-visibility:hidden">b<i style="visibility:visible">c</i>') == "a"
+
+
 def test_pipeline_keeps_columns(spark, rows, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))

@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 
 from winnowry.functions.dom import Node, body_of, parse
 
-UNSEEN = frozenset("head script style template noscript iframe object embed audio video canvas svg math map datalist param source track link meta base title noembed noframes area".split())
+UNSEEN = frozenset("head script style template noscript iframe object embed audio video canvas map datalist param source track link meta base title noembed noframes area".split())
+#: Inside svg and math only.
+UNDRAWN = frozenset("defs desc metadata symbol clippath annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol menu dir dl pre xmp table figure fieldset hr".split())
 LINES = frozenset("address article aside body center details dialog div dt dd figcaption footer form header hgroup legend li main nav option optgroup section summary caption tr thead tbody tfoot".split())
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden", re.I)
-SHOWN = re.compile(r"visibility\s*:\s*visible", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none|content-visibility\s*:\s*hidden", re.I)
+SEEN = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse)", re.I)
 WHITE = re.compile(r"[ \t\n\r\f]+")
 RESULT = "page_id bigint, text string, n_lines bigint, n_chars bigint, text_sha256 string"
 
 
 def hidden(node: Node) -> bool:
-    if node.tag in UNSEEN:
+    if node.tag in UNSEEN or (node.tag in UNDRAWN and any(a.tag in ("svg", "math") for a in node.ancestors())):
         return True
     raw = node.raw
     if not raw:
@@ -35,6 +37,23 @@ def hidden(node: Node) -> bool:
     return False
 
 
+def veil(body: Node) -> None:
+    """Takes out the text that visibility hides; a descendant that is set visible stays."""
+    todo = [(body, True)]
+    while todo:
+        node, shown = todo.pop()
+        if node.raw and "visibility" in node.raw.lower():
+            found = SEEN.findall(node.attrs.get("style", ""))
+            shown = found[-1].lower() == "visible" if found else shown
+        if not shown:
+            # what it draws itself goes as well: rules, fields, quotation marks, list marks
+            node.tag = {"q": "span", "li": "div"}.get(node.tag, node.tag)
+            node.children = [c for c in node.children if isinstance(c, Node) and (c.tag not in ("hr", "input") or "visibility" in c.raw.lower())]
+            if node.tag in ("hr", "input"):
+                node.tag = "span"
+        todo += [(c, shown) for c in node.children if isinstance(c, Node)]
+
+
 def width(s: str) -> int:
     return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
@@ -147,7 +166,7 @@ def flow(node: Node, out: Canvas) -> None:
             out.end_line()
             flow(child, out)
             out.end_line()
-        elif tag in ("td", "th"):  # outside a table
+        elif tag in ("td", "th", "text"):  # outside a table; text of an svg
             out.write(" ")
             flow(child, out)
             out.write(" ")
@@ -309,6 +328,8 @@ def render(html: str | None) -> str:
     body = body_of(parse(html))
     if hidden(body):
         return ""
+    if "visibility" in html.lower():
+        veil(body)
     out = Canvas()
     flow(body, out)
     return "\n".join(x.rstrip() for x in out.done()).strip("\n")
