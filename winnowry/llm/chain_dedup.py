@@ -1,19 +1,24 @@
 """Fuzzy substring deduplication: shared seeds, collinear chains, aligned passages.
 
-Every run of SEED words is a seed, joined to its first occurrence in the corpus alone, which keeps
-the join linear however many texts share it. Seeds and matches travel in compressed blocks. The
-matches of a document with one earlier document are chained in order by dynamic programming with
-a Fenwick tree over places in the earlier text: a chain's score falls with the words between its
-matches. Chains are parted at wide gaps, aligned with the earlier text's words, gaps and ends
-included, and parted again where the alignment is poor. What the alike stretches of a document
-cover together is a repeated passage if it is long enough.
+Every run of SEED words is a seed. Of the documents that a task reads together, later holders of a
+seed match the earliest one at once, and only that one goes on to the seed's bucket, to be matched
+with the earliest document of all: however many texts share a seed, a bucket gets one of them for
+each FLUSH seeds read. Matches travel in compressed blocks. Matches of a document with one earlier
+document that follow each other in both are one run; runs are chained in order by dynamic
+programming with a Fenwick tree over places in the earlier text: a chain's score falls with the
+words between its runs. Chains are parted at wide gaps, aligned with the earlier text's words,
+gaps and ends included, and parted again where the alignment is poor.
+
+A seed is matched with one earlier document only, so of a passage that document B holds other
+documents may take some seeds. What they take is either a passage of theirs or less than
+LEAST_WORDS words long, and then the part that B keeps is extended over it (PAD is no less).
 """
 
 from __future__ import annotations
 
+import bisect
 import gc
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, list_values, lowered_words, mix64, table, word_hashes
+from .common import lowered_words, mix64, released
+from .words import bounds, cut_batches, hashes, spans
 
-SEED, PAD, DROP, FLUSH = 5, 40, 12, 2_000_000
+SEED, PAD, DROP, FLUSH, NEAR, GROUP = 5, 40, 12, 1_500_000, 16, 500
 GAP_COST, LEAST_WORDS, IDENTITY = 0.1, 40, 0.8
-RESULT = "doc_id bigint, n_words bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+RESULT = "doc_id bigint, mark bigint, n_words bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
+PASS_ON = -1
 
 
 def packed(*columns: np.ndarray) -> bytes:
@@ -42,13 +48,14 @@ def unpacked(blob: bytes, n: int) -> list[np.ndarray]:
     return [columns[0], *(np.cumsum(c) for c in columns[1:])]
 
 
-def blocks(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+def block_batch(bucket: np.ndarray, columns: list[np.ndarray], kind: int) -> pa.RecordBatch:
     """One compressed block of rows for each bucket, in the rows' order."""
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 65536 else bucket, kind="stable")
     bucket = bucket[order]
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-    blobs = [packed(*(c[order[x:y]] for c in columns)) for x, y in zip(cut, [*cut[1:], len(order)], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+    columns = [c[order] for c in columns]
+    blobs = [packed(*(c[x:y] for c in columns)) for x, y in zip(cut, [*cut[1:], len(order)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), kind, np.int32)), pa.array(bucket[cut].astype(np.int32)), pa.array(blobs, pa.binary())], ["kind", "bucket", "blob"])
 
 
 def gathered(stream: Iterator[pa.RecordBatch], n: int) -> Iterator[list[np.ndarray]]:
@@ -61,31 +68,75 @@ def gathered(stream: Iterator[pa.RecordBatch], n: int) -> Iterator[list[np.ndarr
         yield [np.concatenate(x) for x in zip(*(unpacked(b, n) for b in blobs.pop(k)), strict=True)]
 
 
-def seed_maker(buckets: int):
-    """Every run of SEED words: 48 bits of its hash, its document and place."""
+def binaries(rows: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Rows of an array as one binary value for each stretch between cuts; cut holds 0 and the end."""
+    width = rows.itemsize * int(np.prod(rows.shape[1:]))
+    offsets = (cut * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def seeds_of(offsets: np.ndarray, words: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, document and place of every run of SEED words in texts of LEAST_WORDS words or more."""
+    size = np.diff(offsets)
+    n = max(len(words) - SEED + 1, 0)
+    h = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(SEED):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
+        h = mix64(h)
+    doc = np.repeat(np.arange(len(ids)), size)[:n]
+    at = np.arange(n) - offsets[doc]
+    keep = (at + SEED <= size[doc]) & (size[doc] >= LEAST_WORDS)
+    return h[keep], ids[doc[keep]], at[keep]
+
 
+def repeated(seed: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of seeds that occur more than once, sorted by seed, document and place; for each the row of its seed that comes first."""
+    order = np.argsort(seed)
+    same = seed[order[1:]] == seed[order[:-1]]
+    keep = np.zeros(len(order), bool)
+    keep[1:] |= same
+    keep[:-1] |= same
+    order = order[keep]
+    order = order[np.lexsort((at[order], doc[order], seed[order]))]
+    s = seed[order]
+    start = np.flatnonzero(np.append(True, s[1:] != s[:-1])[: len(s)])
+    return order, order[np.repeat(start, np.diff(np.append(start, len(s))))]
+
+
+def seed_maker(buckets: int):
+    """Blocks of seeds for their buckets, and of matches among the documents read together."""
+
+    def flush(held):
+        h, d, a = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, first = repeated(h, d, a)
+        later = d[first] < d[order]
+        hit, first = order[later], first[later]
+        keep = np.ones(len(h), bool)
+        keep[hit] = False
+        if len(hit):
+            by = np.lexsort((a[hit], d[first], d[hit]))
+            rows = [d[hit][by], d[first][by], a[hit][by], a[first][by]]
+            yield block_batch(doc_bucket(rows[0], buckets), rows, PASS_ON)
+        h = h[keep]
+        yield block_batch((h % np.uint64(buckets)).astype(np.int64), [(h >> np.uint64(24)).astype(np.int64), d[keep], a[keep]], 0)
+
+    @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         n = 0
-
-        def flush():
-            h, d, a = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            return blocks((h % buckets).astype(np.int32), [h, d, a])
-
-        for batch in stream:
-            offsets, words = list_values(batch.column("words"))
-            for d, a, b in zip(batch.column("doc_id").to_pylist(), offsets.tolist(), offsets[1:].tolist(), strict=False):
-                if b - a < LEAST_WORDS:
-                    continue
-                h = (gram_hashes(words[a:b], SEED) >> np.uint64(16)).astype(np.int64)
-                held.append((h, np.full(len(h), d, np.int64), np.arange(len(h))))
-                n += len(h)
-                if n >= FLUSH:
-                    yield flush()
-                    n = 0
-        if held:
-            yield flush()
+        for batch in cut_batches(stream, "text"):
+            held.append(seeds_of(*hashes(batch.column("text")), np.asarray(batch.column("doc_id"))))
+            n += len(held[-1][0])
+            if n >= FLUSH:
+                yield from flush(held)
+                held, n = [], 0
+        if n:
+            yield from flush(held)
 
     return batches
 
@@ -93,73 +144,83 @@ def seed_maker(buckets: int):
 def matcher(buckets: int):
     """Each seed met before, with its first occurrence (least document, then place) if that is in an earlier document."""
 
+    @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seed, doc, at in gathered(stream, 3):
-            order = np.argsort(seed)
-            same = seed[order[1:]] == seed[order[:-1]]
-            keep = np.zeros(len(order), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            order = order[keep]
-            order = order[np.lexsort((at[order], doc[order], seed[order]))]
-            s, d, a = seed[order], doc[order], at[order]
-            if not len(s):
-                continue
-            start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-            first = np.repeat(start, np.diff(np.append(start, len(s))))
-            hit = np.flatnonzero(d[first] < d)
-            if not len(hit):
-                continue
-            rows = [d[hit], d[first[hit]], a[hit], a[first[hit]]]
-            order = np.lexsort((rows[2], rows[1], rows[0]))
-            rows = [c[order] for c in rows]
-            yield blocks((mix64(rows[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int32), rows)
+        def seeds():
+            for batch in stream:
+                on = np.asarray(batch.column("kind")) == PASS_ON
+                if on.any():
+                    passed.append(batch.filter(pa.array(on)))
+                yield batch.filter(pa.array(~on))
+
+        passed: list[pa.RecordBatch] = []
+        for seed, doc, at in gathered(seeds(), 3):
+            order, first = repeated(seed, doc, at)
+            hit = doc[first] < doc[order]
+            order, first = order[hit], first[hit]
+            if len(order):
+                by = np.lexsort((at[order], doc[first], doc[order]))
+                order, first = order[by], first[by]
+                yield block_batch(doc_bucket(doc[order], buckets), [doc[order], doc[first], at[order], at[first]], 0)
+        yield from passed
 
     return batches
 
 
-def thinned(d: np.ndarray, e: np.ndarray, a: np.ndarray, o: np.ndarray) -> list[np.ndarray]:
-    """Of matches one word after the other in both texts every SEED-th and the last: they cover the same words."""
-    order = np.lexsort((a, a - o, e, d))
-    d, e, a, o = d[order], e[order], a[order], o[order]
+def runs_of(d: np.ndarray, e: np.ndarray, a: np.ndarray, o: np.ndarray) -> list[np.ndarray]:
+    """Matches that follow each other in both texts as runs: (document, earlier one, place, place there, seeds).
+
+    Where a text repeats itself at close distance, as many runs begin at one place of the earlier
+    text; of those within NEAR words one is enough, as its ends are extended over the others.
+    """
+    by = np.lexsort((a, a - o, e, d))
+    d, e, a, o = (x[by] for x in (d, e, a, o))
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (e[1:] != e[:-1]) | (a[1:] - a[:-1] != 1) | (o[1:] - o[:-1] != 1)
     start = np.flatnonzero(new)
-    at = np.arange(len(d)) - np.repeat(start, np.diff(np.append(start, len(d))))
-    keep = (at % SEED == 0) | np.append(new[1:], True)
-    return [c[keep] for c in (d, e, a, o)]
+    n = np.diff(np.append(start, len(d)))
+    d, e, a, o = (x[start] for x in (d, e, a, o))
+    by = np.lexsort((-n, a // NEAR, o, e, d))
+    d, e, a, o, n = (x[by] for x in (d, e, a, o, n))
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (e[1:] != e[:-1]) | (o[1:] != o[:-1]) | (a[1:] // NEAR != a[:-1] // NEAR)
+    d, e, a, o, n = (x[new] for x in (d, e, a, o, n))
+    by = np.lexsort((o, a, e, d))
+    return [x[by] for x in (d, e, a, o, n)]
 
 
-def chains(at: list[int], other: list[int]) -> list[list[int]]:
-    """Best chains of matches (at, other), each rising in both; no match is in two.
+def chains(at: list[int], other: list[int], size: list[int]) -> list[list[int]]:
+    """Best chains of runs of matches (at, other, size), each rising in both; no run is in two.
 
-    A match adds SEED; a step from one to the next costs GAP_COST for each word it passes in
-    either text. Prefix maxima over other come from a Fenwick tree.
+    A run adds its words; a step from one to the next costs GAP_COST for each word it passes in
+    either text. Prefix maxima over the runs' ends in the earlier text come from a Fenwick tree.
     """
     n = len(at)
-    order = sorted(range(n), key=lambda i: (at[i], -other[i]))
-    ranks = {v: i + 1 for i, v in enumerate(sorted(set(other)))}
-    m = len(ranks)
+    keys = sorted({o + s for o, s in zip(other, size, strict=True)})
+    m = len(keys)
     tree = [(-1e18, -1)] * (m + 1)
     score, back = [0.0] * n, [-1] * n
-    for i in order:
-        r, best = ranks[other[i]] - 1, (-1e18, -1)
-        while r:
-            if tree[r] > best:
-                best = tree[r]
-            r &= r - 1
-        here = GAP_COST * (at[i] + other[i])
-        joined = best[0] - here
-        score[i] = SEED + max(joined, 0.0)
-        back[i] = best[1] if joined > 0 else -1
-        value = (score[i] + here, i)
-        r = ranks[other[i]]
-        while r <= m:
-            if value > tree[r]:
-                tree[r] = value
-            r += r & -r
+    # at one place ends come before beginnings: a run may follow another that ends where it begins
+    events = sorted([(at[i] + size[i], 0, i) for i in range(n)] + [(at[i], 1, i) for i in range(n)])
+    for _, begins, i in events:
+        if begins:
+            r, best = bisect.bisect_right(keys, other[i]), (-1e18, -1)
+            while r:
+                if tree[r] > best:
+                    best = tree[r]
+                r &= r - 1
+            joined = best[0] - GAP_COST * (at[i] + other[i])
+            score[i] = SEED - 1 + size[i] + max(joined, 0.0)
+            back[i] = best[1] if joined > 0 else -1
+        else:
+            value = (score[i] + GAP_COST * (at[i] + other[i] + 2 * size[i]), i)
+            r = bisect.bisect_left(keys, other[i] + size[i]) + 1
+            while r <= m:
+                if value > tree[r]:
+                    tree[r] = value
+                r += r & -r
     used, out = [False] * n, []
-    for i in sorted(range(n), key=lambda i: -score[i]):
+    for i in sorted(range(n), key=lambda i: (-score[i], i)):
         chain = []
         while i >= 0 and not used[i]:
             used[i] = True
@@ -170,43 +231,67 @@ def chains(at: list[int], other: list[int]) -> list[list[int]]:
     return out
 
 
+def parted(d: np.ndarray, e: np.ndarray, a: np.ndarray, o: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs in the order of their chains, and which of them begin a part: chains are parted where more than PAD words lie between in either text."""
+    cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (e[1:] != e[:-1])))
+    size = np.diff(np.append(cut, len(d)))
+    order, new = np.arange(len(d)), np.zeros(len(d), bool)
+    new[cut] = True
+    many = size > 1
+    for x, y in zip(cut[many].tolist(), (cut + size)[many].tolist(), strict=True):
+        at = x
+        for c in chains(a[x:y].tolist(), o[x:y].tolist(), n[x:y].tolist()):
+            new[at] = True
+            order[at : at + len(c)] = np.array(c) + x
+            at += len(c)
+    a, o, end = a[order], o[order], n[order] + (SEED - 1)
+    new[1:] |= (a[1:] - a[:-1] - end[:-1] > PAD) | (o[1:] - o[:-1] - end[:-1] > PAD)
+    return order, new
+
+
+@released
 def chainer(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of matches to one row a chain."""
-    gc.disable()
-    out: list[tuple] = []
-
-    def batch_of(rows):
-        d, e, x, y, pa_, po = zip(*rows, strict=True)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((d, e, x, y, pa_, po), kinds, strict=True)], ["doc_id", "other_id", "low", "high", "ats", "others"])
-
+    """Blocks of matches to rows of an earlier document and the runs of up to GROUP parts in it."""
     for columns in gathered(stream, 4):
-        d, e, at, other = thinned(*columns)
-        cut = np.flatnonzero((d[1:] != d[:-1]) | (e[1:] != e[:-1])) + 1
-        start = [0, *cut.tolist(), len(d)]
-        for x, y in zip(start, start[1:], strict=False):
-            a, o = at[x:y], other[x:y]
-            for c in chains(a.tolist(), o.tolist()):
-                p, q = a[c], o[c]
-                out.append((int(d[x]), int(e[x]), max(0, int(q[0]) - PAD), int(q[-1]) + SEED + PAD, p.tolist(), q.tolist()))
-            if len(out) > 5000:
-                yield batch_of(out)
-                out.clear()
-    if out:
-        yield batch_of(out)
-
-
+        runs = runs_of(*columns)
+        order, new = parted(*runs)
+        runs = [c[order] for c in runs]
+        part = np.cumsum(new)
+        by = np.argsort(runs[1], kind="stable")
+        rows = np.stack([runs[0], part, runs[2], runs[3], runs[4]], 1)[by]
+        e = runs[1][by]
+        first = np.flatnonzero(np.append(True, e[1:] != e[:-1]))
+        inside = np.cumsum(new[by]) - np.repeat(np.cumsum(new[by])[first], np.diff(np.append(first, len(e))))
+        group = inside // GROUP
+        cut = np.flatnonzero(np.append(True, (e[1:] != e[:-1]) | (group[1:] != group[:-1])))
+        yield pa.RecordBatch.from_arrays([pa.array(e[cut]), binaries(rows, np.append(cut, len(e)))], ["other_id", "runs"])
+
+
+@released
 def slicer(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cuts the words that each chain wants from the earlier text; rows of one text follow each other, so it is split once."""
-    last, words = None, []
-    for batch in stream:
-        parts = []
-        texts = batch.column("text")
-        for i, (e, low, high) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("other_id", "low", "high")), strict=True)):
-            if e != last:
-                last, words = e, WORD.findall(texts[i].as_py() or "")
-            parts.append(" ".join(words[low:high]))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "low", "ats", "others")), pa.array(parts, pa.string())], ["doc_id", "low", "ats", "others", "part"])
+    """One row a part: its runs and the words of the earlier text that it wants."""
+    for batch in cut_batches(stream, "text"):
+        offsets, words = hashes(batch.column("text"))
+        words = (words >> np.uint64(33)).astype(np.int32)
+        counts = batch.column("runs").buffers()
+        sizes = np.diff(np.frombuffer(counts[1], np.int32, len(batch) + 1, batch.column("runs").offset * 4)) // 40
+        runs = np.frombuffer(b"".join(batch.column("runs").to_pylist()), np.int64).reshape(-1, 5)
+        row = np.repeat(np.arange(len(batch)), sizes)
+        d, part, a, o, n = runs.T
+        cut = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (d[1:] != d[:-1]) | (row[1:] != row[:-1])))
+        last = np.append(cut[1:], len(d)) - 1
+        row = row[cut]
+        low = np.maximum(o[cut] - PAD, 0)
+        high = np.minimum(o[last] + n[last] + SEED - 1 + PAD, np.diff(offsets)[row])
+        for x in range(0, len(cut), 20_000):
+            y = min(x + 20_000, len(cut))
+            size = high[x:y] - low[x:y]
+            bound = np.append(0, np.cumsum(size))
+            where = np.repeat(offsets[row[x:y]] + low[x:y] - bound[:-1], size) + np.arange(bound[-1])
+            u, v = cut[x], last[y - 1] + 1
+            place = np.stack([a[u:v], o[u:v] - np.repeat(low[x:y], last[x:y] + 1 - cut[x:y]), n[u:v]], 1).astype(np.int32)
+            arrays = [pa.array(d[cut[x:y]]), pa.array(np.asarray(batch.column("other_id"))[row[x:y]]), binaries(place, np.append(cut[x:y], v) - u), binaries(words[where], bound)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "other_id", "runs", "words"])
 
 
 def aligned(pairs: list[tuple[np.ndarray, np.ndarray]], free: bool) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -260,28 +345,17 @@ def aligned(pairs: list[tuple[np.ndarray, np.ndarray]], free: bool) -> list[tupl
     return out
 
 
-def parts(ats: list[int], others: list[int]) -> Iterator[list[tuple[int, int, int]]]:
-    """A chain's seeds as stretches (place, place in the earlier text, words) that don't overlap, parted where more than PAD words lie between in either text."""
-    part: list[tuple[int, int, int]] = []
-    x = y = 0
-    for p, q in zip(ats, others, strict=True):
-        if part:
-            skip = max(x - p, y - q, 0)
-            if skip >= SEED:
-                continue
-            if p - x > PAD or q - y > PAD:
-                yield part
-                part = []
-                skip = 0
-        else:
-            skip = 0
-        if part and p + skip == x and q + skip == y:
-            part[-1] = (part[-1][0], part[-1][1], part[-1][2] + SEED - skip)
-        else:
-            part.append((p + skip, q + skip, SEED - skip))
-        x, y = p + SEED, q + SEED
-    if part:
-        yield part
+def stretches(runs: list[list[int]]) -> list[tuple[int, int, int]]:
+    """A part's runs of seeds as stretches (place, place in the earlier text, words) that don't overlap."""
+    out: list[tuple[int, int, int]] = []
+    x = y = -1
+    for p, q, n in runs:
+        n += SEED - 1
+        skip = max(x - p, y - q, 0) if out else 0
+        if skip < n:
+            out.append((p + skip, q + skip, n - skip))
+        x, y = max(x, p + n), max(y, q + n)
+    return out
 
 
 def pieces(same: np.ndarray) -> list[tuple[int, int]]:
@@ -305,27 +379,23 @@ def pieces(same: np.ndarray) -> list[tuple[int, int]]:
 
 
 def alike(same: np.ndarray) -> list[tuple[int, int]]:
-    """What all stretches of LEAST_WORDS columns or more with IDENTITY cover; without one, the best stretch."""
+    """All stretches of LEAST_WORDS columns or more with IDENTITY, the longest from each of their beginnings."""
     n = len(same)
-    high = np.append(0, np.cumsum(np.where(same, 1 - IDENTITY, -IDENTITY) * 1000).round().astype(np.int64))
     starts = np.flatnonzero(same)
-    if not len(starts):
+    if n < LEAST_WORDS or len(starts) < LEAST_WORDS * IDENTITY:
         return []
+    high = np.append(0, np.cumsum(np.where(same, 1 - IDENTITY, -IDENTITY) * 1000).round().astype(np.int64))
     later = np.maximum.accumulate(high[::-1])[::-1]
     ends = np.searchsorted(-later, -high[starts], side="right") - 1
     last = np.maximum.accumulate(np.where(same, np.arange(1, n + 1), 0))
     ends = last[np.maximum(ends, 1) - 1]
     good = ends - starts >= LEAST_WORDS
-    if good.any():
-        return list(zip(starts[good].tolist(), ends[good].tolist(), strict=True))
-    rise = high - np.minimum.accumulate(high)
-    b = int(rise.argmax())
-    return [(b - int(high[b::-1].argmin()), b)]
+    return list(zip(starts[good].tolist(), ends[good].tolist(), strict=True))
 
 
-def merged(spans: list[tuple[int, int]], near: int) -> list[list[int]]:
+def merged(found: list[tuple[int, int]], near: int) -> list[list[int]]:
     runs: list[list[int]] = []
-    for a, b in sorted(spans):
+    for a, b in sorted(found):
         if runs and a <= runs[-1][1] + near:
             runs[-1][1] = max(runs[-1][1], b)
         else:
@@ -333,36 +403,37 @@ def merged(spans: list[tuple[int, int]], near: int) -> list[list[int]]:
     return runs
 
 
-def passages(docs: list[tuple[np.ndarray, list[dict]]]) -> list[list[tuple[int, int]]]:
-    """For each document (words, chains) the spans that are alike in its chains' earlier texts.
+def passages(docs: list[tuple[np.ndarray, list[tuple[list, np.ndarray]]]]) -> list[list[tuple[int, int]]]:
+    """For each document (words, parts) the spans of LEAST_WORDS words or more that are alike in one part's earlier text.
 
-    Seeds of a part are joined by aligning the words between them; its ends are extended by up to
-    PAD words with a gapped alignment. A short part whose surroundings hold too few common words
-    for a passage in any order stays without: no alignment could make it long enough.
+    A part is its runs and the words around them in the earlier text. Runs are joined by aligning
+    the words between them; the ends are extended by up to PAD words with a gapped alignment. A
+    part whose surroundings hold too few common words for a passage in any order stays without:
+    no alignment could make it long enough.
     """
     work, gaps, ends, near, theirs = [], [], [], [], []
     for k, (own, found) in enumerate(docs):
-        for c in found:
-            other, low = np.array(c["slice"], np.int64), c["low"]
-            for part in parts(c["ats"], [o - low for o in c["others"]]):
-                for (p, q, n), (p2, q2, _) in zip(part, part[1:], strict=False):
-                    gaps.append((own[p + n : p2], other[q + n : q2]))
-                (a, b, _), (p, q, n) = part[0], part[-1]
-                ends.append((own[max(0, a - PAD) : a][::-1], other[max(0, b - PAD) : b][::-1]))
-                ends.append((own[p + n : p + n + PAD], other[q + n : q + n + PAD]))
-                lane = len(work) << 32
-                near.append(own[max(0, a - PAD) : p + n + PAD] + lane)
-                theirs.append(other[max(0, b - PAD) : q + n + PAD] + lane)
-                work.append((k, part))
-    if work:
-        keys = np.concatenate(near)
-        common = np.bincount((keys >> 32)[np.isin(keys, np.concatenate(theirs))], minlength=len(work))
-        nothing = (keys[:0], keys[:0])
-        for i in np.flatnonzero(common < LEAST_WORDS * IDENTITY).tolist():
-            ends[2 * i] = ends[2 * i + 1] = nothing
-    between, beyond = iter(aligned(gaps, False)), iter(aligned(ends, True))
+        for runs, other in found:
+            part = stretches(runs)
+            lane = len(work) << 32
+            (a, b, _), (p, q, n) = part[0], part[-1]
+            near.append(own[max(0, a - PAD) : p + n + PAD] + lane)
+            theirs.append(other[max(0, b - PAD) : q + n + PAD] + lane)
+            work.append((k, part, own, other))
     out: list[list[tuple[int, int]]] = [[] for _ in docs]
-    for k, part in work:
+    if not work:
+        return out
+    keys = np.concatenate(near)
+    common = np.bincount((keys >> 32)[np.isin(keys, np.concatenate(theirs))], minlength=len(work))
+    work = [work[i] for i in np.flatnonzero(common >= LEAST_WORDS * IDENTITY).tolist()]
+    for _, part, own, other in work:
+        for (p, q, n), (p2, q2, _) in zip(part, part[1:], strict=False):
+            gaps.append((own[p + n : p2], other[q + n : q2]))
+        (a, b, _), (p, q, n) = part[0], part[-1]
+        ends.append((own[max(0, a - PAD) : a][::-1], other[max(0, b - PAD) : b][::-1]))
+        ends.append((own[p + n : p + n + PAD], other[q + n : q + n + PAD]))
+    between, beyond = iter(aligned(gaps, False)), iter(aligned(ends, True))
+    for k, part, _, _ in work:
         same, own = next(beyond)
         columns = [(same[::-1], own[::-1])]
         start = part[0][0] - int(own.sum())
@@ -374,68 +445,105 @@ def passages(docs: list[tuple[np.ndarray, list[dict]]]) -> list[list[tuple[int,
         same, own = (np.concatenate(c) for c in zip(*columns, strict=True))
         place = start + np.append(0, np.cumsum(own))
         for a, b in pieces(same):
-            for x, y in alike(same[a:b]):
-                out[k].append((int(place[a + x]), int(place[a + y])))
+            out[k] += [r for r in merged([(int(place[a + x]), int(place[a + y])) for x, y in alike(same[a:b])], 0) if r[1] - r[0] >= LEAST_WORDS]
     return out
 
 
-def aligner(with_text: bool):
-    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        for whole in stream:
-            for x in range(0, len(whole), 256):
-                batch = whole.slice(x, 256)
-                offsets, words = list_values(batch.column("words"))
-                docs = [((words[offsets[i] : offsets[i + 1]] >> np.uint64(33)).astype(np.int64), found or ()) for i, found in enumerate(batch.column("chains").to_pylist())]
-                rows = [[r for r in merged(spans, 2) if r[1] - r[0] >= LEAST_WORDS] for spans in passages(docs)]
-                removed = [sum(b - a for a, b in r) for r in rows]
-                texts = batch.column("text").to_pylist()
-                rest = [without(t or "", r) for t, r in zip(texts, rows, strict=True)]
-                arrays = [batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(list(map(len, rows)), pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in rest], pa.string()), pa.array(rest, pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays[: 5 + with_text], ["doc_id", "n_words", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
-
-    return batches
-
-
-def without(text: str, runs: list[list[int]]) -> str:
-    """The text without those runs of words and the white space behind them."""
-    if not runs:
-        return text
-    starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
-    at, parts = 0, []
-    for a, b in runs:
-        parts.append(text[at : starts[a]])
-        at = starts[min(b, len(starts) - 1)]
-    return "".join([*parts, text[at:]])
-
-
-def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """Per document how many words lie in passages that repeat those of earlier documents (smaller doc_id), and what is left.
-
-    Passages are of at least LEAST_WORDS words, of which IDENTITY are the same, in order, A-Z
-    lower-cased. Repeats within one document don't count. Null and empty texts have no words.
-    Rows without doc_id have no place in the order and stay as they are; rows that share a doc_id
-    are one document, of the smallest text among theirs. kept, if with_text, is the remaining text. Other columns are dropped; an empty table gives no row.
-    """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if not rows.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        rows = rows.where("doc_id is null").unionByName(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")))
-    some = rows.where("doc_id is not null")
+@released
+def aligner(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in cut_batches(stream, "text", 2_000_000, 512):
+        texts = batch.column("text").to_pylist()
+        at, raw = spans(batch.column("text"))
+        start, end, offsets = bounds(raw, at)
+        size = np.diff(offsets)
+        found = batch.column("parts").to_pylist()
+        some = [i for i, x in enumerate(found) if x]
+        spans_of: list[list] = [[] for _ in texts]
+        if some:
+            own_at, words = hashes(batch.column("text"))
+            words = (words >> np.uint64(33)).astype(np.int64)
+            docs = []
+            for i in some:
+                parts = [(np.frombuffer(x["runs"], np.int32).reshape(-1, 3).tolist(), np.frombuffer(x["words"], np.int32).astype(np.int64)) for x in found[i]]
+                docs.append((words[own_at[i] : own_at[i + 1]], parts))
+            for i, spans_ in zip(some, passages(docs), strict=True):
+                spans_of[i] = merged(spans_, 2)
+        rest, shas = [], []
+        for i, runs in enumerate(spans_of):
+            if not runs:
+                rest.append(None)
+                shas.append(hashlib.sha256(raw[at[i] : at[i + 1]]).hexdigest())
+                continue
+            keep, x = [], int(at[i])
+            for a, b in runs:  # a run of words goes with the white space behind it
+                keep.append(raw[x : start[offsets[i] + a]])
+                x = int(start[offsets[i] + b]) if b < size[i] else int(at[i + 1])
+            left = b"".join(k.tobytes() for k in [*keep, raw[x : at[i + 1]]])
+            shas.append(hashlib.sha256(left).hexdigest())
+            rest.append(left.decode("utf-8"))
+        removed = [sum(b - a for a, b in r) for r in spans_of]
+        arrays = [batch.column("doc_id"), batch.column("mark"), pa.array(size.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(list(map(len, spans_of)), pa.int64()), pa.array(shas, pa.string()), pa.array(rest, pa.string())]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "mark", "n_words", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+
+def cut_passages(docs: DataFrame) -> DataFrame:
+    """RESULT for (doc_id bigint, text string) rows of unique doc_ids: mark is a hash of the text, kept what is left of it if words go, else null."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a bucket of seeds is sorted in memory: about 2 million at most
-    chars = some.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = max(2 * n, chars // 12_000_000)
-    kinds = "bucket int, blob binary"
-    seeds = some.select("doc_id", word_hashes(F.col("text")).alias("words")).mapInArrow(seed_maker(buckets), kinds).repartition(buckets // 2, "bucket")
+    kinds = "kind int, bucket int, blob binary"
+    seeds = docs.mapInArrow(seed_maker(buckets), kinds).repartition(buckets // 2, "bucket")
     met = seeds.mapInArrow(matcher(buckets), kinds).repartition(buckets // 2, "bucket")
-    chained = table(met.mapInArrow(chainer, "doc_id bigint, other_id bigint, low int, high int, ats array<int>, others array<int>"), "chains")
-    # two lone matches far apart can't make a passage, but what many chains cover together may
-    placed = some.repartition(n, "doc_id")
-    theirs = placed.select(F.col("doc_id").alias("other_id"), "text").join(chained, "other_id")
-    cut = theirs.select("doc_id", "other_id", "text", "low", "high", "ats", "others").mapInArrow(slicer, "doc_id bigint, low int, ats array<int>, others array<int>, part string")
-    short = F.transform(word_hashes(F.col("part")), lambda w: F.shiftrightunsigned(w, 33).cast("int"))
-    sliced = cut.select("doc_id", F.struct("low", "ats", "others", short.alias("slice")).alias("chain")).groupBy("doc_id").agg(F.collect_list("chain").alias("chains"))
-    out = placed.join(sliced, "doc_id", "left").unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
-    words = F.when(F.col("chains").isNotNull(), word_hashes(F.col("text"))).otherwise(F.array().cast("array<bigint>"))
-    return out.select("doc_id", "text", F.size(lowered_words(F.col("text"))).cast("bigint").alias("n_words"), words.alias("words"), "chains").mapInArrow(aligner(with_text), RESULT + ", kept string" * with_text)
+    # a row holds the parts of GROUP documents at most: a much repeated text is read once for that many
+    wanted = met.mapInArrow(chainer, "other_id bigint, runs binary")
+    placed = docs.repartition(n, "doc_id")
+    theirs = placed.withColumnRenamed("doc_id", "other_id").join(wanted, "other_id")
+    cut = theirs.select("other_id", "text", "runs").mapInArrow(slicer, "doc_id bigint, other_id bigint, runs binary, words binary")
+    # a document's parts are no more than its words
+    parts = cut.groupBy("doc_id").agg(F.collect_list(F.struct("runs", "words")).alias("parts"))
+    return placed.join(parts, "doc_id", "left").select("doc_id", F.xxhash64("text").alias("mark"), "text", "parts").mapInArrow(aligner, RESULT)
+
+
+def documents(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc_id, text) of unique doc_ids, of shared ones the smallest text; whether any is shared."""
+    some = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    if some.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return some, False
+    return some.groupBy("doc_id").agg(F.min("text").alias("text")), True
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """Per row how many words lie in passages that repeat those of an earlier document (smaller doc_id), and a digest of what is left.
+
+    A passage is LEAST_WORDS words or more that align with one stretch of one earlier document,
+    IDENTITY of the columns the same words in order, A-Z lower-cased. Repeats within one document
+    don't count. Null and empty texts have no words. Rows without doc_id have no place in the
+    order and keep all. Of rows that share a doc_id the smallest text is the document: rows that
+    hold it (repeated ones) share its result, the others keep all. Other columns are dropped; an
+    empty table gives no row.
+    """
+    texts, shared = documents(docs)
+    found = cut_passages(texts)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if shared:
+        rows = rows.join(found.withColumnRenamed("doc_id", "id"), (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("mark")), "left")
+    else:
+        rows = rows.where("doc_id is null").unionByName(found, allowMissingColumns=True)
+    whole = F.sha2(F.encode("text", "UTF-8"), 256)
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_removed", "n_spans")]
+    return rows.select("doc_id", F.coalesce("n_words", F.size(lowered_words(F.col("text")))).cast("bigint").alias("n_words"), *counts, F.coalesce("kept_sha256", whole).alias("kept_sha256"))
+
+
+def cut(docs: DataFrame) -> DataFrame:
+    """The rows with all their columns, text (and n_chars, if there is one) without the words that dedup() removes.
+
+    Nulls, empty texts, shared and null doc_ids are as in dedup(): every row stays, and its text
+    unless it holds a repeated passage.
+    """
+    found = cut_passages(documents(docs)[0]).where("n_removed > 0").select(F.struct("doc_id", "mark", "kept").alias("found"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    text = F.col("row.text").cast("string")
+    rows = rows.join(found, (F.col("row.doc_id").cast("bigint") == F.col("found.doc_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("found.mark")), "left")
+    left = {"text": F.coalesce("found.kept", text), "n_chars": F.when(F.col("found").isNull(), F.col("row.n_chars")).otherwise(F.char_length("found.kept").cast("bigint")) if "n_chars" in docs.columns else None}
+    return rows.select(*((left[c] if c in left else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
