@@ -11,55 +11,58 @@ from winnowry.llm import chain_dedup, common, minhash_dedup, packing, toxicity
 from winnowry.session import prepare
 
 
-#: Tables that earlier stages' operators wrote; a stage's rows are written before the next one begins, which deletes them.
-_PAST: list[str] = []
-
-
 def stage(function):
-    """Prepares the session and deletes what the stage before left in the shared folder."""
+    """Prepares the session, in which a stage may be the first to run."""
 
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        prepare(spark)
-        own = {common.local_path(f.rsplit("/", 1)[0]) for f in docs.inputFiles()}
-        while _PAST:
-            path = _PAST.pop()
-            if not any(x.endswith(common.local_path(path).lstrip("/")) for x in own):
-                common.delete(spark, path)
-        began = len(common.WRITTEN)
-        out = function(spark, docs, sf_dir)
-        _PAST.extend(common.WRITTEN[began:])
-        return out
+        return function(prepare(spark), docs, sf_dir)
 
     return run_stage
 
 
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model calls toxic go. It learns from labelled rows outside the held-out fold."""
+    """Documents that the model calls toxic go. It learns from labelled rows outside the held-out fold.
+
+    Null and empty texts stay; rows that share a doc_id are judged each; an empty table gives none.
+    """
     model = toxicity.fit(docs, common.read(spark, sf_dir, "labels"), toxicity.fold())
     return toxicity.clean(docs, model)
 
 
 @stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest doc_id stays."""
-    kept = minhash_dedup.dedup(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(docs.columns))
+    """Of each group of near duplicates the document of smallest doc_id stays.
+
+    Rows without doc_id or without words stay; of rows that share the smallest doc_id the one of
+    smallest text hash stays, once. Only the rows that go are gathered, by doc_id and text hash.
+    """
+    with common.scratch(spark):
+        found = minhash_dedup.classes(docs.select("doc_id", "text"))
+        gone = common.kept_table(found.where("not kept").select(F.struct("doc_id", "mark").alias("gone")).distinct(), "near-duplicates")
+        shared = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    out = docs.join(gone, (docs["doc_id"].cast("bigint") == gone["gone"]["doc_id"]) & (mark == gone["gone"]["mark"]), "left_anti")
+    if not shared:
+        return out
+    blank = (F.col("doc_id").isNull()) | (F.length(F.trim(F.coalesce(F.col("text").cast("string"), F.lit("")))) == 0)
+    return out.where(blank).unionByName(out.where(~blank).dropDuplicates(["doc_id", "text"]))
 
 
 @stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat those of earlier documents are cut out; every document stays with what is left of it."""
-    kept = chain_dedup.dedup(docs.select("doc_id", "text"), with_text=True).where("n_removed > 0").select("doc_id", F.col("kept").alias("_left_of_it"))
-    out = docs.join(kept, "doc_id", "left")
-    text = F.coalesce("_left_of_it", "text")
-    return out.withColumns({"text": text, "n_chars": F.when(F.col("_left_of_it").isNull(), F.col("n_chars")).otherwise(F.char_length("_left_of_it").cast("bigint"))}).select(docs.columns)
+    """Passages that repeat those of earlier documents are cut out; every document stays with what is left of it.
+
+    Null and empty texts, rows without doc_id and, of rows that share one, all but those of the
+    smallest text stay as they are; an empty table gives none.
+    """
+    return chain_dedup.cut(docs)
 
 
 @stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All that is left, tokenised and packed into sequences."""
+    """All that is left, tokenised and packed into sequences. Null and empty texts are an end id alone; repeated rows are packed each; an empty table gives none."""
     import public_tokenizers as P
 
     return packing.pack(docs, functools.partial(packing.tokenise, path=P.path("word_bpe_49k.json")))
@@ -71,8 +74,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents; each stage's rows are written and read again."""
+    """The rows of the last stage over documents; each stage's rows are written and read again, and deleted once the next stage's are written."""
     docs = common.read(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = common.table(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            common.drop_table(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

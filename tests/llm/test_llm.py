@@ -12,6 +12,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from winnowry.llm import bpe, chain_dedup, embedding_dedup, fingerprints, html_text, kneser_ney, minhash_dedup, packing, suffix_dedup, toxicity
@@ -142,19 +143,20 @@ def test_prob_minhash_estimates_probability_jaccard():
 
 
 def test_chain_dedup_finds_passages(spark, rows):
-    got = {r.doc_id: r for r in chain_dedup.dedup(docs(spark, rows), with_text=True).collect()}
+    got = {r.doc_id: r for r in chain_dedup.dedup(docs(spark, rows)).collect()}
+    kept = {r.doc_id: r.text for r in chain_dedup.cut(docs(spark, rows)).collect()}
     assert got[14].n_removed == 0 and got[12].n_removed == len(rows[12][1].split())
-    assert abs(got[15].n_removed - 70) <= 1 and got[15].kept.split() == rows[15][1].split()[:40]
+    assert abs(got[15].n_removed - 70) <= 1 and kept[15].split() == rows[15][1].split()[:40]
     assert got[21].n_removed >= 65 and all(got[i].n_removed == 0 for i in (*range(12), 16, 17, 18))
-    assert chain_dedup.dedup(docs(spark, ODD)).count() == 3
-    assert chain_dedup.dedup(docs(spark, [])).count() == 0
+    assert chain_dedup.dedup(docs(spark, ODD)).count() == len(ODD)
+    assert chain_dedup.dedup(docs(spark, [])).count() == chain_dedup.cut(docs(spark, [])).count() == 0
 
 
 def test_chain_dedup_parts_chains_at_unlike_text(spark):
     words = lambda seed, n: text(seed, n).split()
     a, b, c, d = words(1001, 60), words(1002, 60), words(1003, 120), words(1004, 120)
     rows = [(0, a + words(1, 100) + b), (1, c + words(2, 100) + d), (2, words(3, 20) + a + words(4, 100) + b), (3, words(5, 20) + a + b), (4, c + words(6, 100) + d), (5, a + words(7, 30) + b)]
-    got = {r.doc_id: r for r in chain_dedup.dedup(docs(spark, [(i, " ".join(t)) for i, t in rows]), with_text=True).collect()}
+    got = {r.doc_id: r for r in chain_dedup.dedup(docs(spark, [(i, " ".join(t)) for i, t in rows])).collect()}
     for i, due, spans in ((2, 120, 2), (3, 120, 1), (4, 240, 2), (5, 120, 2)):
         assert abs(got[i].n_removed - due) <= 4 and got[i].n_spans == spans, (i, got[i].n_removed)
     assert got[0].n_removed == got[1].n_removed == 0
@@ -177,14 +179,72 @@ def test_chain_dedup_finds_fuzzy_passages(spark):
 
 
 def test_chains_are_optimal_on_small_cases():
-    def score(chain, at, other):
-        return sum(chain_dedup.SEED for _ in chain) - chain_dedup.GAP_COST * sum(at[b] - at[a] + other[b] - other[a] for a, b in zip(chain, chain[1:], strict=False))
+    def score(chain, at, other, size):
+        gaps = sum(at[b] - at[a] - size[a] + other[b] - other[a] - size[a] for a, b in zip(chain, chain[1:], strict=False))
+        return sum(chain_dedup.SEED - 1 + size[i] for i in chain) - chain_dedup.GAP_COST * gaps
 
     for seed in range(20):
         r = random.Random(seed)
-        at, other = r.sample(range(60), 8), r.sample(range(60), 8)
-        best = max(score([i for i in sorted(range(8), key=at.__getitem__) if m >> i & 1], at, other) for m in range(1, 256) if all(other[a] < other[b] for a, b in zip(*(lambda c: (c, c[1:]))([i for i in sorted(range(8), key=at.__getitem__) if m >> i & 1]), strict=False)))
-        assert abs(score(chain_dedup.chains(at, other)[0], at, other) - best) < 1e-9
+        at, other, size = r.sample(range(60), 8), r.sample(range(60), 8), [r.randrange(1, 9) for _ in range(8)]
+        sets = ([i for i in sorted(range(8), key=at.__getitem__) if m >> i & 1] for m in range(1, 256))
+        fine = [c for c in sets if all(at[a] + size[a] <= at[b] and other[a] + size[a] <= other[b] for a, b in zip(c, c[1:], strict=False))]
+        best = max(score(c, at, other, size) for c in fine)
+        found = chain_dedup.chains(at, other, size)
+        assert abs(score(found[0], at, other, size) - best) < 1e-9 and sorted(i for c in found for i in c) == list(range(8))
+
+
+def test_chain_dedup_wants_one_earlier_document(spark):
+    """Phrases of many earlier documents that together tile a passage are no passage; a document that holds it whole is one, whoever takes its seeds."""
+    p = [f"p{i}" for i in range(120)]
+    own = lambda k, i: [f"{k}{i}w{j}" for j in range(50)]
+    rows = [(i, own("x", i) + p[i * 10 : i * 10 + 10] + own("y", i)) for i in range(12)] + [(100, p[:60]), (101, p), (102, own("z", 1) + p[30:90] + own("z", 2))]
+    got = {r.doc_id: r.n_removed for r in chain_dedup.dedup(docs(spark, [(i, " ".join(t)) for i, t in rows])).collect()}
+    assert got[100] == 0 and got[101] == 60 and got[102] == 60 and all(got[i] == 0 for i in range(12))
+
+
+def test_chain_dedup_takes_passages_from_later_documents_too(spark):
+    """Documents 0 and 1 hold halves of 30 words, 2 the whole, 3 and 4 repeat it; 5 and 6 are edited copies at the bound."""
+    words = lambda seed, n: text(seed, n).split()
+    a = words(900, 60)
+    rows = [(0, words(1, 30) + a[:30] + words(2, 30)), (1, words(3, 30) + a[30:] + words(4, 30)), (2, words(5, 20) + a + words(6, 9)), (3, a), (4, words(7, 50) + a)]
+    got = {r.doc_id: r.n_removed for r in chain_dedup.dedup(docs(spark, [(i, " ".join(t)) for i, t in rows])).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 60, 4: 60}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.18])
+def test_chain_dedup_recall(spark, share):
+    """Of passages of 100 words with edits at random places, at the documented identity nine in ten words or more are found."""
+    r = random.Random(5)
+    rows, due = [], {}
+    for k in range(60):
+        own = text(100 + k, 100).split()
+        other = []
+        places = set(r.sample(range(100), round(100 * share)))
+        for i, w in enumerate(own):
+            other += r.choice([["q" + str(r.random())], [], [w, "q" + str(r.random())]]) if i in places else [w]
+        rows += [(2 * k, text(7000 + k, 30) + " " + " ".join(own)), (2 * k + 1, " ".join(other) + " " + text(8000 + k, 30))]
+        due[2 * k + 1] = len(other)
+    got = {x.doc_id: x.n_removed for x in chain_dedup.dedup(docs(spark, rows)).collect()}
+    assert np.mean([got[i] >= 0.9 * n for i, n in due.items()]) >= 0.9
+    assert all(got[2 * k] == 0 for k in range(60)) and all(got[i] <= n + 5 for i, n in due.items())
+
+
+def test_chain_dedup_of_shared_ids_ties_and_clashing_columns(spark):
+    a, b = text(1, 60), text(2, 60)
+    rows = [(1, a, "x", 7), (2, "zz " + b, "y", 8), (2, "a tail " + a, "z", 9), (2, "a tail " + a, "z", 9), (None, a, "n", 1), (3, None, "e", 0), (4, "", "e", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, found string, kept int")
+    got = sorted((r.doc_id or 0, r.text, r.found, r.kept) for r in chain_dedup.cut(df).where("text is not null").collect())
+    left = [(1, a, "x", 7), (2, "zz " + b, "y", 8), (2, "a tail ", "z", 9), (2, "a tail ", "z", 9), (0, a, "n", 1), (4, "", "e", 0)]
+    assert got == sorted(left)
+    counts = sorted((r.doc_id or 0, r.n_removed) for r in chain_dedup.dedup(df).collect())
+    assert counts == [(0, 0), (1, 0), (2, 0), (2, 60), (2, 60), (3, 0), (4, 0)]
+
+
+def test_chain_dedup_of_a_very_long_text(spark):
+    """A text of a million words that repeats itself at short and long distance, and a copy of it."""
+    long = " ".join(["ab cd"] * 100_000 + [f"w{i % 50_000}" for i in range(300_000)])
+    got = {r.doc_id: r for r in chain_dedup.dedup(docs(spark, [(1, long), (2, long), (3, "w" * 3_000_000)])).collect()}
+    assert got[1].n_removed == got[3].n_removed == 0 and got[2].n_removed > 0.99 * got[2].n_words
 
 
 def test_kneser_ney_sums_to_one_and_base_is_exact(spark, rows):
@@ -282,3 +342,65 @@ def test_pipeline_keeps_columns(spark, rows, tmp_path):
     left = {r.doc_id: r for r in d.collect()}
     assert 12 not in left and 16 in left and len(left[15].text.split()) == 40
     assert pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_of_shared_ids_nulls_and_empty_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b = text(1, 60), text(2, 80)
+    rows = [(1, a, "x"), (2, b, "y"), (2, "another " + text(3, 60), "z"), (2, b, "y"), (3, b + " end", "w"), (None, a, "n"), (4, None, "e"), (5, "", "e")]
+    kind = "doc_id bigint, text string, gone string"
+    for name, some in (("some", rows), ("none", [])):
+        (tmp_path / name).mkdir()
+        spark.createDataFrame(some, kind).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+    d = spark.read.parquet(str(tmp_path / "some" / "documents.parquet"))
+    for name, stage in pipeline.STAGES[:3]:
+        d = stage(spark, d, str(tmp_path / "some"))
+    got = sorted((r.doc_id or 0, r.text or "", r.gone) for r in d.collect())
+    assert got == sorted([(1, a, "x"), (2, b, "y"), (2, "another " + text(3, 60), "z"), (0, a, "n"), (4, "", "e"), (5, "", "e")])
+    assert pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    first = pipeline.run(spark, str(tmp_path / "some"))
+    second = pipeline.run(spark, str(tmp_path / "some"))
+    assert first.count() == second.count() > 0
+
+
+def test_minhash_recall_against_all_pairs(spark):
+    """Classes of texts edited around the bound are those of all pairs' exact similarity."""
+    import xxhash
+
+    r = random.Random(11)
+    rows = []
+    for k in range(40):
+        words = text(300 + k, 120).split()
+        rows.append((10 * k, " ".join(words)))
+        for j in range(1, 4):
+            other = list(words)
+            for i in r.sample(range(len(other)), r.randrange(0, 4)):
+                other[i] = "put" + str(r.random())
+            rows.append((10 * k + j, " ".join(other)))
+    sets = {}
+    for i, t in rows:
+        h = np.array([xxhash.xxh64_intdigest(w) for w in t.split()], np.uint64)
+        sets[i] = minhash_dedup.weighted_shingles(np.array([0, len(h)]), h, 5)[1:]
+    due = {(i, j) for i in sets for j in sets if i < j and i // 10 == j // 10 and minhash_dedup.similarity(sets[i], sets[j]) >= 0.8}
+    got = {x.doc_id: x.class_id for x in minhash_dedup.dedup(docs(spark, rows)).collect()}
+    found = sum(got[i] == got[j] for i, j in due)
+    assert len(due) > 60 and found >= 0.95 * len(due)
+    up = {i: i for i in sets}
+    for i, j in sorted(due):
+        a, b = up[i], up[j]
+        up = {k: min(a, b) if v in (a, b) else v for k, v in up.items()}
+    assert all(up[got[i]] == up[i] for i in got)  # no class joins what no chain of links joins
+
+
+def test_word_hashes_equal_those_of_split_words():
+    from winnowry.llm import words
+
+    texts = [None, "", " ", "A b\tC", "x" * 600 + " X" + "x" * 599, "A" * 300_000 + "\x0bb", "é É ab", "ab", "ünd\x1cso\u2003weiter"]
+    offsets, got = words.hashes(pa.array(texts))
+    known = {}
+    for i, t in enumerate(texts):
+        own = ["".join(c.lower() if c < "\x80" else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        assert len(own) == offsets[i + 1] - offsets[i]
+        assert all(known.setdefault(w, h) == h for w, h in zip(own, got[offsets[i] : offsets[i + 1]].tolist(), strict=True))
+    assert len(set(known.values())) == len(known)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import heapq
 import itertools
@@ -16,6 +15,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 NONE = np.int32(2**31 - 1)
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -184,6 +185,8 @@ class Numbered(dict):
 
 
 _STATE: dict = {}
+#: Pieces, and their letters, of which a worker remembers the ids.
+MOST_PIECES, MOST_LETTERS = 300_000, 6_000_000
 #: A run of white space in which a blank or a line feed isn't the first: such texts aren't cut at white space.
 RUN = re.compile(r"\s[ \n]")
 
@@ -195,8 +198,8 @@ def state(path: str, pattern: str, digest: bool) -> dict:
     if _STATE.get("of") != (path, pattern, digest):
         _STATE.clear()
         _STATE.update(of=(path, pattern, digest), replay=Replay.from_ranks(path), find=regex.compile(pattern).findall)
-    if len(_STATE.get("pieces", ())) > 300_000 or "pieces" not in _STATE:
-        _STATE.update(pieces=Numbered(), ids=[], dec=[], n=[])
+    if len(_STATE.get("pieces", ())) > MOST_PIECES or _STATE.get("letters", MOST_LETTERS + 1) > MOST_LETTERS:
+        _STATE.update(pieces=Numbered(), ids=[], dec=[], n=[], letters=0)
     return _STATE
 
 
@@ -213,7 +216,8 @@ def pieces_of(text: str, find) -> list[str]:
     return [("\0" + x) for x in find(first)] + rest
 
 
-def encoder(path: str, pattern: str, digest: bool, chunk: int = 16_000_000):
+def encoder(path: str, pattern: str, digest: bool, chunk: int = 8_000_000):
+    @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             texts = batch.column("text")
@@ -225,7 +229,6 @@ def encoder(path: str, pattern: str, digest: bool, chunk: int = 16_000_000):
                 a = b
 
     def some(doc_ids, texts) -> pa.RecordBatch:
-        gc.disable()  # many small lists, no cycles
         s = state(path, pattern, digest)
         pieces, find, ids, dec, n = s["pieces"], s["find"], s["ids"], s["dec"], s["n"]
         number = pieces.__getitem__
@@ -233,6 +236,7 @@ def encoder(path: str, pattern: str, digest: bool, chunk: int = 16_000_000):
         if len(pieces) > len(n):
             words, parts = Numbered(), []
             for x in itertools.islice(pieces, len(n), None):
+                s["letters"] += len(x)
                 parts.append([words[x[1:]]] if x[:1] == "\0" else [words[w] for w in find(x if x[:1] == "\n" else " " + x)])
             flat, offs = s["replay"].replay([w.encode("utf-8") for w in words])
             flat, o = flat.tolist(), offs.tolist()

@@ -17,7 +17,6 @@ LEAST_WORDS words long, and then the part that B keeps is extended over it (PAD
 from __future__ import annotations
 
 import bisect
-import gc
 import hashlib
 from collections.abc import Iterator
 

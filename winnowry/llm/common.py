@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import functools
 import gc
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 WS = "[\\x20\\x09-\\x0D]+"
 _TEMP: dict[str, str] = {}
-#: Tables written by this process, in order.
-WRITTEN: list[str] = []
+#: Where table() notes the folders it writes, if within scratch().
+_NOTED: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("noted", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,10 +47,33 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once to the shared folder: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    WRITTEN.append(path)
+    noted = _NOTED.get()
+    if noted is not None:
+        noted.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables written within are deleted at the end: whatever is computed from them must be written by then, as by kept_table()."""
+    mark = _NOTED.set([])
+    try:
+        yield
+    finally:
+        for path in _NOTED.get() or ():
+            delete(spark, path)
+        _NOTED.reset(mark)
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """A table() that outlives the scratch() it is written in."""
+    mark = _NOTED.set(None)
+    try:
+        return table(df, name)
+    finally:
+        _NOTED.reset(mark)
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a table() that nothing reads any more."""
     spark = df.sparkSession

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+from .words import cut_batches
 from winnowry.functions.dom import Node, body_of, parse
 
 UNSEEN = frozenset("head script style template noscript iframe object embed audio video canvas map datalist param source track link meta base title noembed noframes area".split())
@@ -335,17 +337,17 @@ def render(html: str | None) -> str:
     return "\n".join(x.rstrip() for x in out.done()).strip("\n")
 
 
+@released
 def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import sys
 
     sys.setrecursionlimit(20_000)
-    gc.disable()
-    for k, batch in enumerate(stream):
+    for batch in cut_batches(stream, "html"):
         text = [render(h) for h in batch.column("html").to_pylist()]
         n = [t.count("\n") + 1 if t else 0 for t in text]
         sha = [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in text]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(text), pa.array(n, pa.int64()), pa.array(list(map(len, text)), pa.int64()), pa.array(sha)], ["page_id", "text", "n_lines", "n_chars", "text_sha256"])
-        gc.collect()
+        gc.collect()  # trees hold cycles
 
 
 def extract(pages: DataFrame) -> DataFrame:

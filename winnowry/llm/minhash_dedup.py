@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import gc
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import components, gram_hashes, list_values, mix64, table, word_hashes
+from .common import components, gram_hashes, mix64, released, table
+from .words import cut_batches, hashes
 
 REGISTERS, BANDS, ROWS, BLOCK = 126, 21, 6, 1024
 
@@ -57,8 +59,10 @@ def prob_minhash(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n: int,
 
 
 def signer(k: int):
+    """For each text hashes of its words in order (null without words), band keys and signature."""
+
     def some(batch: pa.RecordBatch) -> pa.RecordBatch:
-        offsets, words = list_values(batch.column("words"))
+        offsets, words = hashes(batch.column("text"))
         n = len(batch)
         first = prob_minhash(*weighted_shingles(offsets, words, k), n)
         keys = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], n, 0)
@@ -67,16 +71,15 @@ def signer(k: int):
                 keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + first[:, j::ROWS])
         signature = (mix64(first) & np.uint64(0xFFFFFFFF)).astype("<u4")
         bands = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * BANDS, pa.array(keys.view(np.int64).ravel()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), bands, pa.array([r.tobytes() for r in signature], pa.binary())], ["doc_id", "k1", "k2", "bands", "signature"])
+        blank = np.diff(offsets) == 0
+        both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(words[a:b].tobytes()) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]), "<i8").reshape(n, 2)
+        arrays = [batch.column("doc_id"), batch.column("mark"), batch.column("node"), *(pa.array(both[:, i], mask=blank) for i in (0, 1)), bands, pa.array([r.tobytes() for r in signature], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "mark", "node", "k1", "k2", "bands", "signature"])
 
-    def batches(stream):
-        gc.disable()
-        for batch in stream:
-            total, a = np.cumsum(np.diff(batch.column("words").offsets.to_numpy())), 0
-            while a < len(batch):
-                b = min(max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + 600_000))), a + 2000)
-                yield some(batch.slice(a, b - a))
-                a = b
+    @released
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cut_batches(stream, "text", 3_000_000, 2000):
+            yield some(batch)
 
     return batches
 
@@ -97,16 +100,56 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return total
 
 
+def fewest(least: float) -> float:
+    """Registers that agree in a pair at the bound, but for one of 100,000 pairs: 4.5 standard deviations below the mean."""
+    return REGISTERS * (least - 4.5 * (least * (1 - least) / REGISTERS) ** 0.5)
+
+
+def sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of a pair of blocks on the left and on the right, and whether both are the same block."""
+    side = np.asarray(t.column("side"))
+    return np.flatnonzero(side != 1), np.flatnonzero(side != 0), bool(side[0] == 2)
+
+
+def signatures(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u4").reshape(-1, REGISTERS)
+
+
+def links(u: list[int], v: list[int]) -> pa.RecordBatch | None:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"]) if u else None
+
+
+def candidates(least: float):
+    """Within a pair of blocks of a bucket, links between texts whose signatures agree enough; as many as connect those that any such pair connects."""
+    matches = fewest(least)
+
+    def work(t: pa.Table):
+        rep, sign = np.asarray(t.column("rep")), signatures(t)
+        left, right, _ = sides(t)
+        label = np.arange(len(rep))
+        u, v = [], []
+        for i in left.tolist():
+            others = right[label[right] != label[i]]
+            if len(others):
+                hit = others[np.count_nonzero(sign[others] == sign[i], axis=1) >= matches]
+                at = np.unique(label[hit], return_index=True)[1]
+                for j in hit[at].tolist():
+                    u.append(int(rep[i]))
+                    v.append(int(rep[j]))
+                    label[label == label[j]] = label[i]
+        return links(u, v)
+
+    return work
+
+
 def verifier(k: int, least: float):
-    #: four standard deviations of the estimate below the bound
-    matches = REGISTERS * (least - 4.5 * (least * (1 - least) / REGISTERS) ** 0.5)
+    """Within a pair of blocks of a component, links between texts of enough similarity; as many as connect those that any such pair connects."""
+    matches = fewest(least)
 
     def work(t: pa.Table):
-        side, rep = np.asarray(t.column("side")), np.asarray(t.column("rep"))
+        rep, sign = np.asarray(t.column("rep")), signatures(t)
         n = len(rep)
-        sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u4").reshape(n, REGISTERS)
-        offsets, words = list_values(t.column("words").combine_chunks() if isinstance(t.column("words"), pa.ChunkedArray) else t.column("words"))
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        left, right, alone = sides(t)
         found = []
         theirs = np.ascontiguousarray(sign[right].T)
         for i in left.tolist():
@@ -115,54 +158,67 @@ def verifier(k: int, least: float):
                 agree += theirs[r] == sign[i, r]
             j = np.flatnonzero(agree >= matches)
             other = right[j]
-            ok = other > i if side[0] == 2 else np.ones(len(j), bool)
+            ok = other > i if alone else np.ones(len(j), bool)
             found.append(np.stack([np.full(ok.sum(), i), other[ok], agree[j[ok]]], 1))
         pairs = np.concatenate(found) if found else np.empty((0, 3), np.int64)
         pairs = pairs[np.argsort(-pairs[:, 2], kind="stable")]
+        texts = t.column("text").combine_chunks() if isinstance(t.column("text"), pa.ChunkedArray) else t.column("text")
         sets: dict[int, tuple] = {}
 
         def grams(i: int):
             if i not in sets:
-                _, g, w = weighted_shingles(offsets[i : i + 2], words, k)
+                _, g, w = weighted_shingles(*hashes(texts.slice(i, 1)), k)
                 sets[i] = (g, w)
             return sets[i]
 
-        union, edges = blocks.Union(n), []
+        union, u, v = blocks.Union(n), [], []
         for i, j, _ in pairs.tolist():  # alike pairs of one component need no check: their link changes nothing
             if union.root(i) != union.root(j) and similarity(grams(i), grams(j)) >= least:
                 union.join(i, j)
-                edges.append((int(rep[i]), int(rep[j])))
-        if not edges:
-            return None
-        u, v = zip(*edges, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                u.append(int(rep[i]))
+                v.append(int(rep[j]))
+        return links(u, v)
 
     return work
 
 
+def classes(docs: DataFrame, least: float = 0.8, k: int = 5) -> DataFrame:
+    """dedup()'s rows and mark, a hash of the row's text."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    known = rows.where("doc_id is not null")
+    shared = not known.groupBy("doc_id").count().where("count > 1").isEmpty()
+    # a number for each row that compares like it: its own, or a hash where rows share theirs
+    known = known.withColumn("node", F.xxhash64("doc_id", "text") if shared else F.col("doc_id"))
+    signed = table(known.select("doc_id", "mark", "node", "text").mapInArrow(signer(k), "doc_id bigint, mark bigint, node bigint, k1 bigint, k2 bigint, bands array<bigint>, signature binary"), "signatures")
+    reps = signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct("node", "mark", "bands", "signature")).alias("r"))
+    reps = table(reps.select("k1", "k2", F.col("r.node").alias("rep"), "r.mark", "r.bands", "r.signature"), "texts")
+    # texts that share a band's bucket meet there by their signatures: chance hits end here
+    bands = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    met = blocks.spread(bands, ["band", "key"], "rep", BLOCK).join(reps.select("rep", "signature"), "rep")
+    near = components(blocks.each(met, ["band", "key"], candidates(least), "u bigint, v bigint"))
+    members = table(reps.select("rep", "signature").join(near, F.col("rep") == F.col("node")).select("rep", "signature", "component"), "members")
+    texts = known.select("node", "text").join(members, F.col("node") == F.col("rep")).select("rep", "component", "signature", "text")
+    spread = blocks.spread(texts.dropDuplicates(["rep"]) if shared else texts, ["component"], "rep", BLOCK)
+    found = components(blocks.each(spread, ["component"], verifier(k, least), "u bigint, v bigint"))
+    of_text = reps.select("k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
+    out = signed.select("doc_id", "mark", "k1", "k2").join(of_text, ["k1", "k2"], "left")
+    others = rows.where("doc_id is null").select("doc_id", "mark", "doc_id", F.lit(True)).toDF("doc_id", "mark", "class_id", "kept")
+    if shared:
+        first = out.where("class_id is not null").groupBy("class_id").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+        out = out.join(first, "class_id", "left")
+        kept = F.col("first").isNull() | (F.struct("doc_id", "mark") == F.col("first"))
+        return out.select("doc_id", "mark", F.coalesce("first.doc_id", "doc_id").alias("class_id"), kept.alias("kept")).unionByName(others)
+    return out.select("doc_id", "mark", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept")).unionByName(others)
+
+
 def dedup(docs: DataFrame, least: float = 0.8, k: int = 5) -> DataFrame:
     """(doc_id, class_id, kept): documents linked by a similarity of at least least, over any number of steps.
 
     class_id is the class's smallest doc_id, kept its one row to keep. Documents with the same
     words are one text from the start. Texts without words (null, empty, blank) are alike to none
-    and stay; so do rows without doc_id, whose class is null. Rows that repeat a doc_id are each
-    compared; their classes are those of their texts. Other columns are dropped.
+    and stay; so do rows without doc_id, whose class is null. Rows that share a doc_id are
+    compared each; of those with a class's smallest doc_id the one of smallest text hash is kept,
+    all of them where they are the same. Other columns are dropped; an empty table gives no row.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), word_hashes(F.col("text").cast("string")).alias("words"))
-    some = rows.where((F.size("words") > 0) & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("words").alias("k1"), F.hash("words", F.lit(3)).alias("k2"), "words")
-    signed = table(some.mapInArrow(signer(k), "doc_id bigint, k1 bigint, k2 int, bands array<bigint>, signature binary"), "signatures")
-    reps = table(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("signature", "doc_id").alias("signature")), "texts")
-    bands = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    # every text of a bucket meets the bucket's smallest: that connects all that share any bucket
-    lowest = bands.groupBy("band", "key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1")
-    met = bands.join(lowest, ["band", "key"]).where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v")).distinct()
-    near = components(met)
-    members = table(reps.select("rep", "k1", "k2", "signature").join(near, F.col("rep") == F.col("node")).select("rep", "k1", "k2", "signature", "component"), "members")
-    texts = some.select("doc_id", "k1", "k2", "words").join(members, (F.col("doc_id") == F.col("rep")) & (some.k1 == members.k1) & (some.k2 == members.k2))
-    spread = blocks.spread(table(texts.select("rep", "component", "signature", "words"), "texts"), ["component"], "rep", BLOCK)
-    links = blocks.each(spread, ["component"], verifier(k, least), "u bigint, v bigint")
-    classes = components(links)
-    of_text = reps.select("k1", "k2", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
-    with_words = signed.select("doc_id", "k1", "k2").join(of_text, ["k1", "k2"]).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
-    others = rows.where((F.size("words") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
-    return with_words.unionByName(others)
+    return classes(docs, least, k).drop("mark")

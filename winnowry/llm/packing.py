@@ -11,7 +11,6 @@ the input) is strung together and cut at the capacity, its end into powers of tw
 
 from __future__ import annotations
 
-import gc
 import itertools
 import json
 import unicodedata
@@ -25,12 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Numbered, Replay
-from .common import table
+from .common import released, table
+from .words import cut_batches
 
 TAIL = 64
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, class int, task int, rank bigint, ids binary"
 PLACED = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _STATE: dict = {}
+#: Words, and their letters, of which a worker remembers the ids.
+MOST_WORDS, MOST_LETTERS = 300_000, 6_000_000
 
 
 def byte_chars() -> list[str]:
@@ -65,8 +67,8 @@ def state(path: str) -> dict:
     if _STATE.get("path") != path:
         _STATE.clear()
         _STATE.update(word_bpe(path), path=path)
-    if len(_STATE.get("words", ())) > 600_000 or "words" not in _STATE:
-        _STATE.update(words=Numbered(), ids=[])
+    if len(_STATE.get("words", ())) > MOST_WORDS or _STATE.get("letters", MOST_LETTERS + 1) > MOST_LETTERS:
+        _STATE.update(words=Numbered(), ids=[], letters=0)
     return _STATE
 
 
@@ -86,6 +88,7 @@ def tokenise(texts: list[str | None], path: str) -> list[np.ndarray]:
         docs.append(list(map(number, t.split() if t.isascii() and not any(c in t for c in "\x1c\x1d\x1e\x1f") else s["chunks"](t))))
     fresh, parts, hard = Numbered(), [], []
     for i, w in enumerate(itertools.islice(words, len(ids), None), len(ids)):
+        s["letters"] += len(w)
         if "<|" in w or "İ" in w or "Σ" in w:
             hard.append((i, w))
             parts.append(())
@@ -113,19 +116,19 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def piece_maker(tokens: Callable[[list], list[np.ndarray]], end_id: int, capacity: int):
+    @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         task = TaskContext.get().partitionId()
         ranks: dict[int, int] = {}
         last: dict[int, list[tuple]] = {}
-        for batch in stream:
+        for batch in cut_batches(stream, "text", 5_000_000):
             size = 0
             rows: list[list] = [[] for _ in range(7)]
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             ends = [size := size + len(t or "") for t in texts]
             a = 0
             while a < len(texts):
-                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 12_000_000)))
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 5_000_000)))
                 for d, got in zip(doc_ids[a:b], tokens(texts[a:b]), strict=True):
                     n, start = len(got) + 1, 0
                     raw = np.append(got, np.uint32(end_id)).astype("<u4").tobytes()

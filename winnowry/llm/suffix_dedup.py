@@ -16,7 +16,6 @@ are repeats.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import os
 import uuid
@@ -28,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import local_path, mix64, new_path, table
+from .common import local_path, mix64, new_path, released, table
 from .seeds import select
 
 SIZE, GRAM = 100, 24
@@ -47,6 +46,7 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
         return mix64(h16[: len(raw) - GRAM + 1] * np.uint64(0x99BCF6822B23CA35) + h8[16 : 16 + len(raw) - GRAM + 1])
 
 
+@released
 def seed_maker(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in stream:
         hashes, docs, ats = [], [], []
@@ -89,8 +89,8 @@ def block_maker(buckets: int, flush: int = 24_000_000):
             ["bucket", "blob", "doc_id", "start", "end"],
         )
 
+    @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         held: dict[int, dict[bytes, tuple[int, int, int, bool]]] = {}
         spans, size = [], 0
         for batch in stream:
@@ -261,8 +261,8 @@ def repeats(blocks: list[bytes], doc: np.ndarray, start: np.ndarray, folder: str
 
 
 def bucket_worker(folder: str):
+    @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         blobs: dict[int, list[bytes]] = {}
         for batch in stream:
             for k, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):

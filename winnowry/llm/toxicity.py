@@ -12,9 +12,9 @@ the others as negative, train again.
 
 from __future__ import annotations
 
-import gc
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,6 +24,9 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+from .words import cut_batches
+
 DECAY, SPAN, MOST = 0.75, 8, 24
 #: Rows of each label that training takes, those of least hash: what is gathered stays bounded.
 SAMPLE = {1: 1000, 0: 1500}
@@ -85,10 +88,10 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     lr, ls, lv = features(landmarks)
     table = np.zeros((LETTERS**3, len(landmarks)), np.float32)
     table[ls, lr] = lv
-    for a in range(0, len(words), 2000):
-        row, sub, val = features(words[a : a + 2000])
+    for a in range(0, len(words), 500):
+        row, sub, val = features(words[a : a + 500])
         for k in range(len(landmarks)):
-            out[a : a + 2000, k] = np.bincount(row, val * table[sub, k], min(2000, len(words) - a))
+            out[a : a + 500, k] = np.bincount(row, val * table[sub, k], min(500, len(words) - a))
     return out
 
 
@@ -113,9 +116,9 @@ def pieces(word: str) -> list[str]:
 def word_scores(words: list[str], model: dict) -> np.ndarray:
     """Each word's distance from the SVM's plane; of long words the highest of their pieces'."""
     out = np.full(len(words), -9.0)
-    for a in range(0, len(words), 4000):
+    for a in range(0, len(words), 2000):
         some, owner = [], []
-        for i, w in enumerate(words[a : a + 4000], a):
+        for i, w in enumerate(words[a : a + 2000], a):
             for p in pieces(w):
                 some.append(p)
                 owner.append(i)
@@ -134,10 +137,9 @@ def word_scores(words: list[str], model: dict) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], labels: list[int], landmarks: int = 96, rounds: int = 3) -> dict:
-    """The model from labelled texts. Without texts of both labels, a machine that calls nothing toxic."""
+def train(bags: list[set[str]], labels: list[int], landmarks: int = 96, rounds: int = 3) -> dict:
+    """The model from labelled texts, each as its set of words. Without texts of both labels, a machine that calls nothing toxic."""
     empty = {"table": np.zeros(LETTERS**3, np.float32), "bias": -1.0, "cut": 0.0, "scale": 4.0}
-    bags = [words_of(t) for t in texts]
     good, bad = Counter(), Counter()
     for bag, label in zip(bags, labels, strict=True):
         (bad if label else good).update(bag)
@@ -187,29 +189,36 @@ def train(texts: list[str], labels: list[int], landmarks: int = 96, rounds: int
     return model | {"cut": float(best[np.argmin(abs(best - (best[0] + best[-1]) / 2))])}
 
 
-_SEEN: dict = {}
+#: Words, and their letters, whose scores a task remembers.
+MOST_SEEN, MOST_LETTERS = 200_000, 8_000_000
+
+
+def scores_of(model: dict):
+    """A function from texts to scores. It remembers words' scores within bounds."""
+    seen: dict[str, float] = {}
+    letters = 0
 
+    def scores(texts: list[str | None]) -> np.ndarray:
+        nonlocal letters
+        bags = [words_of(t or "") for t in texts]
+        fresh = list(set().union(*bags).difference(seen))
+        seen.update(zip(fresh, word_scores(fresh, model).tolist(), strict=True))
+        margin = np.array([max(map(seen.__getitem__, bag), default=-9.0) for bag in bags]) - model["cut"]
+        letters += sum(map(len, fresh))
+        if len(seen) > MOST_SEEN or letters > MOST_LETTERS:
+            seen.clear()
+            letters = 0
+        return 1 / (1 + np.exp(-np.clip(model["scale"] * margin, -30, 30)))
 
-def scorer(model: dict, mark: str):
+    return scores
+
+
+def scorer(model: dict):
+    @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        for batch in stream:
-            if _SEEN.get("of") != mark or len(_SEEN["words"]) > 500_000:
-                _SEEN.clear()
-                _SEEN.update(of=mark, words={})
-            seen = _SEEN["words"]
-            texts = batch.column("text").to_pylist()
-            scores, a = [], 0
-            ends = np.cumsum([len(t or "") for t in texts])
-            while a < len(texts):
-                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 8_000_000)))
-                bags = [words_of(t or "") for t in texts[a:b]]
-                fresh = list(set().union(*bags).difference(seen))
-                seen.update(zip(fresh, word_scores(fresh, model).tolist(), strict=True))
-                scores += [max(map(seen.__getitem__, bag), default=-9.0) for bag in bags]
-                a = b
-            margin = np.array(scores) - model["cut"]
-            score = 1 / (1 + np.exp(-np.clip(model["scale"] * margin, -30, 30)))
+        scores = scores_of(model)
+        for batch in cut_batches(stream, "text", 2_000_000):
+            score = scores(batch.column("text").to_pylist())
             arrays = [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "score", "predicted"])
 
@@ -225,9 +234,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None) -> dict:
     for label, most in SAMPLE.items():
         part = rows.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # at most sum(SAMPLE) pairs of a number and a label
-    got = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.distinct()), "doc_id").orderBy("doc_id", "toxic", "text").collect()
-    return train([r.text or "" for r in got], [r.toxic for r in got])
+    # at most sum(SAMPLE) pairs of a number and a label; of the texts the driver keeps one copy of each word
+    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.distinct()), "doc_id").orderBy("doc_id", "toxic", "text")
+    got = [(set(map(sys.intern, words_of(r.text or ""))), r.toxic) for r in chosen.toLocalIterator()]
+    return train([bag for bag, _ in got], [label for _, label in got])
 
 
 def fold(doc_id: str = "doc_id"):
@@ -240,25 +250,17 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A text's score is that of its worst word; null and empty texts score next to 0. A doc_id
     with both labels trains as both. Repeated rows are scored each; other columns are dropped.
     """
-    import uuid
-
     model = fit(docs, labels, fold())
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), fold().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scorer(model, uuid.uuid4().hex), RESULT)
+    return rows.mapInArrow(scorer(model), RESULT)
 
 
 def clean(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows, with all their columns, whose text the model doesn't call toxic."""
-    import uuid
-
-    mark, at = uuid.uuid4().hex, docs.columns.index("text")
-    score_of = scorer(model, mark)
-
+    """The rows, with all their columns, whose text the model doesn't call toxic; null and empty texts stay."""
+    @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            n = len(batch)
-            given = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([False] * n), batch.column(at)], ["doc_id", "held_out", "text"])
-            (scored,) = score_of(iter([given]))
-            yield batch.filter(pa.compute.equal(scored.column("predicted"), 0))
+        scores = scores_of(model)
+        for batch in cut_batches(stream, "text", 2_000_000):
+            yield batch.filter(pa.array(scores(batch.column("text").to_pylist()) < 0.5))
 
     return docs.mapInArrow(batches, docs.schema)
