@@ -6,14 +6,19 @@ import os
 
 from pyspark.sql import SparkSession
 
+BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package from where the driver has it.
 
-    On a cluster that doesn't share this folder, ship the package with --py-files instead.
+    On a cluster that doesn't share this folder, ship the package with --py-files instead. Arrow
+    batches are kept small unless the session says otherwise: texts differ much in length, and a
+    batch is held several times, by the executor and its Python workers.
     """
+    if spark.conf.get(BATCH_BYTES) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_BYTES, "8m")
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
