@@ -40,7 +40,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def local_path(path: str) -> str:
     """A path for plain file access; the shared folder must be mounted where executors run."""
-    return path[len("file://") :] if path.startswith("file://") else path.removeprefix("file:")
+    path = path[len("file://") :] if path.startswith("file://") else path.removeprefix("file:")
+    if "://" in path or path.startswith(("hdfs:", "s3a:", "s3:", "gs:", "abfs")):
+        raise ValueError(f"{path}: this operator reads and writes plain files, so spark.checkpoint.dir must be a mounted folder")
+    return path
 
 
 def table(df: DataFrame, name: str) -> DataFrame:

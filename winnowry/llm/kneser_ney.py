@@ -1,11 +1,14 @@
 """Interpolated modified Kneser-Ney model of any order from two: counted in Spark, memory-mapped for scoring.
 
 Counting: tasks send each bucket of contexts one compressed block of the grams they saw with
-counts; a bucket's blocks are added up and stored as sorted arrays of 64-bit gram hashes with
-their counts, and of contexts with what interpolation needs. Each order's buckets send the next
-lower order its grams with the numbers of distinct words before them. Grams that begin a text have
-their own counts instead, as nothing precedes them. Words are 56-bit hashes. The arrays lie in the
-shared folder, which must be mounted on the workers; scoring maps the files.
+counts; a bucket's blocks are added up and stored, and the bucket sends the next lower order its
+grams with the numbers of distinct words before them. Grams that begin a text have their own
+counts instead, as nothing precedes them. Words are 56-bit hashes. A bucket is one file of sorted
+arrays: contexts by 64-bit hash, of which a slot table and 40 further bits are kept, and their next
+words by 40 bits. A context seen once, as most are, is stored with its one next word; others have
+what interpolation needs and a range of next words with counts. Small numbers take a byte, larger
+ones stand in a list of exceptions. Files lie in the shared folder, which must be mounted on the
+workers; scoring maps them.
 """
 
 from __future__ import annotations
@@ -19,13 +22,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_values, local_path, mix64, new_path, table, word_hashes
+from .common import local_path, mix64, new_path, released, table
+from .words import cut_batches, hashes
 
 MASK = np.uint64((1 << 56) - 1)
 BEGIN, END = np.uint64(0x00B5297A4D3F1C69), np.uint64(0x00D1B54A32D192ED)
 FLUSH = 2_000_000
 ORDER = 3
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+#: What counting passes on: blocks of grams for a bucket; or, with bucket -1, numbers of a kind: 0 a word's, FEW grams by count, STORED a bucket's grams.
+ROWS = "bucket int, blob binary, kind int, word bigint, follows bigint, n bigint"
+FEW, STORED = 1, 2
 
 
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -37,12 +44,12 @@ def context(columns: list[np.ndarray]) -> np.ndarray:
     h = columns[0]
     for c in columns[1:]:
         h = pair_keys(h, c)
-    return h
+    return mix64(h) if len(columns) == 1 else h
 
 
 def sequences(batch, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The columns of each document's grams, one for each token (words and one end), and numbers of tokens."""
-    offsets, values = list_values(batch.column("words"))
+    offsets, values = hashes(batch.column("text"))
     values = values & MASK
     n = len(offsets) - 1
     size = np.diff(offsets) + 1
@@ -73,132 +80,210 @@ def runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def added(columns: list[np.ndarray], follows: np.ndarray, raw: np.ndarray):
-    """The distinct grams, those of one context together, with their summed numbers."""
-    left = context(columns[:-1])
-    key = pair_keys(left, columns[-1])
-    order = np.argsort(key)
-    at = runs(key[order])
-    if not len(at):
-        return columns, follows, raw
-    follows, raw = (np.add.reduceat(x[order], at) for x in (follows, raw))
+def summed(parts: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(columns, context hashes, follows, raw) of the distinct grams of several parts, sorted by context and by scrambled last word."""
+    columns = [np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)]
+    follows, raw = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+    left, last = context(columns[:-1]), mix64(columns[-1])
+    order = np.lexsort((last, left))
+    at = runs(left[order], last[order])
+    if len(at):
+        follows, raw = (np.add.reduceat(x[order], at) for x in (follows, raw))
     first = order[at]
-    order = np.argsort(left[first])
-    return [c[first[order]] for c in columns], follows[order], raw[order]
+    return [c[first] for c in columns], left[first], follows, raw
+
+
+def planes(values: np.ndarray) -> bytes:
+    values = np.ascontiguousarray(values)
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def unplaned(raw: bytes, kind, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind)[:, 0] if n else np.empty(0, kind)
 
 
 def packed(columns: list[np.ndarray], follows: np.ndarray, raw: np.ndarray) -> bytes:
+    """Distinct words by differences, grams as numbers of words in sorted order, the first ones by differences."""
     words, index = np.unique(np.concatenate(columns), return_inverse=True)
-    planes = np.concatenate([index.astype(np.uint32), follows.astype(np.uint32), raw.astype(np.uint32)]).view(np.uint8).reshape(len(columns) + 2, -1, 4).transpose(0, 2, 1)
-    parts = (np.array([len(words), len(raw), len(columns)], np.int64), words, planes)
-    return zstandard.compress(b"".join(p.tobytes() for p in parts), 1)
+    index = index.reshape(len(columns), -1).astype(np.uint32)
+    order = np.lexsort(index[::-1])
+    index = index[:, order]
+    index[0] = np.diff(index[0], prepend=np.uint32(0))
+    parts = [np.array([len(words), len(raw), len(columns)], np.int64).tobytes(), planes(np.diff(words, prepend=np.uint64(0)))]
+    parts += [planes(x) for x in (*index, follows[order], raw[order])]
+    return zstandard.compress(b"".join(parts), 1)
 
 
 def unpacked(blob: bytes):
     raw = zstandard.decompress(blob)
     v, m, k = (int(x) for x in np.frombuffer(raw, np.int64, 3))
-    words = np.frombuffer(raw, np.uint64, v, 24)
-    planes = np.frombuffer(raw, np.uint8, (k + 2) * 4 * m, 24 + 8 * v).reshape(k + 2, 4, m)
-    rows = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint32)[:, :, 0]
-    return [words[r] for r in rows[:k]], rows[k].astype(np.int64), rows[k + 1].astype(np.int64)
-
-
-def summed(parts: list):
-    """Grams of several blocks as one."""
-    return added([np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)], *(np.concatenate([p[i] for p in parts]) for i in (1, 2)))
-
-
-def blocks(buckets: int, columns, follows, raw) -> pa.RecordBatch:
-    bucket = (context(columns[:-1]) % np.uint64(buckets)).astype(np.int64)
+    words = np.cumsum(unplaned(raw, np.uint64, v, 24), dtype=np.uint64)
+    at = 24 + 8 * v
+    index = [unplaned(raw, np.uint32, m, at + 4 * m * i) for i in range(k)]
+    index[0] = np.cumsum(index[0], dtype=np.uint32)
+    at += 4 * m * k
+    return [words[i] for i in index], *(unplaned(raw, np.int64, m, at + 8 * m * i) for i in (0, 1))
+
+
+def rows(bucket=None, blob=None, kind=0, word=None, follows=None, n=None) -> pa.RecordBatch:
+    """A batch of ROWS: of blocks, or of numbers."""
+    size = len(word if bucket is None else bucket)
+    none = lambda t: pa.nulls(size, t)
+    if bucket is not None:
+        arrays = [pa.array(bucket, pa.int32()), pa.array(blob, pa.binary()), none(pa.int32()), *(none(pa.int64()) for _ in range(3))]
+    else:
+        arrays = [pa.array(np.full(size, -1, np.int32)), none(pa.binary()), pa.array(np.full(size, kind, np.int32)), *(pa.array(np.asarray(x).astype(np.int64)) for x in (word, follows, n))]
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", "blob", "kind", "word", "follows", "n"])
+
+
+def block_rows(buckets: int, columns, left, follows, raw) -> pa.RecordBatch:
+    bucket = (left % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     at = runs(bucket)
     blobs = [packed([c[order[x:y]] for c in columns], follows[order[x:y]], raw[order[x:y]]) for x, y in zip(at, [*at[1:], len(order)], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+    return rows(bucket[at], blobs)
 
 
 def counter(buckets: int, order: int):
+    @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in stream:
+        for batch in cut_batches(stream, "text"):
             columns, _ = sequences(batch, order)
             one = np.ones(len(columns[0]), np.int64)
             held.append((columns, one, one))
             n += len(one)
             if n >= FLUSH:
-                yield blocks(buckets, *summed(held))
+                yield block_rows(buckets, *summed(held))
                 held, n = [], 0
         if n:
-            yield blocks(buckets, *summed(held))
+            yield block_rows(buckets, *summed(held))
 
     return batches
 
 
-def save(path: str, name: str, array: np.ndarray) -> None:
-    """Whole or not at all: a repeated task writes the same file again."""
+def slotted(keys: np.ndarray) -> list[np.ndarray]:
+    """Sorted 64-bit keys as starts of slots by their first bits, and the 40 bits after those in two arrays."""
+    bits = min(max(len(keys) // 8, 1).bit_length(), 24)
+    slots = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    return [slots.astype(np.uint32), *forty(keys << np.uint64(bits))]
+
+
+def forty(keys: np.ndarray) -> list[np.ndarray]:
+    """The first 40 bits of 64-bit keys."""
+    return [(keys >> np.uint64(32)).astype(np.uint32), (keys >> np.uint64(24)).astype(np.uint8)]
+
+
+def narrow(values: np.ndarray) -> list[np.ndarray]:
+    """Numbers in one byte each, and where and what those are that need more."""
+    at = np.flatnonzero(values >= 255)
+    return [np.minimum(values, 255).astype(np.uint8), at.astype(np.uint32), values[at].astype(np.uint64)]
+
+
+LAYOUT = [
+    *(("single_" + k, t) for k, t in (("slots", "u4"), ("high", "u4"), ("low", "u1"), ("word_high", "u4"), ("word_low", "u1"))),
+    *(("left_" + k, t) for k, t in (("slots", "u4"), ("high", "u4"), ("low", "u1"), ("start", "u4"))),
+    *((k + e, t) for k in ("total", "ones", "twos", "count") for e, t in (("", "u1"), ("_at", "u4"), ("_value", "u8"))),
+    ("word_high", "u4"),
+    ("word_low", "u1"),
+]
+
+
+def save(path: str, name: str, arrays: list[np.ndarray]) -> None:
+    """Arrays after a list of their lengths, whole or not at all: a repeated task writes the same file again."""
     os.makedirs(path, exist_ok=True)
     part = f"{path}/.{name}.{os.getpid()}"
-    array.tofile(part)
+    with open(part, "wb") as f:
+        f.write(np.array([len(arrays), *map(len, arrays)], np.int64).tobytes())
+        for a in arrays:
+            f.write(a.tobytes() + bytes(-a.nbytes % 8))
     os.replace(part, f"{path}/{name}")
 
 
+def mapped(maps: dict, path: str, name: str, layout: list) -> dict[str, np.ndarray]:
+    """A file's arrays, mapped; a file that ought to be there and isn't is an error."""
+    if name not in maps:
+        raw = np.memmap(f"{path}/{name}", np.uint8, "r")
+        n = int(raw[:8].view(np.int64)[0])
+        sizes = raw[8 : 8 + 8 * n].view(np.int64).tolist()
+        at, out = 8 + 8 * n, {}
+        for (key, kind), size in zip(layout, sizes, strict=True):
+            width = size * int(kind[1])
+            out[key] = raw[at : at + width].view(kind)
+            at += width + -width % 8
+        maps[name] = out
+    return maps[name]
+
+
+def store(path: str, name: str, left: np.ndarray, right: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Stores grams sorted by context and scrambled last word; returns the numbers of those with counts 1 to 4."""
+    at = runs(left)
+    kinds = np.diff(np.append(at, len(left)))
+    single = (kinds == 1) & (count[at] == 1)
+    rest = np.ones(len(left), bool)
+    rest[at[single]] = False
+    many = at[~single]
+    add = lambda x: np.add.reduceat(x, at)[~single] if len(at) else np.empty(0, np.int64)
+    last = mix64(right)
+    arrays = [*slotted(left[at[single]]), *forty(last[at[single]]), *slotted(left[many]), np.append(0, np.cumsum(kinds[~single])).astype(np.uint32)]
+    for values in (add(count), add((count == 1).astype(np.int64)), add((count == 2).astype(np.int64)), count[rest]):
+        arrays += narrow(values)
+    if rest.sum() >= 1 << 32:
+        raise ValueError("a bucket is too large: raise spark.sql.shuffle.partitions")
+    save(path, name, [*arrays, *forty(last[rest])])
+    return np.bincount(np.minimum(count, 5), minlength=6)[1:5]
+
+
 def bucket_writer(path: str, buckets: int, size: int, top: bool):
     """Stores the grams of size words and passes on those one word shorter: as blocks, or as words with numbers."""
 
+    @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: dict[int, list[bytes]] = {}
         for batch in stream:
-            for k, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                blobs.setdefault(k, []).append(blob)
+            number = np.asarray(batch.column("bucket"))
+            if (number < 0).any():
+                yield batch.filter(pa.array(number < 0))
+            for k, blob in zip(number.tolist(), batch.column("blob").to_pylist(), strict=True):
+                if k >= 0:
+                    blobs.setdefault(k, []).append(blob)
         for k in list(blobs):
-            columns, follows, raw = summed([unpacked(b) for b in blobs.pop(k)])
+            columns, left, follows, raw = summed([unpacked(b) for b in blobs.pop(k)])
             # with two begins, a gram is a shorter one at the start of a text
             whole = (columns[1] != BEGIN) if size > 2 else np.ones(len(raw), bool)
-            few = store(k, [c[whole] for c in columns], (raw if top else np.where(columns[0] == BEGIN, raw, follows))[whole])
+            count = raw if top else np.where(columns[0] == BEGIN, raw, follows)
+            few = store(path, f"{size}-{k}", left[whole], columns[-1][whole], count[whole])
+            yield rows(kind=10 * size + FEW, word=np.arange(1, 5), follows=few, n=np.zeros(4))
+            yield rows(kind=10 * size + STORED, word=[k], follows=[int(whole.sum())], n=[0])
             if size > 2:
-                rest = summed([(columns[1:], np.ones(len(raw), np.int64), raw)])
-                yield blocks(buckets, *rest)
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([few.astype(np.int64).tobytes()], pa.binary())], ["bucket", "blob"])
+                yield block_rows(buckets, *summed([(columns[1:], np.ones(len(raw), np.int64), raw)]))
             else:
                 order = np.argsort(columns[1], kind="stable")
                 r, c = columns[1][order], raw[order]
                 at = runs(r)
-                yield out(np.zeros(len(at), np.int32), r[at], np.diff(np.append(at, len(r))), np.add.reduceat(c, at))
-                yield out(np.ones(4, np.int32), np.arange(1, 5, dtype=np.uint64), few, np.zeros(4, np.int64))
-
-    def store(k, columns, count):
-        left = context(columns[:-1])
-        keys = pair_keys(left, columns[-1])
-        order = np.argsort(keys)
-        save(path, f"pair{size}-key-{k}", keys[order])
-        save(path, f"pair{size}-count-{k}", count[order].astype(np.uint32))
-        at = runs(left)
-        if len(at):
-            ones = [np.add.reduceat((count == c).astype(np.uint32), at) for c in (1, 2)]
-            total, kinds = np.add.reduceat(count, at), np.diff(np.append(at, len(left)))
-            save(path, f"left{size}-key-{k}", left[at])
-            save(path, f"left{size}-stat-{k}", np.stack([total, *ones, kinds - ones[0] - ones[1]], 1).astype(np.uint32))
-        return np.bincount(np.minimum(count, 5), minlength=6)[1:5]
-
-    def out(kind, word, follows, count):
-        arrays = [pa.array(kind), pa.array(word.astype(np.int64)), pa.array(follows.astype(np.int64)), pa.array(count.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(arrays, ["kind", "word", "follows", "n"])
+                yield rows(word=r[at], follows=np.diff(np.append(at, len(r))), n=np.add.reduceat(c, at))
 
     return batches
 
 
+WORDS = [("key", "u8"), ("follows", "u1"), ("follows_at", "u4"), ("follows_value", "u8"), ("n", "u1"), ("n_at", "u4"), ("n_value", "u8")]
+
+
 def word_writer(path: str):
+    @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [[np.asarray(b.column(i)) for i in range(4)] for b in stream]
-        if not rows:
+        parts = [[np.asarray(b.column(i)) for i in range(4)] for b in stream]
+        if not parts:
             return
-        bucket, word, follows, n = (np.concatenate(x) for x in zip(*rows, strict=True))
-        for k in np.unique(bucket):
-            at = np.flatnonzero(bucket == k)
-            at = at[np.argsort(word[at].astype(np.uint64))]
-            save(path, f"word-key-{k}", word[at].astype(np.uint64))
-            save(path, f"word-stat-{k}", np.stack([follows[at], n[at]], 1).astype(np.float64))
-        yield pa.RecordBatch.from_arrays([pa.array([len(word)], pa.int64())], ["n"])
+        bucket, word, follows, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((word, bucket))
+        bucket, word, follows, n = (x[order] for x in (bucket, word, follows, n))
+        at = runs(bucket)
+        for x, y in zip(at, [*at[1:], len(bucket)], strict=True):
+            save(path, f"1-{bucket[x]}", [word[x:y].astype(np.uint64), *narrow(follows[x:y]), *narrow(n[x:y])])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[at])], ["bucket"])
 
     return batches
 
@@ -213,89 +298,138 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]
 
 
-def fit(words: DataFrame, order: int = ORDER) -> dict:
-    """Counts (words array<bigint>) rows and stores the model; returns its description."""
-    spark = words.sparkSession
+def fit(texts: DataFrame, order: int = ORDER) -> dict:
+    """Counts (text string) rows and stores the model; returns its description, with the buckets that have files."""
+    spark = texts.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    url = new_path(spark, "kneser-ney")
-    path = local_path(url)
-    kinds = "bucket int, blob binary"
-    grams = words.select("words").mapInArrow(counter(buckets, order), kinds)
-    d = {}
-    for size in range(order, 2, -1):
-        whole = table(grams.repartition(buckets // 2, "bucket").mapInArrow(bucket_writer(path, buckets, size, size == order), kinds), "grams")
-        d[size] = discounts(np.sum([np.frombuffer(r.blob, np.int64) for r in whole.where("bucket < 0").select("blob").collect()] or [[0] * 4], 0).tolist())
-        grams = whole.where("bucket >= 0")
-    gathered = grams.repartition(buckets // 2, "bucket").mapInArrow(bucket_writer(path, buckets, 2, order == 2), "kind int, word bigint, follows bigint, n bigint")
-    gathered = table(gathered.groupBy("kind", "word").agg(F.sum("follows").alias("follows"), F.sum("n").alias("n")), "words")
-    few = {r.word: r.follows for r in gathered.where("kind = 1").collect()}
+    path = local_path(new_path(spark, "kneser-ney"))
+    grams = texts.select("text").mapInArrow(counter(buckets, order), ROWS)
+    for size in range(order, 1, -1):
+        # numbers, which are for the driver and for words, keep to any task
+        spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("kind", "word"), F.lit(buckets)).cast("int"))
+        grams = grams.repartition(buckets // 2, spread).mapInArrow(bucket_writer(path, buckets, size, size == order), ROWS)
+    gathered = table(grams.groupBy("kind", "word").agg(F.sum("follows").alias("follows"), F.sum("n").alias("n")), "words")
+    few: dict[int, dict[int, int]] = {}
+    stored: dict[int, set[int]] = {1: set()}
+    # 4 rows an order, and one for each of its buckets
+    for r in gathered.where("kind > 0").collect():
+        if r.kind % 10 == FEW:
+            few.setdefault(r.kind // 10, {})[r.word] = r.follows
+        else:
+            stored.setdefault(r.kind // 10, set()).add(r.word)
     vocabulary = gathered.where("kind = 0")
     s = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("follows"), F.lit(0)).alias("f"), *(F.count_if(F.col("follows") == i).alias(f"f{i}") for i in range(1, 5))).first()
     bucket = F.pmod(F.col("word"), F.lit(buckets)).cast("int").alias("bucket")
-    vocabulary.select(bucket, "word", "follows", "n").repartition(buckets // 2, "bucket").mapInArrow(word_writer(path), "n bigint").agg(F.sum("n")).collect()
-    return {"path": path, "buckets": buckets, "v": s.v, "n": s.n, "follows": s.f, "order": order, "d": d | {2: discounts([few.get(i, 0) for i in range(1, 5)])}, "d1": discounts([s.f1, s.f2, s.f3, s.f4]), "few": [s.f1, s.f2, s.v - s.f1 - s.f2]}
-
-
-_MAPS: dict = {}
-
-
-def mapped(path: str, name: str, dtype, width: int = 1) -> np.ndarray:
-    """A memory-mapped array; a bucket without rows has no file."""
-    key = (path, name)
-    if key not in _MAPS:
-        if len(_MAPS) > 10_000:
-            _MAPS.clear()
-        file = f"{path}/{name}"
-        a = np.memmap(file, dtype, "r") if os.path.exists(file) and os.path.getsize(file) else np.empty(0, dtype)
-        _MAPS[key] = a.reshape(-1, width) if width > 1 else a
-    return _MAPS[key]
+    written = vocabulary.select(bucket, "word", "follows", "n").repartition(buckets // 2, "bucket").mapInArrow(word_writer(path), "bucket int")
+    stored[1] = {r.bucket for r in written.collect()}
+    d = {size: discounts([few.get(size, {}).get(i, 0) for i in range(1, 5)]) for size in range(2, order + 1)}
+    return {"path": path, "buckets": buckets, "stored": stored, "v": s.v, "n": s.n, "follows": s.f, "order": order, "d": d, "d1": discounts([s.f1, s.f2, s.f3, s.f4]), "few": [s.f1, s.f2, s.v - s.f1 - s.f2]}
+
+
+def within(high: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    """Where in [start, end) each 40-bit key stands, -1 if it doesn't; keys are sorted within the ranges."""
+    wanted = (keys[0].astype(np.int64) << 8) | keys[1]
+    a, b = start.astype(np.int64), end.astype(np.int64)
+    live = np.flatnonzero(a < b)
+    while len(live):
+        m = (a[live] + b[live]) >> 1
+        less = ((high[m].astype(np.int64) << 8) | low[m]) < wanted[live]
+        a[live[less]] = m[less] + 1
+        b[live[~less]] = m[~less]
+        live = live[a[live] < b[live]]
+    at = np.minimum(a, max(len(high) - 1, 0))
+    if not len(high):
+        return np.full(len(wanted), -1)
+    return np.where((a < end) & (((high[at].astype(np.int64) << 8) | low[at]) == wanted), a, -1)
+
+
+def sought(t: dict[str, np.ndarray], name: str, keys: np.ndarray) -> np.ndarray:
+    """Where 64-bit keys stand among slotted() ones, -1 if they don't."""
+    slots = t[name + "_slots"]
+    bits = np.uint64((len(slots) - 1).bit_length() - 1)
+    slot = (keys >> (np.uint64(64) - bits)).astype(np.int64)
+    return within(t[name + "_high"], t[name + "_low"], slots[slot], slots[slot + 1], forty(keys << bits))
+
+
+def wide(t: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    """The narrow() numbers at those places."""
+    out = t[name][at].astype(np.int64)
+    large = np.flatnonzero(out == 255)
+    if len(large):
+        out[large] = t[name + "_value"][np.searchsorted(t[name + "_at"], at[large])]
+    return out
 
 
-def find(model: dict, kind: str, bucket: np.ndarray, keys: np.ndarray, dtype, width: int) -> np.ndarray:
-    """The rows stored for the keys, zeros for unknown ones; each bucket's keys are sought in sorted order."""
-    out = np.zeros((len(keys), width) if width > 1 else len(keys), np.float64)
-    order = np.lexsort((keys, bucket))
+def grouped(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
     at = runs(bucket[order])
-    stat = "count" if kind.startswith("pair") else "stat"
     for x, y in zip(at, [*at[1:], len(order)], strict=True):
-        rows, k = order[x:y], int(bucket[order[x]])
-        stored = mapped(model["path"], f"{kind}-key-{k}", np.uint64)
-        if not len(stored):
-            continue
-        i = np.minimum(np.searchsorted(stored, keys[rows]), len(stored) - 1)
-        hit = stored[i] == keys[rows]
-        out[rows[hit]] = mapped(model["path"], f"{kind}-{stat}-{k}", dtype, width)[i[hit]]
-    return out
+        yield int(bucket[order[x]]), order[x:y]
 
 
 def discount(counts: np.ndarray, d: list[float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(counts, 3).astype(np.int64)]
 
 
-def probabilities(model: dict, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def looked_up(model: dict, maps: dict, size: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each gram its count and its context's (total, grams of count 1, 2, 3 or more)."""
+    lefts, where = np.unique(left, return_inverse=True)
+    stats, count = np.zeros((len(lefts), 4), np.int64), np.zeros(len(left), np.int64)
+    order = np.argsort(where, kind="stable")
+    bound = np.searchsorted(where[order], np.arange(len(lefts) + 1))
+    last = mix64(right)
+    for k, some in grouped(lefts % np.uint64(model["buckets"])):
+        if k not in model["stored"].get(size, ()):
+            continue
+        t = mapped(maps, model["path"], f"{size}-{k}", LAYOUT)
+        single, many = sought(t, "single", lefts[some]), sought(t, "left", lefts[some])
+        stats[some[single >= 0]] = (1, 1, 0, 0)
+        has = many >= 0
+        at = many[has]
+        start, end = (t["left_start"][at + i].astype(np.int64) for i in (0, 1))
+        total, ones, twos = (wide(t, name, at) for name in ("total", "ones", "twos"))
+        stats[some[has]] = np.stack([total, ones, twos, end - start - ones - twos], 1)
+        ranges = np.zeros((len(some), 2), np.int64)
+        ranges[has] = np.stack([start, end], 1)
+        own = bound[some + 1] - bound[some]
+        tokens = order[np.repeat(bound[some] - np.cumsum(own) + own, own) + np.arange(own.sum())]
+        of = np.repeat(np.arange(len(some)), own)
+        key = forty(last[tokens])
+        alone = single[of]
+        hit = alone >= 0
+        count[tokens[hit]] = (t["single_word_high"][alone[hit]] == key[0][hit]) & (t["single_word_low"][alone[hit]] == key[1][hit])
+        place = within(t["word_high"], t["word_low"], ranges[of, 0], ranges[of, 1], key)
+        hit = place >= 0
+        count[tokens[hit]] = wide(t, "count", place[hit])
+    return count, stats[where]
+
+
+def probabilities(model: dict, maps: dict, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """P(last word | those before) of the model, and each last word's count in training."""
-    buckets = np.uint64(model["buckets"])
     right = columns[-1]
     words, back = np.unique(right, return_inverse=True)
-    stat = find(model, "word", words % buckets, words, np.float64, 2)
+    stat = np.zeros((len(words), 2), np.int64)
+    for k, some in grouped(words % np.uint64(model["buckets"])):
+        if k in model["stored"][1]:
+            t = mapped(maps, model["path"], f"1-{k}", WORDS)
+            i = np.minimum(np.searchsorted(t["key"], words[some]), len(t["key"]) - 1)
+            hit = t["key"][i] == words[some]
+            stat[some[hit]] = np.stack([wide(t, name, i[hit]) for name in ("follows", "n")], 1)
     total = max(model["follows"], 1)
     spread = sum(d * n for d, n in zip(model["d1"], model["few"], strict=True)) / total if model["follows"] else 1.0
     p = (np.maximum(stat[:, 0] - discount(stat[:, 0], model["d1"]), 0) / total + spread / (model["v"] + 1))[back]
     for size in range(2, model["order"] + 1):
         d = model["d"][size]
-        left = context(columns[-size:-1])
-        count = find(model, f"pair{size}", left % buckets, pair_keys(left, right), np.uint32, 1)
-        lefts, where = np.unique(left, return_inverse=True)
-        c = find(model, f"left{size}", lefts % buckets, lefts, np.uint32, 4)
+        count, c = looked_up(model, maps, size, context(columns[-size:-1]), right)
         gamma = np.where(c[:, 0] > 0, c[:, 1:] @ np.array(d) / np.maximum(c[:, 0], 1), 1.0)
-        p = np.maximum(count - discount(count, d), 0) / np.maximum(c[:, 0], 1)[where] + gamma[where] * p
+        p = np.maximum(count - discount(count, d), 0) / np.maximum(c[:, 0], 1) + gamma * p
     return p, stat[back, 1]
 
 
 def scorer(model: dict):
-    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def some(batch: pa.RecordBatch, maps: dict) -> pa.RecordBatch:
         columns, size = sequences(batch, model["order"])
-        p, c = probabilities(model, columns)
+        p, c = probabilities(model, maps, columns)
         at = np.cumsum(size) - size
         n = len(size)
         base = np.log10((c + 0.5) / (model["n"] + 0.5 * (model["v"] + 1)))
@@ -303,14 +437,11 @@ def scorer(model: dict):
         arrays = [batch.column("doc_id"), batch.column("held_out"), pa.array(size.astype(np.int64)), pa.array(add((c > 0).astype(np.int64)).astype(np.int64)), pa.array(np.full(n, model["n"], np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))]
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
+    @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            size = np.diff(batch.column("words").offsets.to_numpy())
-            total, a = np.cumsum(size), 0
-            while a < len(size):
-                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + FLUSH)))
-                yield some(batch.slice(a, b - a))
-                a = b
+        maps: dict = {}
+        for batch in cut_batches(stream, "text"):
+            yield some(batch, maps)
 
     return batches
 
@@ -319,9 +450,9 @@ def score(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     """Learns from the rows that aren't held out and scores all: log10 probabilities of whole texts.
 
     Null and empty texts are one end token. held_out: a boolean column; null counts as false.
-    Repeated rows count as often as they stand there; other columns are dropped. Perplexity is
-    10 ** (-score / n_tokens).
+    Repeated rows count as often as they stand there; other columns are dropped; an empty table
+    gives no row. Perplexity is 10 ** (-score / n_tokens).
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), word_hashes(F.col("text").cast("string")).alias("words"))
-    model = fit(rows.where("not held_out"), order)
-    return rows.mapInArrow(scorer(model), RESULT)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    model = fit(texts.where("not held_out"), order)
+    return texts.mapInArrow(scorer(model), RESULT)
