@@ -4,9 +4,9 @@ Counting: tasks send each bucket of contexts one compressed block of the grams t
 counts; a bucket's blocks are added up and stored, and the bucket sends the next lower order its
 grams with the numbers of distinct words before them. Grams that begin a text have their own
 counts instead, as nothing precedes them. Words are 56-bit hashes. A bucket is one file of sorted
-arrays: contexts by 64-bit hash, of which a slot table and 40 further bits are kept, and their next
-words by 40 bits. A context seen once, as most are, is stored with its one next word; others have
-what interpolation needs and a range of next words with counts. Small numbers take a byte, larger
+arrays: contexts by 64-bit hash, of which a slot table and 40 further bits are kept, and grams
+likewise, with counts. A context seen once, as most are, is stored with 40 bits of its one next
+word; others have what interpolation needs. Small numbers take a byte, larger
 ones stand in a list of exceptions. Files lie in the shared folder, which must be mounted on the
 workers; scoring maps them.
 """
@@ -27,12 +27,14 @@ from .words import cut_batches, hashes
 
 MASK = np.uint64((1 << 56) - 1)
 BEGIN, END = np.uint64(0x00B5297A4D3F1C69), np.uint64(0x00D1B54A32D192ED)
-FLUSH = 2_000_000
+FLUSH = 3_000_000
 ORDER = 3
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 #: What counting passes on: blocks of grams for a bucket; or, with bucket -1, numbers of a kind: 0 a word's, FEW grams by count, STORED a bucket's grams.
 ROWS = "bucket int, blob binary, kind int, word bigint, follows bigint, n bigint"
 FEW, STORED = 1, 2
+#: Buckets of a task.
+SPLIT = 2
 
 
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -47,26 +49,29 @@ def context(columns: list[np.ndarray]) -> np.ndarray:
     return mix64(h) if len(columns) == 1 else h
 
 
-def sequences(batch, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The columns of each document's grams, one for each token (words and one end), and numbers of tokens."""
+def tokens_of(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's tokens (its words and one end), their places in it, and numbers of tokens."""
     offsets, values = hashes(batch.column("text"))
-    values = values & MASK
     n = len(offsets) - 1
     size = np.diff(offsets) + 1
     ends = np.cumsum(size) - 1
-    right = np.empty(int(size.sum()), np.uint64)
-    inner = np.ones(len(right), bool)
+    token = np.empty(int(size.sum()), np.uint64)
+    inner = np.ones(len(token), bool)
     inner[ends] = False
-    right[inner] = values[offsets[0] : offsets[-1]] if n else values[:0]
-    right[ends] = END
-    place = np.arange(len(right)) - np.repeat(ends - size + 1, size)
-    columns = [right]
+    token[inner] = (values[offsets[0] : offsets[-1]] if n else values[:0]) & MASK
+    token[ends] = END
+    return token, np.arange(len(token)) - np.repeat(ends - size + 1, size), size
+
+
+def grams(token: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
+    """The columns of the grams that end in each token."""
+    columns = [token]
     for back in range(1, order):
-        left = np.full(len(right), BEGIN)
-        left[back:] = right[: max(len(right) - back, 0)]
+        left = np.full(len(token), BEGIN)
+        left[back:] = token[: max(len(token) - back, 0)]
         left[place < back] = BEGIN
         columns.insert(0, left)
-    return columns, size
+    return columns
 
 
 def runs(*columns: np.ndarray) -> np.ndarray:
@@ -80,17 +85,17 @@ def runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def summed(parts: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """(columns, context hashes, follows, raw) of the distinct grams of several parts, sorted by context and by scrambled last word."""
-    columns = [np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)]
-    follows, raw = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
-    left, last = context(columns[:-1]), mix64(columns[-1])
-    order = np.lexsort((last, left))
-    at = runs(left[order], last[order])
-    if len(at):
-        follows, raw = (np.add.reduceat(x[order], at) for x in (follows, raw))
+def summed(columns: list[np.ndarray], follows: np.ndarray | None = None, raw: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(columns, context hashes, follows, raw) of the distinct grams, sorted by context; numbers that aren't given are ones."""
+    left = context(columns[:-1])
+    key = pair_keys(left, columns[-1])
+    order = np.argsort(key)
+    at = runs(key[order])
     first = order[at]
-    return [c[first] for c in columns], left[first], follows, raw
+    size = np.diff(np.append(at, len(key)))
+    follows, raw = ((np.add.reduceat(x[order], at) if len(at) else x) if x is not None else size for x in (follows, raw))
+    order = np.argsort(left[first])
+    return [c[first[order]] for c in columns], left[first[order]], follows[order], raw[order]
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -107,7 +112,14 @@ def packed(columns: list[np.ndarray], follows: np.ndarray, raw: np.ndarray) -> b
     """Distinct words by differences, grams as numbers of words in sorted order, the first ones by differences."""
     words, index = np.unique(np.concatenate(columns), return_inverse=True)
     index = index.reshape(len(columns), -1).astype(np.uint32)
-    order = np.lexsort(index[::-1])
+    width = np.uint64(max(len(words).bit_length(), 1))
+    if width * len(columns) <= 64:
+        key = index[0].astype(np.uint64)
+        for x in index[1:]:
+            key = key << width | x
+        order = np.argsort(key)
+    else:
+        order = np.lexsort(index[::-1])
     index = index[:, order]
     index[0] = np.diff(index[0], prepend=np.uint32(0))
     parts = [np.array([len(words), len(raw), len(columns)], np.int64).tobytes(), planes(np.diff(words, prepend=np.uint64(0)))]
@@ -137,29 +149,34 @@ def rows(bucket=None, blob=None, kind=0, word=None, follows=None, n=None) -> pa.
     return pa.RecordBatch.from_arrays(arrays, ["bucket", "blob", "kind", "word", "follows", "n"])
 
 
-def block_rows(buckets: int, columns, left, follows, raw) -> pa.RecordBatch:
-    bucket = (left % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    at = runs(bucket)
+def block_rows(parts: int, columns, left, follows, raw) -> pa.RecordBatch:
+    """A block for each task of the next step: context % parts."""
+    part = (left % np.uint64(parts)).astype(np.uint16 if parts < 65536 else np.int64)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    at = runs(part)
     blobs = [packed([c[order[x:y]] for c in columns], follows[order[x:y]], raw[order[x:y]]) for x, y in zip(at, [*at[1:], len(order)], strict=True)]
-    return rows(bucket[at], blobs)
+    return rows(part[at], blobs)
+
 
+def counter(parts: int, order: int):
+    def flush(held):
+        token, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        return block_rows(parts, *summed(grams(token, place, order)))
 
-def counter(buckets: int, order: int):
     @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in cut_batches(stream, "text"):
-            columns, _ = sequences(batch, order)
-            one = np.ones(len(columns[0]), np.int64)
-            held.append((columns, one, one))
-            n += len(one)
+            token, place, _ = tokens_of(batch)
+            held.append((token, place.astype(np.int32)))
+            n += len(token)
             if n >= FLUSH:
-                yield block_rows(buckets, *summed(held))
-                held, n = [], 0
+                yield flush(held)
+                n = 0
         if n:
-            yield block_rows(buckets, *summed(held))
+            yield flush(held)
 
     return batches
 
@@ -184,10 +201,8 @@ def narrow(values: np.ndarray) -> list[np.ndarray]:
 
 LAYOUT = [
     *(("single_" + k, t) for k, t in (("slots", "u4"), ("high", "u4"), ("low", "u1"), ("word_high", "u4"), ("word_low", "u1"))),
-    *(("left_" + k, t) for k, t in (("slots", "u4"), ("high", "u4"), ("low", "u1"), ("start", "u4"))),
-    *((k + e, t) for k in ("total", "ones", "twos", "count") for e, t in (("", "u1"), ("_at", "u4"), ("_value", "u8"))),
-    ("word_high", "u4"),
-    ("word_low", "u1"),
+    *((n + "_" + k, t) for n in ("left", "gram") for k, t in (("slots", "u4"), ("high", "u4"), ("low", "u1"))),
+    *((k + e, t) for k in ("total", "ones", "twos", "more", "count") for e, t in (("", "u1"), ("_at", "u4"), ("_value", "u8"))),
 ]
 
 
@@ -205,7 +220,7 @@ def save(path: str, name: str, arrays: list[np.ndarray]) -> None:
 def mapped(maps: dict, path: str, name: str, layout: list) -> dict[str, np.ndarray]:
     """A file's arrays, mapped; a file that ought to be there and isn't is an error."""
     if name not in maps:
-        raw = np.memmap(f"{path}/{name}", np.uint8, "r")
+        raw = np.memmap(f"{path}/{name}", np.uint8, "r").view(np.ndarray)
         n = int(raw[:8].view(np.int64)[0])
         sizes = raw[8 : 8 + 8 * n].view(np.int64).tolist()
         at, out = 8 + 8 * n, {}
@@ -225,19 +240,23 @@ def store(path: str, name: str, left: np.ndarray, right: np.ndarray, count: np.n
     rest = np.ones(len(left), bool)
     rest[at[single]] = False
     many = at[~single]
-    add = lambda x: np.add.reduceat(x, at)[~single] if len(at) else np.empty(0, np.int64)
-    last = mix64(right)
-    arrays = [*slotted(left[at[single]]), *forty(last[at[single]]), *slotted(left[many]), np.append(0, np.cumsum(kinds[~single])).astype(np.uint32)]
-    for values in (add(count), add((count == 1).astype(np.int64)), add((count == 2).astype(np.int64)), count[rest]):
-        arrays += narrow(values)
-    if rest.sum() >= 1 << 32:
+    add = lambda x: np.add.reduceat(x.astype(np.int64), at)[~single] if len(at) else np.empty(0, np.int64)
+    if len(left) >= 1 << 32:
         raise ValueError("a bucket is too large: raise spark.sql.shuffle.partitions")
-    save(path, name, [*arrays, *forty(last[rest])])
+    keys = pair_keys(left[rest], right[rest])
+    order = np.argsort(keys)
+    arrays = [*slotted(left[at[single]]), *forty(mix64(right[at[single]])), *slotted(left[many]), *slotted(keys[order])]
+    for values in (add(count), add(count == 1), add(count == 2), add(count > 2), count[rest][order]):
+        arrays += narrow(values)
+    save(path, name, arrays)
     return np.bincount(np.minimum(count, 5), minlength=6)[1:5]
 
 
-def bucket_writer(path: str, buckets: int, size: int, top: bool):
-    """Stores the grams of size words and passes on those one word shorter: as blocks, or as words with numbers."""
+def bucket_writer(path: str, parts: int, size: int, top: bool):
+    """Stores the grams of size words and passes on those one word shorter: as blocks, or as words with numbers.
+
+    A task has one part, in SPLIT buckets that are worked on one after the other.
+    """
 
     @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,25 +268,40 @@ def bucket_writer(path: str, buckets: int, size: int, top: bool):
             for k, blob in zip(number.tolist(), batch.column("blob").to_pylist(), strict=True):
                 if k >= 0:
                     blobs.setdefault(k, []).append(blob)
-        for k in list(blobs):
-            columns, left, follows, raw = summed([unpacked(b) for b in blobs.pop(k)])
-            # with two begins, a gram is a shorter one at the start of a text
-            whole = (columns[1] != BEGIN) if size > 2 else np.ones(len(raw), bool)
-            count = raw if top else np.where(columns[0] == BEGIN, raw, follows)
-            few = store(path, f"{size}-{k}", left[whole], columns[-1][whole], count[whole])
-            yield rows(kind=10 * size + FEW, word=np.arange(1, 5), follows=few, n=np.zeros(4))
-            yield rows(kind=10 * size + STORED, word=[k], follows=[int(whole.sum())], n=[0])
-            if size > 2:
-                yield block_rows(buckets, *summed([(columns[1:], np.ones(len(raw), np.int64), raw)]))
-            else:
-                order = np.argsort(columns[1], kind="stable")
-                r, c = columns[1][order], raw[order]
-                at = runs(r)
-                yield rows(word=r[at], follows=np.diff(np.append(at, len(r))), n=np.add.reduceat(c, at))
+        for part in list(blobs):
+            shorter = []
+            some = blobs.pop(part)
+            for k in range(part, SPLIT * parts, parts):
+                columns, left, follows, raw = summed(*bucket_of(some, k, SPLIT * parts))
+                # with two begins, a gram is a shorter one at the start of a text
+                whole = (columns[1] != BEGIN) if size > 2 else np.ones(len(raw), bool)
+                count = raw if top else np.where(columns[0] == BEGIN, raw, follows)
+                few = store(path, f"{size}-{k}", left[whole], columns[-1][whole], count[whole])
+                yield rows(kind=10 * size + FEW, word=np.arange(1, 5), follows=few, n=np.zeros(4))
+                yield rows(kind=10 * size + STORED, word=[k], follows=[int(whole.sum())], n=[0])
+                if size > 2:
+                    shorter.append(summed(columns[1:], np.ones(len(raw), np.int64), raw))
+                elif len(raw):
+                    order = np.argsort(columns[1])
+                    r, c = columns[1][order], raw[order]
+                    at = runs(r)
+                    yield rows(word=r[at], follows=np.diff(np.append(at, len(r))), n=np.add.reduceat(c, at))
+            if shorter:
+                columns = [np.concatenate(x) for x in zip(*(s[0] for s in shorter), strict=True)]
+                yield block_rows(parts, *summed(columns, *(np.concatenate([s[i] for s in shorter]) for i in (2, 3))))
 
     return batches
 
 
+def bucket_of(blobs: list[bytes], k: int, buckets: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    found = []
+    for blob in blobs:
+        columns, follows, raw = unpacked(blob)
+        at = np.flatnonzero(context(columns[:-1]) % np.uint64(buckets) == k)
+        found.append(([c[at] for c in columns], follows[at], raw[at]))
+    return [np.concatenate(c) for c in zip(*(f[0] for f in found), strict=True)], *(np.concatenate([f[i] for f in found]) for i in (1, 2))
+
+
 WORDS = [("key", "u8"), ("follows", "u1"), ("follows_at", "u4"), ("follows_value", "u8"), ("n", "u1"), ("n_at", "u4"), ("n_value", "u8")]
 
 
@@ -301,14 +335,15 @@ def discounts(n: list[int]) -> list[float]:
 def fit(texts: DataFrame, order: int = ORDER) -> dict:
     """Counts (text string) rows and stores the model; returns its description, with the buckets that have files."""
     spark = texts.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = SPLIT * parts
     path = local_path(new_path(spark, "kneser-ney"))
-    grams = texts.select("text").mapInArrow(counter(buckets, order), ROWS)
+    found = texts.select("text").mapInArrow(counter(parts, order), ROWS)
     for size in range(order, 1, -1):
         # numbers, which are for the driver and for words, keep to any task
-        spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("kind", "word"), F.lit(buckets)).cast("int"))
-        grams = grams.repartition(buckets // 2, spread).mapInArrow(bucket_writer(path, buckets, size, size == order), ROWS)
-    gathered = table(grams.groupBy("kind", "word").agg(F.sum("follows").alias("follows"), F.sum("n").alias("n")), "words")
+        spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("kind", "word"), F.lit(parts)).cast("int"))
+        found = found.repartition(parts, spread).mapInArrow(bucket_writer(path, parts, size, size == order), ROWS)
+    gathered = table(found.groupBy("kind", "word").agg(F.sum("follows").alias("follows"), F.sum("n").alias("n")), "words")
     few: dict[int, dict[int, int]] = {}
     stored: dict[int, set[int]] = {1: set()}
     # 4 rows an order, and one for each of its buckets
@@ -320,35 +355,33 @@ def fit(texts: DataFrame, order: int = ORDER) -> dict:
     vocabulary = gathered.where("kind = 0")
     s = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("follows"), F.lit(0)).alias("f"), *(F.count_if(F.col("follows") == i).alias(f"f{i}") for i in range(1, 5))).first()
     bucket = F.pmod(F.col("word"), F.lit(buckets)).cast("int").alias("bucket")
-    written = vocabulary.select(bucket, "word", "follows", "n").repartition(buckets // 2, "bucket").mapInArrow(word_writer(path), "bucket int")
+    written = vocabulary.select(bucket, "word", "follows", "n").repartition(parts, "bucket").mapInArrow(word_writer(path), "bucket int")
     stored[1] = {r.bucket for r in written.collect()}
     d = {size: discounts([few.get(size, {}).get(i, 0) for i in range(1, 5)]) for size in range(2, order + 1)}
     return {"path": path, "buckets": buckets, "stored": stored, "v": s.v, "n": s.n, "follows": s.f, "order": order, "d": d, "d1": discounts([s.f1, s.f2, s.f3, s.f4]), "few": [s.f1, s.f2, s.v - s.f1 - s.f2]}
 
 
-def within(high: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
-    """Where in [start, end) each 40-bit key stands, -1 if it doesn't; keys are sorted within the ranges."""
-    wanted = (keys[0].astype(np.int64) << 8) | keys[1]
-    a, b = start.astype(np.int64), end.astype(np.int64)
-    live = np.flatnonzero(a < b)
-    while len(live):
-        m = (a[live] + b[live]) >> 1
-        less = ((high[m].astype(np.int64) << 8) | low[m]) < wanted[live]
-        a[live[less]] = m[less] + 1
-        b[live[~less]] = m[~less]
-        live = live[a[live] < b[live]]
-    at = np.minimum(a, max(len(high) - 1, 0))
-    if not len(high):
-        return np.full(len(wanted), -1)
-    return np.where((a < end) & (((high[at].astype(np.int64) << 8) | low[at]) == wanted), a, -1)
-
-
 def sought(t: dict[str, np.ndarray], name: str, keys: np.ndarray) -> np.ndarray:
     """Where 64-bit keys stand among slotted() ones, -1 if they don't."""
-    slots = t[name + "_slots"]
+    slots, high, low = (t[f"{name}_{x}"] for x in ("slots", "high", "low"))
+    out = np.full(len(keys), -1)
+    if not len(high):
+        return out
     bits = np.uint64((len(slots) - 1).bit_length() - 1)
     slot = (keys >> (np.uint64(64) - bits)).astype(np.int64)
-    return within(t[name + "_high"], t[name + "_low"], slots[slot], slots[slot + 1], forty(keys << bits))
+    first, last = forty(keys << bits)
+    at, end = slots[slot].astype(np.int64), slots[slot + 1].astype(np.int64)
+    live = np.flatnonzero(at < end)
+    while len(live):  # a slot holds few keys: one after the other
+        here = at[live]
+        value, wanted = high[here], first[live]
+        same = value == wanted
+        hit = live[same][low[here[same]] == last[live[same]]]
+        out[hit] = at[hit]
+        live = live[(value <= wanted) & (out[live] < 0)]
+        at[live] += 1
+        live = live[at[live] < end[live]]
+    return out
 
 
 def wide(t: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
@@ -361,7 +394,7 @@ def wide(t: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
 
 
 def grouped(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 65536 else bucket, kind="stable")
     at = runs(bucket[order])
     for x, y in zip(at, [*at[1:], len(order)], strict=True):
         yield int(bucket[order[x]]), order[x:y]
@@ -373,35 +406,28 @@ def discount(counts: np.ndarray, d: list[float]) -> np.ndarray:
 
 def looked_up(model: dict, maps: dict, size: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each gram its count and its context's (total, grams of count 1, 2, 3 or more)."""
-    lefts, where = np.unique(left, return_inverse=True)
-    stats, count = np.zeros((len(lefts), 4), np.int64), np.zeros(len(left), np.int64)
-    order = np.argsort(where, kind="stable")
-    bound = np.searchsorted(where[order], np.arange(len(lefts) + 1))
-    last = mix64(right)
-    for k, some in grouped(lefts % np.uint64(model["buckets"])):
+    stats, count = np.zeros((len(left), 4), np.int64), np.zeros(len(left), np.int64)
+    for k, tokens in grouped(left % np.uint64(model["buckets"])):
         if k not in model["stored"].get(size, ()):
             continue
         t = mapped(maps, model["path"], f"{size}-{k}", LAYOUT)
-        single, many = sought(t, "single", lefts[some]), sought(t, "left", lefts[some])
-        stats[some[single >= 0]] = (1, 1, 0, 0)
+        lefts, where = np.unique(left[tokens], return_inverse=True)
+        single = sought(t, "single", lefts)
+        many = sought(t, "left", lefts)
+        own = np.zeros((len(lefts), 4), np.int64)
+        own[single >= 0] = (1, 1, 0, 0)
         has = many >= 0
-        at = many[has]
-        start, end = (t["left_start"][at + i].astype(np.int64) for i in (0, 1))
-        total, ones, twos = (wide(t, name, at) for name in ("total", "ones", "twos"))
-        stats[some[has]] = np.stack([total, ones, twos, end - start - ones - twos], 1)
-        ranges = np.zeros((len(some), 2), np.int64)
-        ranges[has] = np.stack([start, end], 1)
-        own = bound[some + 1] - bound[some]
-        tokens = order[np.repeat(bound[some] - np.cumsum(own) + own, own) + np.arange(own.sum())]
-        of = np.repeat(np.arange(len(some)), own)
-        key = forty(last[tokens])
-        alone = single[of]
-        hit = alone >= 0
-        count[tokens[hit]] = (t["single_word_high"][alone[hit]] == key[0][hit]) & (t["single_word_low"][alone[hit]] == key[1][hit])
-        place = within(t["word_high"], t["word_low"], ranges[of, 0], ranges[of, 1], key)
+        own[has] = np.stack([wide(t, name, many[has]) for name in ("total", "ones", "twos", "more")], 1)
+        stats[tokens] = own[where]
+        alone = single[where]
+        hit = np.flatnonzero(alone >= 0)
+        key = forty(mix64(right[tokens[hit]]))
+        count[tokens[hit]] = (t["single_word_high"][alone[hit]] == key[0]) & (t["single_word_low"][alone[hit]] == key[1])
+        some = tokens[has[where]]
+        place = sought(t, "gram", pair_keys(left[some], right[some]))
         hit = place >= 0
-        count[tokens[hit]] = wide(t, "count", place[hit])
-    return count, stats[where]
+        count[some[hit]] = wide(t, "count", place[hit])
+    return count, stats
 
 
 def probabilities(model: dict, maps: dict, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -421,15 +447,15 @@ def probabilities(model: dict, maps: dict, columns: list[np.ndarray]) -> tuple[n
     for size in range(2, model["order"] + 1):
         d = model["d"][size]
         count, c = looked_up(model, maps, size, context(columns[-size:-1]), right)
-        gamma = np.where(c[:, 0] > 0, c[:, 1:] @ np.array(d) / np.maximum(c[:, 0], 1), 1.0)
+        gamma = np.where(c[:, 0] > 0, (c[:, 1] * d[0] + c[:, 2] * d[1] + c[:, 3] * d[2]) / np.maximum(c[:, 0], 1), 1.0)
         p = np.maximum(count - discount(count, d), 0) / np.maximum(c[:, 0], 1) + gamma * p
     return p, stat[back, 1]
 
 
 def scorer(model: dict):
     def some(batch: pa.RecordBatch, maps: dict) -> pa.RecordBatch:
-        columns, size = sequences(batch, model["order"])
-        p, c = probabilities(model, maps, columns)
+        token, place, size = tokens_of(batch)
+        p, c = probabilities(model, maps, grams(token, place, model["order"]))
         at = np.cumsum(size) - size
         n = len(size)
         base = np.log10((c + 0.5) / (model["n"] + 0.5 * (model["v"] + 1)))
