@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import local_path, mix64, new_path, released, table
 from .seeds import select
 
-SIZE, GRAM = 100, 24
+SIZE, GRAM = 100, 40
 WINDOW = SIZE - GRAM + 1
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
@@ -43,7 +43,8 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
         h4 = h2[:-2] * np.uint64(0xCA5A826395121157) + h2[2:]
         h8 = h4[:-4] * np.uint64(0x7FB5D329728EA185) + h4[4:]
         h16 = h8[:-8] * np.uint64(0x81DADEF4BC2DD44D) + h8[8:]
-        return mix64(h16[: len(raw) - GRAM + 1] * np.uint64(0x99BCF6822B23CA35) + h8[16 : 16 + len(raw) - GRAM + 1])
+        h32 = h16[:-16] * np.uint64(0x99BCF6822B23CA35) + h16[16:]
+        return mix64(h32[: len(raw) - GRAM + 1] * np.uint64(0xA24BAED4963EE407) + h8[32 : 32 + len(raw) - GRAM + 1])
 
 
 @released
