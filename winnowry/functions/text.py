@@ -63,8 +63,8 @@ def clean_forum_date(c: Column) -> Column:
 
 def js_unescape(c: Column) -> Column:
     out = c
-    for old, new in (("\\\\'", "'"), ('\\\\"', '"'), ("\\\\/", "/"), ("\\\\r", ""), ("\\\\n", "\n")):
-        out = F.regexp_replace(out, old.replace("\\\\", "\\\\\\\\"), new)
+    for old, new in (("\\'", "'"), ('\\"', '"'), ("\\/", "/"), ("\\r", ""), ("\\n", "\n")):
+        out = F.replace(out, F.lit(old), F.lit(new))
     return out
 
 
@@ -76,19 +76,32 @@ def clean_ocr_text(c: Column) -> Column:
 MOJIBAKE = "[\\xC2\\xC3][\\x80-\\xBF]|\\xE2\\x{20AC}|\\xE2\\x80|\\xF0\\x9F|\\x{0192}\\xC2"
 
 
+def one_byte(ch: str) -> int:
+    """The byte that a character stands for in Windows-1252, or in Latin-1 where that has none."""
+    try:
+        return ch.encode("cp1252")[0]
+    except UnicodeEncodeError:
+        return ord(ch)
+
+
+#: Characters that may be the second and later bytes of a UTF-8 sequence.
+_LATER = "".join({chr(b) for b in range(0x80, 0xC0)} | {bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xC0)})
+_SEQUENCE = re.compile(f"[\u00c2-\u00df][{_LATER}]|[\u00e0-\u00ef][{_LATER}]{{2}}|[\u00f0-\u00f4][{_LATER}]{{3}}")
+
+
+def _decoded(m: re.Match) -> str:
+    try:
+        return bytes(map(one_byte, m[0])).decode("utf-8")
+    except UnicodeDecodeError:
+        return m[0]
+
+
 def fix_mojibake(text: str | None) -> str | None:
-    """UTF-8 read as a one-byte encoding, read again as UTF-8 as long as that works; stray bytes stay."""
+    """UTF-8 that was read in a one-byte encoding, up to twice over, read as UTF-8; each sequence by itself, so other characters don't hinder it."""
     if not text or not re.search(r"[\u00c2\u00c3][\u0080-\u00bf]|\u00e2\u20ac|\u00e2\u0080|\u00f0\u0178|\u00f0\u009f|[\u00c2\u00c3]\u0192|\u00c3[\u0152-\u2122]", text):
         return text
     for _ in range(2):
-        for codec in ("cp1252", "latin-1"):
-            try:
-                new = text.encode(codec).decode("utf-8")
-                break
-            except UnicodeError:
-                continue
-        else:
-            return text
+        new = _SEQUENCE.sub(_decoded, text)
         if new == text:
             break
         text = new

@@ -98,10 +98,11 @@ def merge_table_rows(rows: DataFrame, least_rows: int = 8, least_kept: int = 2,
     rows = rows.withColumn("_t", F.when(inside & (F.col("link_density") < max_links), key))
     w = Window.partitionBy(*KEY, "_t")
     length = F.col("length")
-    median = F.element_at(F.array_sort(F.collect_list("length").over(w)), (F.floor(F.count("*").over(w) / 2) + 1).cast("int"))
+    rows = rows.withColumn("_rank", F.row_number().over(w.orderBy("length", "idx")))
+    median = F.max(F.when(F.col("_rank") == F.floor(F.count("*").over(w) / 2) + 1, length)).over(w)
     even = F.col("_t").isNotNull() & (F.count("*").over(w) >= least_rows) & (F.sum(F.when(F.col("class_type") == "good", 1).otherwise(0)).over(w) >= least_kept)
     even = even & (F.avg(length).over(w) > 0) & (median <= max_median) & (F.stddev_pop(length).over(w) <= max_spread * F.avg(length).over(w))
-    return rows.withColumn("_even", even).withColumn("class_type", F.when(F.col("_even"), "good").otherwise(F.col("class_type"))).drop("_t", "_even")
+    return rows.withColumn("_even", even).withColumn("class_type", F.when(F.col("_even"), "good").otherwise(F.col("class_type"))).drop("_t", "_rank", "_even")
 
 
 BARE, ORDINAL = "^(-|\\d{1,3}\\.)$", "^(\\d{1,3})\\.$"

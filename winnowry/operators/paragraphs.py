@@ -64,23 +64,32 @@ def to_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], FIELDS)
 
 
-def from_pages(pages: DataFrame, forum_qa: bool = True, fix_encoding: bool = True, variants: bool = True, preprocessor=segment.clean) -> DataFrame:
-    """(page_id, html) to paragraph rows; a row-local map, so it serves streams as well. Null and blank pages give no row."""
+def from_pages(pages: DataFrame, forum_qa: bool = True, fix_encoding: bool = True, variants: bool = True, preprocessor=segment.clean, carry: str | None = None) -> DataFrame:
+    """(page_id, html) to paragraph rows; a row-local map, so it serves streams as well. Null and blank pages give no row.
+
+    carry names a string column of the pages that each of a page's rows gets.
+    """
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         for batch in stream:
-            rows, size = [], 0
-            for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            rows, own, size = [], [], 0
+            carried = batch.column(2).to_pylist() if carry else [None] * len(batch)
+            for page_id, html, x in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), carried, strict=True):
                 rows += page_rows(page_id, html, forum_qa, fix_encoding, variants, preprocessor)
+                own += [x] * (len(rows) - len(own))
                 size += len(html or "")
                 if size > BATCH_CHARS:
-                    yield to_batch(rows)
-                    rows, size = [], 0
+                    yield with_own(to_batch(rows), own)
+                    rows, own, size = [], [], 0
                     gc.collect()
-            yield to_batch(rows)
+            yield with_own(to_batch(rows), own)
+
+    def with_own(batch: pa.RecordBatch, own: list) -> pa.RecordBatch:
+        return batch.append_column(carry, pa.array(own, pa.string())) if carry else batch
 
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "html").mapInArrow(batches, SCHEMA)
+    some = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "html", *([carry] if carry else []))
+    return some.mapInArrow(batches, SCHEMA + (f", {carry} string" if carry else ""))
 
 
 def from_lines(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnowry.functions import stopwords
 from winnowry.functions.text import clean_wiki_markup
-from winnowry.operators import classify, paragraphs
+from winnowry.operators import classify, dedup, learned, paragraphs
 
 STOP = {code: code for code in ("en", "fr", "de", "es")}
 
@@ -17,33 +17,41 @@ def language_of(html) -> F.Column:
     return F.lower(F.regexp_extract(html, "(?i)<html[^>]*\\blang\\s*=\\s*[\"']?([a-z]{2})", 1))
 
 
-def classified(pages: DataFrame, languages=tuple(STOP), t: classify.Thresholds = classify.Thresholds(), **options) -> DataFrame:
-    """Paragraph rows of pages with their classes; stop words by the page's own language, English where that's unknown."""
+def classified(pages: DataFrame, languages=tuple(STOP), t: classify.Thresholds = classify.Thresholds(), drop_repeats: bool = False, model=None, **options) -> DataFrame:
+    """Paragraph rows of pages with their classes; stop words by the page's own language, English where that's unknown.
+
+    drop_repeats makes paragraphs bad that repeat earlier kept ones of their page, exactly, nearly
+    or within them. model is a fitted pipeline over learned.columns() that judges the paragraphs
+    instead of the rules. Other options are those of paragraphs.from_pages.
+    """
     stop = {code: stopwords.words(code) for code in languages}
     found = F.coalesce(F.nullif(language_of(F.col("html")), F.lit("")), F.lit("en"))
-    lang = F.when(found.isin(*languages), found).otherwise("en")
-    # the language rides in front of the page so that no join brings it back
-    rows = paragraphs.from_pages(pages, **options)
-    langs = pages.select(F.col("page_id").cast("bigint").alias("page_id"), lang.alias("lang")).groupBy("page_id").agg(F.min("lang").alias("lang"))
-    return classify.classify(rows.join(langs, "page_id"), stop, "lang", t)
+    # the language rides along with the page, so that no join brings it back
+    pages = pages.select("page_id", "html", F.when(found.isin(*languages), found).otherwise("en").alias("lang"))
+    rows = classify.classify(paragraphs.from_pages(pages, carry="lang", **options), stop, "lang", t)
+    if model is not None:
+        rows = learned.apply(learned.features(rows), model)
+    return dedup.drop_duplicates(rows) if drop_repeats else rows
 
 
 def documents(rows: DataFrame) -> DataFrame:
     """(page_id, n_paragraphs, n_kept, text): of a page's variants the one that keeps most; 1 and 2 only where they beat 0."""
     kept = F.col("class_type") == "good"
+    # wiki marks are undone by paragraph: what one holds says nothing of the others, and verbatim text keeps its own
+    rows = rows.withColumn("text", F.when(F.col("verbatim"), F.col("text")).otherwise(clean_wiki_markup(F.col("text"))))
     per = rows.groupBy("page_id", "variant").agg(
         F.count("*").alias("n_paragraphs"),
         F.count_if(kept).alias("n_kept"),
         F.coalesce(F.sum(F.when(kept, F.char_length("text"))), F.lit(0)).alias("chars"),
         F.array_sort(F.collect_list(F.when(kept, F.struct("idx", "text")))).alias("parts"),
     )
-    text = clean_wiki_markup(F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n"))
-    best = F.max_by(F.struct("n_paragraphs", "n_kept", text.alias("text")), F.struct("score", -F.col("variant")))
-    base = F.max(F.when(F.col("variant") == 0, F.col("chars")))
-    per = per.join(per.groupBy("page_id").agg(base.alias("base")), "page_id")
+    text = F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n")
+    base = F.max(F.when(F.col("variant") == 0, F.col("chars"))).over(Window.partitionBy("page_id"))
     # long links are given back only to pages of which next to nothing was kept
-    score = F.when((F.col("variant") == 2) & (F.col("base") >= 300), F.lit(-1)).otherwise(F.col("chars"))
-    return per.withColumn("score", score).groupBy("page_id").agg(best.alias("b")).select("page_id", "b.n_paragraphs", "b.n_kept", "b.text")
+    score = F.when((F.col("variant") == 2) & (base >= 300), F.lit(-1)).otherwise(F.col("chars"))
+    best = F.max_by(F.struct("n_paragraphs", "n_kept", "text"), F.struct("score", -F.col("variant")))
+    per = per.select("page_id", "variant", "n_paragraphs", "n_kept", text.alias("text"), score.alias("score"))
+    return per.groupBy("page_id").agg(best.alias("b")).select("page_id", "b.n_paragraphs", "b.n_kept", "b.text")
 
 
 def extract(pages: DataFrame, **options) -> DataFrame:

@@ -46,7 +46,7 @@ def line_documents(spark, sf_dir):
 
 def line_duplicates(spark, sf_dir):
     rows = lines(spark, sf_dir).withColumn("class_type", F.lit("good"))
-    return dedup.exact_duplicates(rows).where("duplicate").groupBy(F.col("page_id").alias("doc_id")).agg(F.count("*").alias("n"))
+    return dedup.duplicate_counts(rows).select(F.col("page_id").alias("doc_id"), "n")
 
 
 def length_percentiles(spark, sf_dir):
@@ -184,12 +184,3 @@ def oracles() -> dict[str, str]:
         "turn_tags": _tags_sql(),
         "script_share": "with s as (select page_id, length(html) as chars, coalesce(list_sum(list_transform(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1), lambda x: length(x))), 0)::bigint as script_chars from pages) select page_id, chars, script_chars, chars >= 20000 and script_chars::double / chars > 0.30 as flagged from s",
     }
-
-
-def __getattr__(name: str):
-    if name == "ORACLES":  # the word lists come from Spark, so a session must be there
-        return oracles()
-    raise AttributeError(name)
-
-
-__all__ = ["QUERIES", "oracles", "words"]
