@@ -26,10 +26,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered_words, mix64, released
+from .common import lowered_words, mix64, released, table
 from .words import bounds, cut_batches, hashes, spans
 
-SEED, PAD, DROP, FLUSH, NEAR, GROUP = 5, 40, 12, 1_500_000, 16, 500
+SEED, PAD, DROP, FLUSH, NEAR, GROUP, MOST = 5, 40, 12, 1_500_000, 16, 500, 3_000_000
 GAP_COST, LEAST_WORDS, IDENTITY = 0.1, 40, 0.8
 RESULT = "doc_id bigint, mark bigint, n_words bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
 PASS_ON = -1
@@ -57,14 +57,21 @@ def block_batch(bucket: np.ndarray, columns: list[np.ndarray], kind: int) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), kind, np.int32)), pa.array(bucket[cut].astype(np.int32)), pa.array(blobs, pa.binary())], ["kind", "bucket", "blob"])
 
 
-def gathered(stream: Iterator[pa.RecordBatch], n: int) -> Iterator[list[np.ndarray]]:
-    """The columns of each bucket."""
+def gathered(stream: Iterator[pa.RecordBatch], n: int, by: int) -> Iterator[list[np.ndarray]]:
+    """The columns of each bucket; those of a large one in parts of about MOST rows, by a hash of one of them."""
     blobs: dict[int, list[bytes]] = {}
     for batch in stream:
         for k, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
             blobs.setdefault(k, []).append(blob)
     for k in list(blobs):
-        yield [np.concatenate(x) for x in zip(*(unpacked(b, n) for b in blobs.pop(k)), strict=True)]
+        some = blobs.pop(k)
+        parts = sum(map(zstandard.frame_content_size, some)) // (8 * n * MOST) + 1
+        for part in range(parts):
+            found = [unpacked(b, n) for b in some]
+            if parts > 1:
+                hits = [np.flatnonzero(mix64(c[by].astype(np.uint64) + np.uint64(7)) % np.uint64(parts) == part) for c in found]
+                found = [[x[hit] for x in c] for c, hit in zip(found, hits, strict=True)]
+            yield [np.concatenate(x) for x in zip(*found, strict=True)]
 
 
 def binaries(rows: np.ndarray, cut: np.ndarray) -> pa.Array:
@@ -120,7 +127,7 @@ def seed_maker(buckets: int):
         if len(hit):
             by = np.lexsort((a[hit], d[first], d[hit]))
             rows = [d[hit][by], d[first][by], a[hit][by], a[first][by]]
-            yield block_batch(doc_bucket(rows[0], buckets), rows, PASS_ON)
+            yield block_batch(doc_bucket(rows[1], buckets), rows, PASS_ON)
         h = h[keep]
         yield block_batch((h % np.uint64(buckets)).astype(np.int64), [(h >> np.uint64(24)).astype(np.int64), d[keep], a[keep]], 0)
 
@@ -153,14 +160,14 @@ def matcher(buckets: int):
                 yield batch.filter(pa.array(~on))
 
         passed: list[pa.RecordBatch] = []
-        for seed, doc, at in gathered(seeds(), 3):
+        for seed, doc, at in gathered(seeds(), 3, 0):
             order, first = repeated(seed, doc, at)
             hit = doc[first] < doc[order]
             order, first = order[hit], first[hit]
             if len(order):
                 by = np.lexsort((at[order], doc[first], doc[order]))
                 order, first = order[by], first[by]
-                yield block_batch(doc_bucket(doc[order], buckets), [doc[order], doc[first], at[order], at[first]], 0)
+                yield block_batch(doc_bucket(doc[first], buckets), [doc[order], doc[first], at[order], at[first]], 0)
         yield from passed
 
     return batches
@@ -250,8 +257,8 @@ def parted(d: np.ndarray, e: np.ndarray, a: np.ndarray, o: np.ndarray, n: np.nda
 
 @released
 def chainer(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of matches to rows of an earlier document and the runs of up to GROUP parts in it."""
-    for columns in gathered(stream, 4):
+    """Blocks of matches, by earlier document, to rows of such a document and the runs of up to GROUP parts in it."""
+    for columns in gathered(stream, 4, 0):
         runs = runs_of(*columns)
         order, new = parted(*runs)
         runs = [c[order] for c in runs]
@@ -402,29 +409,43 @@ def merged(found: list[tuple[int, int]], near: int) -> list[list[int]]:
     return runs
 
 
+def pairs_of(words: np.ndarray) -> np.ndarray:
+    """Each two neighbouring words as one number."""
+    w = words.astype(np.uint64)
+    return w[:-1] << np.uint64(31) | w[1:]
+
+
+def laned(pairs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that differ from part to part, and their parts."""
+    lane = np.repeat(np.arange(len(pairs), dtype=np.uint64), [len(x) for x in pairs])
+    with np.errstate(over="ignore"):
+        return mix64(np.concatenate(pairs) + lane * np.uint64(0x9E3779B97F4A7C15)), lane.astype(np.int64)
+
+
 def passages(docs: list[tuple[np.ndarray, list[tuple[list, np.ndarray]]]]) -> list[list[tuple[int, int]]]:
     """For each document (words, parts) the spans of LEAST_WORDS words or more that are alike in one part's earlier text.
 
     A part is its runs and the words around them in the earlier text. Runs are joined by aligning
-    the words between them; the ends are extended by up to PAD words with a gapped alignment. A
-    part whose surroundings hold too few common words for a passage in any order stays without:
-    no alignment could make it long enough.
+    the words between them; the ends are extended by up to PAD words with a gapped alignment. Of
+    LEAST_WORDS columns at most a share of 1 - IDENTITY differ, so all but that share twice over,
+    and one, are same words followed by same words: a part whose surroundings have fewer pairs of
+    neighbouring words in common is none, whatever the alignment.
     """
     work, gaps, ends, near, theirs = [], [], [], [], []
     for k, (own, found) in enumerate(docs):
+        pairs = pairs_of(own)
         for runs, other in found:
             part = stretches(runs)
-            lane = len(work) << 32
             (a, b, _), (p, q, n) = part[0], part[-1]
-            near.append(own[max(0, a - PAD) : p + n + PAD] + lane)
-            theirs.append(other[max(0, b - PAD) : q + n + PAD] + lane)
+            near.append(pairs[max(0, a - PAD) : p + n + PAD - 1])
+            theirs.append(pairs_of(other[max(0, b - PAD) : q + n + PAD]))
             work.append((k, part, own, other))
     out: list[list[tuple[int, int]]] = [[] for _ in docs]
     if not work:
         return out
-    keys = np.concatenate(near)
-    common = np.bincount((keys >> 32)[np.isin(keys, np.concatenate(theirs))], minlength=len(work))
-    work = [work[i] for i in np.flatnonzero(common >= LEAST_WORDS * IDENTITY).tolist()]
+    keys, lane = laned(near)
+    common = np.bincount(lane, np.isin(keys, laned(theirs)[0]), len(work))
+    work = [work[i] for i in np.flatnonzero(common >= LEAST_WORDS * (2 * IDENTITY - 1) - 1).tolist()]
     for _, part, own, other in work:
         for (p, q, n), (p2, q2, _) in zip(part, part[1:], strict=False):
             gaps.append((own[p + n : p2], other[q + n : q2]))
@@ -495,7 +516,7 @@ def cut_passages(docs: DataFrame) -> DataFrame:
     seeds = docs.mapInArrow(seed_maker(buckets), kinds).repartition(buckets // 2, "bucket")
     met = seeds.mapInArrow(matcher(buckets), kinds).repartition(buckets // 2, "bucket")
     # a row holds the parts of GROUP documents at most: a much repeated text is read once for that many
-    wanted = met.mapInArrow(chainer, "other_id bigint, runs binary")
+    wanted = table(met.mapInArrow(chainer, "other_id bigint, runs binary"), "chains")
     placed = docs.repartition(n, "doc_id")
     theirs = placed.withColumnRenamed("doc_id", "other_id").join(wanted, "other_id")
     cut = theirs.select("other_id", "text", "runs").mapInArrow(slicer, "doc_id bigint, other_id bigint, runs binary, words binary")

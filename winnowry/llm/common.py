@@ -47,12 +47,18 @@ def local_path(path: str) -> str:
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once to the shared folder: cuts lineage, survives lost executors."""
+    """The rows of df, written once to the shared folder: cuts lineage, survives lost executors.
+
+    The shuffle files behind it are of no use any more; Spark deletes them when the driver's JVM
+    collects its garbage, which is asked for here lest they pile up on the workers' disks.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     noted = _NOTED.get()
     if noted is not None:
         noted.append(path)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

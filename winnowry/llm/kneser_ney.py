@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_path, mix64, new_path, released, table
+from .common import drop_table, local_path, mix64, new_path, released, table
 from .words import cut_batches, hashes
 
 MASK = np.uint64((1 << 56) - 1)
@@ -33,8 +33,6 @@ RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, trai
 #: What counting passes on: blocks of grams for a bucket; or, with bucket -1, numbers of a kind: 0 a word's, FEW grams by count, STORED a bucket's grams.
 ROWS = "bucket int, blob binary, kind int, word bigint, follows bigint, n bigint"
 FEW, STORED = 1, 2
-#: Buckets of a task.
-SPLIT = 2
 
 
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -149,9 +147,9 @@ def rows(bucket=None, blob=None, kind=0, word=None, follows=None, n=None) -> pa.
     return pa.RecordBatch.from_arrays(arrays, ["bucket", "blob", "kind", "word", "follows", "n"])
 
 
-def block_rows(parts: int, columns, left, follows, raw) -> pa.RecordBatch:
-    """A block for each task of the next step: context % parts."""
-    part = (left % np.uint64(parts)).astype(np.uint16 if parts < 65536 else np.int64)
+def block_rows(buckets: int, columns, left, follows, raw) -> pa.RecordBatch:
+    """A block for each bucket of the next step: context % buckets."""
+    part = (left % np.uint64(buckets)).astype(np.uint16 if buckets < 65536 else np.int64)
     order = np.argsort(part, kind="stable")
     part = part[order]
     at = runs(part)
@@ -159,11 +157,11 @@ def block_rows(parts: int, columns, left, follows, raw) -> pa.RecordBatch:
     return rows(part[at], blobs)
 
 
-def counter(parts: int, order: int):
+def counter(buckets: int, order: int):
     def flush(held):
         token, place = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        return block_rows(parts, *summed(grams(token, place, order)))
+        return block_rows(buckets, *summed(grams(token, place, order)))
 
     @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,11 +250,8 @@ def store(path: str, name: str, left: np.ndarray, right: np.ndarray, count: np.n
     return np.bincount(np.minimum(count, 5), minlength=6)[1:5]
 
 
-def bucket_writer(path: str, parts: int, size: int, top: bool):
-    """Stores the grams of size words and passes on those one word shorter: as blocks, or as words with numbers.
-
-    A task has one part, in SPLIT buckets that are worked on one after the other.
-    """
+def bucket_writer(path: str, buckets: int, size: int, top: bool):
+    """Stores the grams of size words and passes on those one word shorter: as blocks, or as words with numbers."""
 
     @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,40 +263,28 @@ def bucket_writer(path: str, parts: int, size: int, top: bool):
             for k, blob in zip(number.tolist(), batch.column("blob").to_pylist(), strict=True):
                 if k >= 0:
                     blobs.setdefault(k, []).append(blob)
-        for part in list(blobs):
-            shorter = []
-            some = blobs.pop(part)
-            for k in range(part, SPLIT * parts, parts):
-                columns, left, follows, raw = summed(*bucket_of(some, k, SPLIT * parts))
-                # with two begins, a gram is a shorter one at the start of a text
-                whole = (columns[1] != BEGIN) if size > 2 else np.ones(len(raw), bool)
-                count = raw if top else np.where(columns[0] == BEGIN, raw, follows)
-                few = store(path, f"{size}-{k}", left[whole], columns[-1][whole], count[whole])
-                yield rows(kind=10 * size + FEW, word=np.arange(1, 5), follows=few, n=np.zeros(4))
-                yield rows(kind=10 * size + STORED, word=[k], follows=[int(whole.sum())], n=[0])
-                if size > 2:
-                    shorter.append(summed(columns[1:], np.ones(len(raw), np.int64), raw))
-                elif len(raw):
-                    order = np.argsort(columns[1])
-                    r, c = columns[1][order], raw[order]
-                    at = runs(r)
-                    yield rows(word=r[at], follows=np.diff(np.append(at, len(r))), n=np.add.reduceat(c, at))
-            if shorter:
-                columns = [np.concatenate(x) for x in zip(*(s[0] for s in shorter), strict=True)]
-                yield block_rows(parts, *summed(columns, *(np.concatenate([s[i] for s in shorter]) for i in (2, 3))))
+        for k in list(blobs):
+            found = [unpacked(b) for b in blobs.pop(k)]
+            columns = [np.concatenate(x) for x in zip(*(p[0] for p in found), strict=True)]
+            columns, left, follows, raw = summed(columns, *(np.concatenate([p[i] for p in found]) for i in (1, 2)))
+            del found
+            # with two begins, a gram is a shorter one at the start of a text
+            whole = (columns[1] != BEGIN) if size > 2 else np.ones(len(raw), bool)
+            count = raw if top else np.where(columns[0] == BEGIN, raw, follows)
+            few = store(path, f"{size}-{k}", left[whole], columns[-1][whole], count[whole])
+            yield rows(kind=10 * size + FEW, word=np.arange(1, 5), follows=few, n=np.zeros(4))
+            yield rows(kind=10 * size + STORED, word=[k], follows=[int(whole.sum())], n=[0])
+            if size > 2:
+                yield block_rows(buckets, *summed(columns[1:], np.ones(len(raw), np.int64), raw))
+            else:
+                order = np.argsort(columns[1])
+                r, c = columns[1][order], raw[order]
+                at = runs(r)
+                yield rows(word=r[at], follows=np.diff(np.append(at, len(r))), n=np.add.reduceat(c, at))
 
     return batches
 
 
-def bucket_of(blobs: list[bytes], k: int, buckets: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    found = []
-    for blob in blobs:
-        columns, follows, raw = unpacked(blob)
-        at = np.flatnonzero(context(columns[:-1]) % np.uint64(buckets) == k)
-        found.append(([c[at] for c in columns], follows[at], raw[at]))
-    return [np.concatenate(c) for c in zip(*(f[0] for f in found), strict=True)], *(np.concatenate([f[i] for f in found]) for i in (1, 2))
-
-
 WORDS = [("key", "u8"), ("follows", "u1"), ("follows_at", "u4"), ("follows_value", "u8"), ("n", "u1"), ("n_at", "u4"), ("n_value", "u8")]
 
 
@@ -335,15 +318,18 @@ def discounts(n: list[int]) -> list[float]:
 def fit(texts: DataFrame, order: int = ORDER) -> dict:
     """Counts (text string) rows and stores the model; returns its description, with the buckets that have files."""
     spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = SPLIT * parts
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = local_path(new_path(spark, "kneser-ney"))
-    found = texts.select("text").mapInArrow(counter(parts, order), ROWS)
+    found, before = texts.select("text").mapInArrow(counter(buckets, order), ROWS), None
     for size in range(order, 1, -1):
         # numbers, which are for the driver and for words, keep to any task
-        spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("kind", "word"), F.lit(parts)).cast("int"))
-        found = found.repartition(parts, spread).mapInArrow(bucket_writer(path, parts, size, size == order), ROWS)
+        spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("kind", "word"), F.lit(buckets)).cast("int"))
+        found = table(found.repartition(buckets, spread).mapInArrow(bucket_writer(path, buckets, size, size == order), ROWS), "grams")
+        if before is not None:
+            drop_table(before)
+        before = found
     gathered = table(found.groupBy("kind", "word").agg(F.sum("follows").alias("follows"), F.sum("n").alias("n")), "words")
+    drop_table(before)
     few: dict[int, dict[int, int]] = {}
     stored: dict[int, set[int]] = {1: set()}
     # 4 rows an order, and one for each of its buckets
@@ -355,7 +341,7 @@ def fit(texts: DataFrame, order: int = ORDER) -> dict:
     vocabulary = gathered.where("kind = 0")
     s = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("follows"), F.lit(0)).alias("f"), *(F.count_if(F.col("follows") == i).alias(f"f{i}") for i in range(1, 5))).first()
     bucket = F.pmod(F.col("word"), F.lit(buckets)).cast("int").alias("bucket")
-    written = vocabulary.select(bucket, "word", "follows", "n").repartition(parts, "bucket").mapInArrow(word_writer(path), "bucket int")
+    written = vocabulary.select(bucket, "word", "follows", "n").repartition(buckets, "bucket").mapInArrow(word_writer(path), "bucket int")
     stored[1] = {r.bucket for r in written.collect()}
     d = {size: discounts([few.get(size, {}).get(i, 0) for i in range(1, 5)]) for size in range(2, order + 1)}
     return {"path": path, "buckets": buckets, "stored": stored, "v": s.v, "n": s.n, "follows": s.f, "order": order, "d": d, "d1": discounts([s.f1, s.f2, s.f3, s.f4]), "few": [s.f1, s.f2, s.v - s.f1 - s.f2]}
