@@ -516,7 +516,7 @@ def cut_passages(docs: DataFrame) -> DataFrame:
     seeds = docs.mapInArrow(seed_maker(buckets), kinds).repartition(buckets // 2, "bucket")
     met = seeds.mapInArrow(matcher(buckets), kinds).repartition(buckets // 2, "bucket")
     # a row holds the parts of GROUP documents at most: a much repeated text is read once for that many
-    wanted = table(met.mapInArrow(chainer, "other_id bigint, runs binary"), "chains")
+    wanted = table(met.mapInArrow(chainer, "other_id bigint, runs binary"), "chains", release=True)
     placed = docs.repartition(n, "doc_id")
     theirs = placed.withColumnRenamed("doc_id", "other_id").join(wanted, "other_id")
     cut = theirs.select("other_id", "text", "runs").mapInArrow(slicer, "doc_id bigint, other_id bigint, runs binary, words binary")

@@ -9,6 +9,7 @@ import functools
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -46,19 +47,22 @@ def local_path(path: str) -> str:
     return path
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """The rows of df, written once to the shared folder: cuts lineage, survives lost executors.
 
-    The shuffle files behind it are of no use any more; Spark deletes them when the driver's JVM
-    collects its garbage, which is asked for here lest they pile up on the workers' disks.
+    The shuffle files behind it are of no use any more. Spark deletes them when the driver's JVM
+    has collected what refers to them; release asks it to, lest they pile up on the workers' disks.
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     noted = _NOTED.get()
     if noted is not None:
         noted.append(path)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    if release:
+        gc.collect()
+        for _ in range(2):  # the first collection lets go of the finished query, the second of its shuffles
+            df.sparkSession._jvm.System.gc()
+            time.sleep(0.5)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -324,7 +324,7 @@ def fit(texts: DataFrame, order: int = ORDER) -> dict:
     for size in range(order, 1, -1):
         # numbers, which are for the driver and for words, keep to any task
         spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("kind", "word"), F.lit(buckets)).cast("int"))
-        found = table(found.repartition(buckets, spread).mapInArrow(bucket_writer(path, buckets, size, size == order), ROWS), "grams")
+        found = table(found.repartition(buckets, spread).mapInArrow(bucket_writer(path, buckets, size, size == order), ROWS), "grams", release=True)
         if before is not None:
             drop_table(before)
         before = found

@@ -357,7 +357,7 @@ def dedup(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     again = seeds.withColumn("n", F.count("*").over(Window.partitionBy("seed"))).where("n > 1").groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
     placed = some.repartition(n, "doc_id")
     made = placed.join(again, "doc_id").mapInArrow(block_maker(2 * n), "bucket int, blob binary, doc_id bigint, start bigint, end bigint")
-    made = table(made, "blocks")
+    made = table(made, "blocks", release=True)
     spans = made.where("bucket is null").select("doc_id", "start", "end")
     found = made.where("bucket is not null").select("bucket", "blob").repartition(n, "bucket").mapInArrow(bucket_worker(folder), "doc_id bigint, start bigint, end bigint")
     spans = spans.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
