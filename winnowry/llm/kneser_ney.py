@@ -4,9 +4,9 @@ Counting: tasks send each bucket of contexts one compressed block of the grams t
 counts; a bucket's blocks are added up and stored, and the bucket sends the next lower order its
 grams with the numbers of distinct words before them. Grams that begin a text have their own
 counts instead, as nothing precedes them. Words are 56-bit hashes. A bucket is one file of sorted
-arrays: contexts by 64-bit hash, of which a slot table and 40 further bits are kept, and grams
-likewise, with counts. A context seen once, as most are, is stored with 40 bits of its one next
-word; others have what interpolation needs. Small numbers take a byte, larger
+arrays: contexts by 64-bit hash, of which a table of small slots and 32 further bits are kept, and
+grams likewise, with counts. A context seen once, as most are, is stored with 32 bits of its one
+next word; others have what interpolation needs. Small numbers take a byte, larger
 ones stand in a list of exceptions. Files lie in the shared folder, which must be mounted on the
 workers; scoring maps them.
 """
@@ -27,7 +27,7 @@ from .words import cut_batches, hashes
 
 MASK = np.uint64((1 << 56) - 1)
 BEGIN, END = np.uint64(0x00B5297A4D3F1C69), np.uint64(0x00D1B54A32D192ED)
-FLUSH = 3_000_000
+FLUSH = 2_500_000
 ORDER = 3
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 #: What counting passes on: blocks of grams for a bucket; or, with bucket -1, numbers of a kind: 0 a word's, FEW grams by count, STORED a bucket's grams.
@@ -88,12 +88,18 @@ def summed(columns: list[np.ndarray], follows: np.ndarray | None = None, raw: np
     left = context(columns[:-1])
     key = pair_keys(left, columns[-1])
     order = np.argsort(key)
-    at = runs(key[order])
-    first = order[at]
+    key = key[order]
+    at = runs(key)
     size = np.diff(np.append(at, len(key)))
+    del key
     follows, raw = ((np.add.reduceat(x[order], at) if len(at) else x) if x is not None else size for x in (follows, raw))
-    order = np.argsort(left[first])
-    return [c[first[order]] for c in columns], left[first[order]], follows[order], raw[order]
+    first = order[at]
+    left = left[first]
+    order = np.argsort(left)
+    first = first[order]
+    for i in range(len(columns)):  # one after the other: the old ones go as the new ones come
+        columns[i] = columns[i][first]
+    return columns, left[order], follows[order], raw[order]
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -159,9 +165,12 @@ def block_rows(buckets: int, columns, left, follows, raw) -> pa.RecordBatch:
 
 def counter(buckets: int, order: int):
     def flush(held):
-        token, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        token = np.concatenate([t for t, _ in held])
+        place = np.concatenate([p for _, p in held])
         held.clear()
-        return block_rows(buckets, *summed(grams(token, place, order)))
+        columns = grams(token, place, order)
+        del token, place
+        return block_rows(buckets, *summed(columns))
 
     @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,15 +189,14 @@ def counter(buckets: int, order: int):
 
 
 def slotted(keys: np.ndarray) -> list[np.ndarray]:
-    """Sorted 64-bit keys as starts of slots by their first bits, and the 40 bits after those in two arrays."""
-    bits = min(max(len(keys) // 8, 1).bit_length(), 24)
+    """Sorted 64-bit keys as starts of slots by their first bits, a few keys each, and the 32 bits after those."""
+    bits = min(max(len(keys) // 8, 1).bit_length(), 28)
     slots = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    return [slots.astype(np.uint32), *forty(keys << np.uint64(bits))]
+    return [slots.astype(np.uint32), first_bits(keys << np.uint64(bits))]
 
 
-def forty(keys: np.ndarray) -> list[np.ndarray]:
-    """The first 40 bits of 64-bit keys."""
-    return [(keys >> np.uint64(32)).astype(np.uint32), (keys >> np.uint64(24)).astype(np.uint8)]
+def first_bits(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(32)).astype(np.uint32)
 
 
 def narrow(values: np.ndarray) -> list[np.ndarray]:
@@ -198,8 +206,7 @@ def narrow(values: np.ndarray) -> list[np.ndarray]:
 
 
 LAYOUT = [
-    *(("single_" + k, t) for k, t in (("slots", "u4"), ("high", "u4"), ("low", "u1"), ("word_high", "u4"), ("word_low", "u1"))),
-    *((n + "_" + k, t) for n in ("left", "gram") for k, t in (("slots", "u4"), ("high", "u4"), ("low", "u1"))),
+    *((k, "u4") for k in ("single_slots", "single_keys", "single_word", "left_slots", "left_keys", "gram_slots", "gram_keys")),
     *((k + e, t) for k in ("total", "ones", "twos", "more", "count") for e, t in (("", "u1"), ("_at", "u4"), ("_value", "u8"))),
 ]
 
@@ -243,7 +250,7 @@ def store(path: str, name: str, left: np.ndarray, right: np.ndarray, count: np.n
         raise ValueError("a bucket is too large: raise spark.sql.shuffle.partitions")
     keys = pair_keys(left[rest], right[rest])
     order = np.argsort(keys)
-    arrays = [*slotted(left[at[single]]), *forty(mix64(right[at[single]])), *slotted(left[many]), *slotted(keys[order])]
+    arrays = [*slotted(left[at[single]]), first_bits(mix64(right[at[single]])), *slotted(left[many]), *slotted(keys[order])]
     for values in (add(count), add(count == 1), add(count == 2), add(count > 2), count[rest][order]):
         arrays += narrow(values)
     save(path, name, arrays)
@@ -349,22 +356,21 @@ def fit(texts: DataFrame, order: int = ORDER) -> dict:
 
 def sought(t: dict[str, np.ndarray], name: str, keys: np.ndarray) -> np.ndarray:
     """Where 64-bit keys stand among slotted() ones, -1 if they don't."""
-    slots, high, low = (t[f"{name}_{x}"] for x in ("slots", "high", "low"))
+    slots, stored = t[f"{name}_slots"], t[f"{name}_keys"]
     out = np.full(len(keys), -1)
-    if not len(high):
+    if not len(stored):
         return out
     bits = np.uint64((len(slots) - 1).bit_length() - 1)
     slot = (keys >> (np.uint64(64) - bits)).astype(np.int64)
-    first, last = forty(keys << bits)
+    wanted = first_bits(keys << bits)
     at, end = slots[slot].astype(np.int64), slots[slot + 1].astype(np.int64)
     live = np.flatnonzero(at < end)
     while len(live):  # a slot holds few keys: one after the other
         here = at[live]
-        value, wanted = high[here], first[live]
-        same = value == wanted
-        hit = live[same][low[here[same]] == last[live[same]]]
-        out[hit] = at[hit]
-        live = live[(value <= wanted) & (out[live] < 0)]
+        value, own = stored[here], wanted[live]
+        same = value == own
+        out[live[same]] = here[same]
+        live = live[value < own]
         at[live] += 1
         live = live[at[live] < end[live]]
     return out
@@ -407,8 +413,7 @@ def looked_up(model: dict, maps: dict, size: int, left: np.ndarray, right: np.nd
         stats[tokens] = own[where]
         alone = single[where]
         hit = np.flatnonzero(alone >= 0)
-        key = forty(mix64(right[tokens[hit]]))
-        count[tokens[hit]] = (t["single_word_high"][alone[hit]] == key[0]) & (t["single_word_low"][alone[hit]] == key[1])
+        count[tokens[hit]] = t["single_word"][alone[hit]] == first_bits(mix64(right[tokens[hit]]))
         some = tokens[has[where]]
         place = sought(t, "gram", pair_keys(left[some], right[some]))
         hit = place >= 0
@@ -452,7 +457,7 @@ def scorer(model: dict):
     @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps: dict = {}
-        for batch in cut_batches(stream, "text"):
+        for batch in cut_batches(stream, "text", 2_500_000):
             yield some(batch, maps)
 
     return batches
