@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import released
+from .words import joined_batches
 
 NONE = np.int32(2**31 - 1)
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -186,7 +187,7 @@ class Numbered(dict):
 
 _STATE: dict = {}
 #: Pieces, and their letters, of which a worker remembers the ids.
-MOST_PIECES, MOST_LETTERS = 300_000, 6_000_000
+MOST_PIECES, MOST_LETTERS = 300_000, 8_000_000
 #: A run of white space in which a blank or a line feed isn't the first: such texts aren't cut at white space.
 RUN = re.compile(r"\s[ \n]")
 
@@ -216,10 +217,10 @@ def pieces_of(text: str, find) -> list[str]:
     return [("\0" + x) for x in find(first)] + rest
 
 
-def encoder(path: str, pattern: str, digest: bool, chunk: int = 8_000_000):
+def encoder(path: str, pattern: str, digest: bool, chunk: int = 16_000_000):
     @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in joined_batches(stream, "text", chunk // 2):
             texts = batch.column("text")
             size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
             a = 0

@@ -92,7 +92,7 @@ def summed(columns: list[np.ndarray], follows: np.ndarray | None = None, raw: np
     at = runs(key)
     size = np.diff(np.append(at, len(key)))
     del key
-    follows, raw = ((np.add.reduceat(x[order], at) if len(at) else x) if x is not None else size for x in (follows, raw))
+    follows, raw = ((np.add.reduceat(x[order], at, dtype=np.int64) if len(at) else x.astype(np.int64)) if x is not None else size for x in (follows, raw))
     first = order[at]
     left = left[first]
     order = np.argsort(left)
@@ -112,6 +112,11 @@ def unplaned(raw: bytes, kind, n: int, at: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind)[:, 0] if n else np.empty(0, kind)
 
 
+def thin(x: np.ndarray) -> np.ndarray:
+    """Numbers in the fewer bytes where sums of them can't grow too large."""
+    return x.astype(np.int32) if not len(x) or x.sum() < 1 << 31 else x
+
+
 def packed(columns: list[np.ndarray], follows: np.ndarray, raw: np.ndarray) -> bytes:
     """Distinct words by differences, grams as numbers of words in sorted order, the first ones by differences."""
     words, index = np.unique(np.concatenate(columns), return_inverse=True)
@@ -139,7 +144,21 @@ def unpacked(blob: bytes):
     index = [unplaned(raw, np.uint32, m, at + 4 * m * i) for i in range(k)]
     index[0] = np.cumsum(index[0], dtype=np.uint32)
     at += 4 * m * k
-    return [words[i] for i in index], *(unplaned(raw, np.int64, m, at + 8 * m * i) for i in (0, 1))
+    return [words[i] for i in index], *(thin(unplaned(raw, np.int64, m, at + 8 * m * i)) for i in (0, 1))
+
+
+def gathered(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The grams of several blocks, put together column by column so that they aren't all held twice."""
+    found = []
+    while blobs:
+        columns, follows, raw = unpacked(blobs.pop())
+        found.append([*columns, follows, raw])
+    out = []
+    for i in range(len(found[0])):
+        out.append(np.concatenate([f[i] for f in found]))
+        for f in found:
+            f[i] = None
+    return out[:-2], out[-2], out[-1]
 
 
 def rows(bucket=None, blob=None, kind=0, word=None, follows=None, n=None) -> pa.RecordBatch:
@@ -271,16 +290,14 @@ def bucket_writer(path: str, buckets: int, size: int, top: bool):
                 if k >= 0:
                     blobs.setdefault(k, []).append(blob)
         for k in list(blobs):
-            found = [unpacked(b) for b in blobs.pop(k)]
-            columns = [np.concatenate(x) for x in zip(*(p[0] for p in found), strict=True)]
-            columns, left, follows, raw = summed(columns, *(np.concatenate([p[i] for p in found]) for i in (1, 2)))
-            del found
+            columns, left, follows, raw = summed(*gathered(blobs.pop(k)))
             # with two begins, a gram is a shorter one at the start of a text
             whole = (columns[1] != BEGIN) if size > 2 else np.ones(len(raw), bool)
             count = raw if top else np.where(columns[0] == BEGIN, raw, follows)
             few = store(path, f"{size}-{k}", left[whole], columns[-1][whole], count[whole])
             yield rows(kind=10 * size + FEW, word=np.arange(1, 5), follows=few, n=np.zeros(4))
             yield rows(kind=10 * size + STORED, word=[k], follows=[int(whole.sum())], n=[0])
+            del left, follows, count, whole
             if size > 2:
                 yield block_rows(buckets, *summed(columns[1:], np.ones(len(raw), np.int64), raw))
             else:

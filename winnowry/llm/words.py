@@ -93,3 +93,18 @@ def cut_batches(stream: Iterator[pa.RecordBatch], column: str, most: int = 4_000
             b = min(max(a + 1, int(np.searchsorted(at, at[a] + most, side="right")) - 1), a + rows)
             yield batch.slice(a, b - a)
             a = b
+
+
+def joined_batches(stream: Iterator[pa.RecordBatch], column: str, least: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches put together until their texts have so many bytes: for work that costs by the call."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in stream:
+        at, _ = spans(batch.column(column))
+        held.append(batch)
+        size += int(at[-1] - at[0])
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
