@@ -404,3 +404,45 @@ def test_word_hashes_equal_those_of_split_words():
         assert len(own) == offsets[i + 1] - offsets[i]
         assert all(known.setdefault(w, h) == h for w, h in zip(own, got[offsets[i] : offsets[i + 1]].tolist(), strict=True))
     assert len(set(known.values())) == len(known)
+
+
+def test_embedding_links_of_huge_and_tiny_vectors(spark):
+    v = [[1.0, 2.0], [1e160, 2e160], [1e-170, 2e-170], [2.0, -1.0], [float("inf"), 1.0], [0.0, 0.0], None]
+    rows = [(i, x) for i, x in enumerate(v)] + [(7, [1.0, 2.0]), (7, [1.0, 2.0]), (None, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.dedup(df).collect()]
+    assert sorted(x for x in got if x[0] is not None) == [(0, 4, 0), (1, 4, 0), (2, 4, 0), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 4, 0), (7, 4, 0)]
+    assert [x for x in got if x[0] is None] == [(None, 0, None)]
+    assert embedding_dedup.dedup(df.limit(0)).count() == 0
+
+
+def test_merged_sketches_are_those_of_both_texts(spark):
+    from pyspark.sql import functions as F
+
+    from winnowry.llm import fingerprints
+
+    # the end of one text and the beginning of the other give shingles of their own, so compare with sets of shingles
+    rows = [(text(i, 3 + i % 9), text(100 + i, 4 + i % 30)) for i in range(40)] + [("", text(1, 9)), ("", "")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for c in ("a", "b"):
+        df = fingerprints.with_sketch(fingerprints.with_sketch(df, F.col(c), "all_" + c, fraction=1), F.col(c), "s_" + c)
+    limit = fingerprints.limit_of(fingerprints.FRACTION)
+    for r in df.withColumn("m", fingerprints.merged("s_a", "s_b")).collect():
+        every = set(r.all_a) | set(r.all_b)
+        below = sorted(h for h in every if h <= limit)
+        assert r.m == (below or ([min(every)] if every else []))
+
+
+def test_fingerprint_likeness_equals_brute_force(spark):
+    from winnowry.llm import fingerprints
+
+    rows = [(i, text(i, 30 + 7 * i)) for i in range(20)] + [(20, text(3, 60)), (21, ""), (22, None)]
+    got = {r.doc_id: r for r in fingerprints.compare_with_edits(docs(spark, rows)).collect()}
+    sets = {i: set(filter(None, got[i].fingerprint.split(","))) for i, _ in rows}
+    for i, t in rows:
+        j = (i + 1) % len(rows)
+        own, other, n = sets[i], sets[j], len(t or "") // 4
+        least = min(len(own), len(other))
+        assert got[i].near_next == (1.0 if not own and not other else len(own & other) / least if least else 0.0)
+        edited = (t or "")[: len(t or "") - n] + (rows[j][1] or "")[:n]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(t or "")

@@ -29,7 +29,9 @@ def parameters(n: int, cosine: float, recall: float = 0.995) -> tuple[int, int]:
 
 
 def unit(rows: list) -> np.ndarray:
+    """Vectors of length one; each is first divided by its largest component, as squares of huge or tiny ones can't be held."""
     x = np.array(rows, np.float64)
+    x = x / np.abs(x).max(1)[:, None]
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -104,10 +106,10 @@ def dedup(vectors: DataFrame, cosine: float = 0.95, seed: int = 11) -> DataFrame
     """
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v"))
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    fine = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e150)) & (norm > 0), F.lit(False)) & F.col("vec_id").isNotNull()
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fine = F.coalesce((F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     rows = rows.withColumn("fine", fine)
-    # sums that overflow or vanish aside, -0.0 and 0.0 are the same number
+    # -0.0 and 0.0 are the same number
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
     rows = rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.hash("v", F.lit(1)))
     good = rows.where("fine")

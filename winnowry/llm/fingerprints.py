@@ -11,6 +11,10 @@ FRACTION = 0.25
 BUCKETS = 65536
 
 
+def limit_of(fraction: float) -> int:
+    return int(-(2**63) + fraction * 2**64) if fraction < 1 else 2**63 - 1
+
+
 def with_sketch(df: DataFrame, text: Column, out: str, words: int = 5, fraction: float = FRACTION) -> DataFrame:
     """Adds out: sorted distinct hashes of the text's word shingles that lie below fraction of all hashes.
 
@@ -18,7 +22,7 @@ def with_sketch(df: DataFrame, text: Column, out: str, words: int = 5, fraction:
     of fewer words gives one shingle; one whose shingles all lie above keeps the least of them; a
     null or blank text has none. Equal texts have equal sketches.
     """
-    limit = int(-(2**63) + fraction * 2**64) if fraction < 1 else 2**63 - 1
+    limit = limit_of(fraction)
     df = df.withColumn("_w", word_hashes(text))
     last = F.greatest(F.size("_w") - words, F.lit(0))
     shingle = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get("_w", i + j) for j in range(words))))
@@ -28,9 +32,12 @@ def with_sketch(df: DataFrame, text: Column, out: str, words: int = 5, fraction:
     return df.withColumn(out, F.array_sort(F.array_distinct(kept))).drop("_w", "_h", "_k")
 
 
-def merged(a: str, b: str) -> Column:
-    """The sketch of two texts together."""
-    return F.array_sort(F.array_union(a, b))
+def merged(a: str, b: str, fraction: float = FRACTION) -> Column:
+    """The sketch of two texts together; a hash above the fraction stays only where there's none below."""
+    limit = F.lit(limit_of(fraction))
+    both = F.array_union(a, b)
+    below = F.filter(both, lambda h: h <= limit)
+    return F.array_sort(F.when((F.size(below) > 0) | (F.size(both) == 0), below).otherwise(F.array(F.array_min(both))))
 
 
 def containment(a: str, b: str) -> Column:
