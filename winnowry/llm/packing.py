@@ -121,14 +121,14 @@ def piece_maker(tokens: Callable[[list], list[np.ndarray]], end_id: int, capacit
         task = TaskContext.get().partitionId()
         ranks: dict[int, int] = {}
         last: dict[int, list[tuple]] = {}
-        for batch in cut_batches(joined_batches(stream, "text", 8_000_000), "text", 16_000_000):
+        for batch in cut_batches(joined_batches(stream, "text", 24_000_000), "text", 32_000_000):
             size = 0
             rows: list[list] = [[] for _ in range(7)]
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             ends = [size := size + len(t or "") for t in texts]
             a = 0
             while a < len(texts):
-                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 12_000_000)))
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 24_000_000)))
                 for d, got in zip(doc_ids[a:b], tokens(texts[a:b]), strict=True):
                     n, start = len(got) + 1, 0
                     raw = np.append(got, np.uint32(end_id)).astype("<u4").tobytes()
