@@ -446,3 +446,33 @@ def test_fingerprint_likeness_equals_brute_force(spark):
         assert got[i].near_next == (1.0 if not own and not other else len(own & other) / least if least else 0.0)
         edited = (t or "")[: len(t or "") - n] + (rows[j][1] or "")[:n]
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(t or "")
+
+
+def peak_mb(function) -> float:
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        function()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def drained(batches) -> None:
+    for _ in batches:
+        pass
+
+
+def test_counting_grams_holds_few_of_them_at_once(monkeypatch):
+    monkeypatch.setattr(kneser_ney, "FLUSH", 500_000)
+    r = np.random.default_rng(3)
+    texts = [" ".join(map(str, r.integers(0, 60_000, 10_000).tolist())) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    assert peak_mb(lambda: drained(kneser_ney.counter(50, 3)(iter([batch])))) < 55  # 500,000 grams of three words are 12 MB
+    columns = kneser_ney.grams(*kneser_ney.tokens_of(batch)[:2], 3)
+    whole = kneser_ney.summed(columns)[0]
+    monkeypatch.setattr(kneser_ney, "FLUSH", 10_000_000)
+    made = [kneser_ney.unpacked(x)[0] for b in kneser_ney.counter(50, 3)(iter([batch])) for x in b.column("blob").to_pylist()]
+    made = [np.concatenate(x) for x in zip(*made, strict=True)]
+    assert all((a[np.lexsort(made)] == b[np.lexsort(whole)]).all() for a, b in zip(made, whole, strict=True))

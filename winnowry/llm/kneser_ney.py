@@ -27,7 +27,7 @@ from .words import cut_batches, hashes
 
 MASK = np.uint64((1 << 56) - 1)
 BEGIN, END = np.uint64(0x00B5297A4D3F1C69), np.uint64(0x00D1B54A32D192ED)
-FLUSH = 2_500_000
+FLUSH, SHARES = 2_500_000, 8
 ORDER = 3
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 #: What counting passes on: blocks of grams for a bucket; or, with bucket -1, numbers of a kind: 0 a word's, FEW grams by count, STORED a bucket's grams.
@@ -189,20 +189,28 @@ def counter(buckets: int, order: int):
         held.clear()
         columns = grams(token, place, order)
         del token, place
-        return block_rows(buckets, *summed(columns))
+        # a share of the buckets at a time: a gram's context tells its bucket, so that the blocks are those of all grams at once
+        share = context(columns[:-1]) % np.uint64(buckets) * np.uint64(SHARES) // np.uint64(buckets)
+        by = np.argsort(share.astype(np.uint8), kind="stable").astype(np.int32)
+        bounds = np.append(0, np.cumsum(np.bincount(share.astype(np.int64), minlength=SHARES)))
+        del share
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if x < y:
+                yield block_rows(buckets, *summed([c[by[x:y]] for c in columns]))
 
     @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in cut_batches(stream, "text"):
+        for batch in cut_batches(stream, "text", 1_000_000):
             token, place, _ = tokens_of(batch)
             held.append((token, place.astype(np.int32)))
             n += len(token)
+            del token, place
             if n >= FLUSH:
-                yield flush(held)
+                yield from flush(held)
                 n = 0
         if n:
-            yield flush(held)
+            yield from flush(held)
 
     return batches
 
