@@ -476,3 +476,41 @@ def test_counting_grams_holds_few_of_them_at_once(monkeypatch):
     made = [kneser_ney.unpacked(x)[0] for b in kneser_ney.counter(50, 3)(iter([batch])) for x in b.column("blob").to_pylist()]
     made = [np.concatenate(x) for x in zip(*made, strict=True)]
     assert all((a[np.lexsort(made)] == b[np.lexsort(whole)]).all() for a, b in zip(made, whole, strict=True))
+
+
+def test_suffix_dedup_sorts_only_what_shares_more_than_a_seed(monkeypatch, tmp_path):
+    r = random.Random(8)
+    letters = lambda n: bytes(r.choices(b"abcdefghijklmnop", k=n))
+    line, passage = letters(90), letters(300)  # a line shorter than SIZE in every document, a passage in some
+    made = [letters(150) + line + letters(150) + (passage[: 200 + 4 * i] if i % 10 == 0 else b"") + letters(9) for i in range(60)]
+    made += [line * 3, line * 2 + letters(40), made[7][100:330] + letters(20) + made[7][130:360]]
+    where, repeated = [], collections.Counter()
+    for text_ in made:
+        h = suffix_dedup.gram_hashes(np.frombuffer(text_, np.uint8))
+        where.append((h, suffix_dedup.select(h, suffix_dedup.WINDOW)[0]))
+        repeated.update(h[where[-1][1]].tolist())
+    ats = [[int(x) for x in at if repeated[int(h[x])] > 1] for h, at in where]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(made)), pa.int64()), pa.array(made, pa.binary()), pa.array(ats, pa.list_(pa.int32()))], ["doc_id", "raw", "ats"])
+    sorted_bytes = 0
+    whole = suffix_dedup.repeats
+
+    def counted(blocks, *rest):
+        nonlocal sorted_bytes
+        sorted_bytes += sum(map(len, blocks))
+        return whole(blocks, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "repeats", counted)
+    spans = []
+    for b in suffix_dedup.block_maker(4)(iter([batch])):
+        spans += [x for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "end")), strict=True) if x[0] is not None]
+        blocks = b.filter(pa.compute.is_valid(b.column("bucket")))
+        for found in suffix_dedup.bucket_worker(str(tmp_path))(iter([blocks])):
+            spans += zip(*(found.column(i).to_pylist() for i in range(3)), strict=True)
+    got = {(d, i) for d, s, e in spans for i in range(s, e)}
+    seen, want = set(), set()
+    for d, text_ in enumerate(made):
+        for s in range(len(text_) - 99):
+            want |= {(d, i) for i in range(s, s + 100)} if text_[s : s + 100] in seen else set()
+            seen.add(text_[s : s + 100])
+    assert got == want
+    assert sorted_bytes < 9_000

@@ -5,6 +5,8 @@ cut into short blocks that are sorted together only where they can match: every
 bytes holds the least hash of its GRAM-byte grams, equal strings hold equal ones, so only
 strings around seeds that occur at least twice enter a block, and a seed's blocks meet in one
 bucket. A block that a task has several times is sent once, the rest being repeats already.
+Many blocks share a seed and no more; a seed's blocks are parted by how many bytes before it their
+strings of SIZE bytes hold, and only parts that share more than the seed are sorted.
 
 A bucket's blocks form a collection. Round j inserts, for every block of at least j bytes, the
 suffix of length j: its place follows from the rank of its first byte in the transform so far,
@@ -63,18 +65,19 @@ def seed_maker(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(ats))], ["seed", "doc_id", "at"])
 
 
-HEAD = np.dtype([("doc", "<i8"), ("start", "<i4"), ("size", "<i4"), ("seed", "<u8"), ("twice", "u1")])
-#: Bytes of blocks sorted in one collection, unless one seed has more.
+#: at: where the seed stands in the block; twice: whether it stands there again.
+HEAD = np.dtype([("doc", "<i8"), ("start", "<i4"), ("size", "<i4"), ("seed", "<u8"), ("at", "u1"), ("twice", "u1")])
+#: Bytes of blocks sorted in one collection, unless one seed that stands twice in a block has more.
 COLLECTION = 150_000
 
 
 def block_maker(buckets: int, flush: int = 24_000_000):
     """Blocks around repeated seeds, packed by bucket; (doc_id, start, end) where a task already has the block from earlier."""
 
-    def out(held: dict[int, dict[bytes, tuple[int, int, int, bool]]], spans):
+    def out(held: dict[int, dict[bytes, tuple[int, int, int, int, bool]]], spans):
         rows = []
         for k, blocks in held.items():
-            head = np.array([(d, s, len(b), seed, twice) for b, (d, s, seed, twice) in blocks.items()], HEAD)
+            head = np.array([(d, s, len(b), seed, at, twice) for b, (d, s, seed, at, twice) in blocks.items()], HEAD)
             body = b"".join(blocks)
             rows.append((k, zstandard.compress(np.int64(len(head)).tobytes() + head.tobytes() + body, 3)))
         n = len(rows)
@@ -92,7 +95,7 @@ def block_maker(buckets: int, flush: int = 24_000_000):
 
     @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[bytes, tuple[int, int, int, bool]]] = {}
+        held: dict[int, dict[bytes, tuple[int, int, int, int, bool]]] = {}
         spans, size = [], 0
         for batch in stream:
             for d, text, ats in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist(), batch.column("ats").to_pylist(), strict=True):
@@ -104,7 +107,7 @@ def block_maker(buckets: int, flush: int = 24_000_000):
                     a, b = max(0, at - WINDOW + 1), min(n, at + 1)
                     mine = np.flatnonzero(low[a:b] == value)  # the windows of which this is the least gram
                     a, b = a + int(mine[0]), a + int(mine[-1]) + SIZE
-                    block, key = text[a:b], (d, a, int(value), bool(np.count_nonzero(h[a : b - GRAM + 1] == value) > 1))
+                    block, key = text[a:b], (d, a, int(value), at - a, bool(np.count_nonzero(h[a : b - GRAM + 1] == value) > 1))
                     bucket = held.setdefault(int(value % np.uint64(buckets)), {})
                     known = bucket.get(block)
                     if known is None:
@@ -113,7 +116,7 @@ def block_maker(buckets: int, flush: int = 24_000_000):
                     else:
                         bucket[block] = min(known, key)
                         later = max(known, key)
-                        if known != key:
+                        if known[:2] != key[:2]:
                             spans.append((later[0], later[1], later[1] + len(block)))
             if size > flush or len(spans) > 200_000:
                 yield out(held, spans)
@@ -261,6 +264,34 @@ def repeats(blocks: list[bytes], doc: np.ndarray, start: np.ndarray, folder: str
     return list(zip(d[a].tolist(), s[a].tolist(), (s[b] + SIZE).tolist(), strict=True))
 
 
+def parted(blocks: dict[bytes, tuple[int, int, int]], spans: list[tuple[int, int, int]], low: int = 0, high: int = WINDOW - 1) -> Iterator[dict[bytes, tuple[int, int, int]]]:
+    """What blocks (doc_id, start, the seed's place) around one seed have to be sorted: parts that can match, in groups of about COLLECTION bytes.
+
+    A block's strings of SIZE bytes hold from low to high bytes before the seed. Halved by that
+    number, those of one half share more than the seed: parts of blocks that differ there don't
+    match. Equal parts are one, the later ones going to spans; what is alone has no repeat left.
+    """
+    middle = (low + high) // 2
+    for x, y in ((low, middle), (middle + 1, high)):
+        groups: dict[bytes, dict[bytes, tuple[int, int, int]]] = {}
+        for block, (d, s, k) in blocks.items():
+            before, least = min(y, k), max(x, k - len(block) + SIZE)
+            if least > before:
+                continue
+            part, here = block[k - before : k - least + SIZE], (d, s + k - before, before)
+            group = groups.setdefault(part[before - x : before - y + SIZE], {})
+            known = group.setdefault(part, here)
+            if known != here:
+                group[part], later = min(known, here), max(known, here)
+                spans.append((later[0], later[1], later[1] + len(part)))
+        for group in groups.values():
+            if len(group) > 1:
+                if y - x > WINDOW // 4 or x < y and sum(map(len, group)) > COLLECTION:
+                    yield from parted(group, spans, x, y)
+                else:
+                    yield group
+
+
 def bucket_worker(folder: str):
     @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,38 +309,40 @@ def bucket_worker(folder: str):
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["doc_id", "start", "end"])
 
     def work(blobs: list[bytes], place: str) -> list[tuple[int, int, int]]:
-        parts: dict[int, dict[bytes, tuple[int, int]]] = {}  # by seed
+        parts: dict[int, dict[bytes, tuple[int, int, int]]] = {}  # by seed
         spans, twice = [], set()
         for blob in blobs:
             raw = zstandard.decompress(blob)
             n = int(np.frombuffer(raw, np.int64, 1)[0])
             head = np.frombuffer(raw, HEAD, n, 8)
             at = 8 + n * HEAD.itemsize
-            for d, s, size, seed, again in head.tolist():
+            for d, s, size, seed, k, again in head.tolist():
                 block = raw[at : at + size]
                 at += size
                 first = parts.setdefault(seed, {})
                 if again:
                     twice.add(seed)
-                known = first.setdefault(block, (d, s))
-                if known != (d, s):
-                    first[block], later = min(known, (d, s)), max(known, (d, s))
+                known = first.setdefault(block, (d, s, k))
+                if known[:2] != (d, s):
+                    first[block], later = min(known, (d, s, k)), max(known, (d, s, k))
                     spans.append((later[0], later[1], later[1] + size))
         # equal strings hold the same seed: alone with its seed, and with it once, a block has no repeat left
-        group: dict[bytes, tuple[int, int]] = {}
+        group: list[tuple[bytes, tuple[int, int, int]]] = []
         size = 0
-        for seed, first in parts.items():
-            if len(first) > 1 or seed in twice:
-                group.update(first)
-                size += sum(map(len, first))
+        for seed in list(parts):
+            first = parts.pop(seed)
+            for some in [first] if seed in twice else parted(first, spans) if len(first) > 1 else ():
+                group += some.items()
+                size += sum(map(len, some))
                 if size > COLLECTION:
                     spans += sort(group, place)
-                    group, size = {}, 0
+                    group, size = [], 0
         return spans + (sort(group, place) if group else [])
 
-    def sort(group: dict[bytes, tuple[int, int]], place: str) -> list[tuple[int, int, int]]:
-        doc, start = (np.array(x, np.int64) for x in zip(*group.values(), strict=True))
-        return repeats(list(group), doc, start, place)
+    def sort(group: list[tuple[bytes, tuple[int, int, int]]], place: str) -> list[tuple[int, int, int]]:
+        blocks, at = zip(*group, strict=True)
+        doc, start, _ = (np.array(x, np.int64) for x in zip(*at, strict=True))
+        return repeats(list(blocks), doc, start, place)
 
     return batches
 
