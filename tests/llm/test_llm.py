@@ -514,3 +514,11 @@ def test_suffix_dedup_sorts_only_what_shares_more_than_a_seed(monkeypatch, tmp_p
             seen.add(text_[s : s + 100])
     assert got == want
     assert sorted_bytes < 9_000
+
+
+def test_chain_dedup_holds_few_seeds_at_once(monkeypatch):
+    monkeypatch.setattr(chain_dedup, "FLUSH", 500_000)
+    r = np.random.default_rng(4)
+    texts = [" ".join(map(str, r.integers(0, 60_000, 10_000).tolist())) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    assert peak_mb(lambda: drained(chain_dedup.seed_maker(100)(iter([batch])))) < 60  # 500,000 seeds are 10 MB

@@ -52,8 +52,7 @@ def block_batch(bucket: np.ndarray, columns: list[np.ndarray], kind: int) -> pa.
     order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 65536 else bucket, kind="stable")
     bucket = bucket[order]
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-    columns = [c[order] for c in columns]
-    blobs = [packed(*(c[x:y] for c in columns)) for x, y in zip(cut, [*cut[1:], len(order)], strict=True)]
+    blobs = [packed(*(c[order[x:y]].astype(np.int64) for c in columns)) for x, y in zip(cut, [*cut[1:], len(order)], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), kind, np.int32)), pa.array(bucket[cut].astype(np.int32)), pa.array(blobs, pa.binary())], ["kind", "bucket", "blob"])
 
 
@@ -119,6 +118,7 @@ def seed_maker(buckets: int):
 
     def flush(held):
         h, d, a = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         order, first = repeated(h, d, a)
         later = d[first] < d[order]
         hit, first = order[later], first[later]
@@ -128,19 +128,25 @@ def seed_maker(buckets: int):
             by = np.lexsort((a[hit], d[first], d[hit]))
             rows = [d[hit][by], d[first][by], a[hit][by], a[first][by]]
             yield block_batch(doc_bucket(rows[1], buckets), rows, PASS_ON)
-        h = h[keep]
-        yield block_batch((h % np.uint64(buckets)).astype(np.int64), [(h >> np.uint64(24)).astype(np.int64), d[keep], a[keep]], 0)
+            del rows, by
+        del order, first, later, hit
+        h, d, a = h[keep], d[keep], a[keep]
+        bucket = (h % np.uint64(buckets)).astype(np.int32)
+        h >>= np.uint64(24)
+        yield block_batch(bucket, [h, d, a], 0)
 
     @released
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         n = 0
-        for batch in cut_batches(stream, "text"):
-            held.append(seeds_of(*hashes(batch.column("text")), np.asarray(batch.column("doc_id"))))
-            n += len(held[-1][0])
+        for batch in cut_batches(stream, "text", 1_000_000):
+            h, d, a = seeds_of(*hashes(batch.column("text")), np.asarray(batch.column("doc_id")))
+            held.append((h, d, a.astype(np.int32)))
+            n += len(h)
+            del h, d, a
             if n >= FLUSH:
                 yield from flush(held)
-                held, n = [], 0
+                n = 0
         if n:
             yield from flush(held)
 
