@@ -522,3 +522,36 @@ def test_chain_dedup_holds_few_seeds_at_once(monkeypatch):
     texts = [" ".join(map(str, r.integers(0, 60_000, 10_000).tolist())) for _ in range(60)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(texts)], ["doc_id", "text"])
     assert peak_mb(lambda: drained(chain_dedup.seed_maker(100)(iter([batch])))) < 60  # 500,000 seeds are 10 MB
+
+
+def test_chain_dedup_drops_chance_meetings_before_it_aligns(monkeypatch):
+    r = random.Random(11)
+    words = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    texts, parts = [], []
+    for _ in range(30):
+        own, found = words(300), []
+        for j in range(40):  # all but a few share five words and no more
+            p = r.randrange(60, 200)
+            other = [*words(40), *own[p : p + 5], *words(40)] if j % 20 else [*words(10), *own[p - 30 : p + 35], *words(10)]
+            _, h = chain_dedup.hashes(pa.array([" ".join(other)]))
+            found.append({"runs": np.array([[p, 40, 1]], np.int32).tobytes(), "words": (h >> np.uint64(33)).astype(np.int32).tobytes()})
+        texts.append(" ".join(own))
+        parts.append(found)
+    texts, parts = [*texts, "", "no part at all"], [*parts, None, []]
+    kind = pa.list_(pa.struct([("runs", pa.binary()), ("words", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(32), pa.int64()), pa.array([0] * 32, pa.int64()), pa.array(texts), pa.array(parts, kind)], ["doc_id", "mark", "text", "parts"])
+    whole, seen = chain_dedup.passages, []
+
+    def counted(docs):
+        seen.extend(len(p) for _, p in docs)
+        return whole(docs)
+
+    monkeypatch.setattr(chain_dedup, "passages", counted)
+    got = [x for b in chain_dedup.aligner(iter([batch.slice(0, 13), batch.slice(13)])) for x in b.column("n_removed").to_pylist()]
+    all_docs = []
+    for t, found in zip(texts[:30], parts[:30], strict=True):
+        _, h = chain_dedup.hashes(pa.array([t]))
+        all_docs.append(((h >> np.uint64(33)).astype(np.int64), [(np.frombuffer(x["runs"], np.int32).reshape(-1, 3).tolist(), np.frombuffer(x["words"], np.int32).astype(np.int64)) for x in found]))
+    assert got == [sum(b - a for a, b in chain_dedup.merged(x, 2)) for x in whole(all_docs)] + [0, 0]
+    assert min(got[:30]) >= 65
+    assert sum(seen) < 100  # of 1,200, of which 60 hold a passage

@@ -31,6 +31,7 @@ from .words import bounds, cut_batches, hashes, spans
 
 SEED, PAD, DROP, FLUSH, NEAR, GROUP, MOST = 5, 40, 12, 1_500_000, 16, 500, 3_000_000
 GAP_COST, LEAST_WORDS, IDENTITY = 0.1, 40, 0.8
+LEAST_PAIRS = LEAST_WORDS * (2 * IDENTITY - 1) - 1
 RESULT = "doc_id bigint, mark bigint, n_words bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
 PASS_ON = -1
 
@@ -451,7 +452,7 @@ def passages(docs: list[tuple[np.ndarray, list[tuple[list, np.ndarray]]]]) -> li
         return out
     keys, lane = laned(near)
     common = np.bincount(lane, np.isin(keys, laned(theirs)[0]), len(work))
-    work = [work[i] for i in np.flatnonzero(common >= LEAST_WORDS * (2 * IDENTITY - 1) - 1).tolist()]
+    work = [work[i] for i in np.flatnonzero(common >= LEAST_PAIRS).tolist()]
     for _, part, own, other in work:
         for (p, q, n), (p2, q2, _) in zip(part, part[1:], strict=False):
             gaps.append((own[p + n : p2], other[q + n : q2]))
@@ -475,24 +476,82 @@ def passages(docs: list[tuple[np.ndarray, list[tuple[list, np.ndarray]]]]) -> li
     return out
 
 
+def places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1 and so on, size of them for each start."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def pair_hashes(words: np.ndarray) -> np.ndarray:
+    """A hash of each two neighbouring words."""
+    w = words.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return mix64(w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:])
+
+
+#: Pairs of neighbouring words entered in a table of bits at once, and the bits of its size (in bytes).
+ENTERED, TABLE = 1 << 18, 22
+
+
+def likely(own: np.ndarray, own_at: np.ndarray, row: np.ndarray, runs: np.ndarray, runs_at: np.ndarray, other: np.ndarray, other_at: np.ndarray) -> np.ndarray:
+    """Which parts may have enough pairs of neighbouring words in common with the earlier text for passages() to keep them.
+
+    Most parts are chance meetings, the more the larger the table; they end here, many at a time.
+    A part's words of the earlier text enter a table by hash, so that clashes let more parts pass
+    but none go. row: a part's text; own_at, runs_at and other_at: bounds of texts' words, of
+    parts' runs and of parts' earlier words.
+    """
+    n = len(row)
+    low = own_at[row] + np.maximum(runs[runs_at[:-1], 0] - PAD, 0)
+    high = np.maximum.reduceat(runs[:, 0] + runs[:, 2], runs_at[:-1]) + (SEED - 1 + PAD)
+    size = np.maximum(np.minimum(own_at[row] + high, own_at[row + 1]) - low - 1, 0)
+    entered = np.maximum(np.diff(other_at) - 1, 0)
+    ours, theirs = pair_hashes(own), pair_hashes(other)
+    so_far = np.cumsum(np.maximum(entered, size))
+    table = np.zeros(1 << TABLE, bool)
+    common = np.zeros(n, np.int64)
+    x = 0
+    while x < n:
+        y = max(x + 1, int(np.searchsorted(so_far, (so_far[x - 1] if x else 0) + ENTERED, side="right")))
+        salt = mix64(np.arange(x, y, dtype=np.uint64))
+        keys = ((theirs[places(other_at[x:y], entered[x:y])] ^ np.repeat(salt, entered[x:y])) & np.uint64((1 << TABLE) - 1)).astype(np.int64)
+        table[keys] = True
+        hit = table[((ours[places(low[x:y], size[x:y])] ^ np.repeat(salt, size[x:y])) & np.uint64((1 << TABLE) - 1)).astype(np.int64)]
+        table[keys] = False
+        common[x:y] = np.bincount(np.repeat(np.arange(y - x), size[x:y]), hit, y - x)
+        x = y
+    return common >= LEAST_PAIRS
+
+
+def likely_parts(column: pa.Array, own_at: np.ndarray, own: np.ndarray) -> dict[int, list[tuple[list, np.ndarray]]]:
+    """The likely() parts (runs, words of the earlier text) of each row that has any."""
+    counts = np.asarray(column.value_lengths().fill_null(0))
+    runs, other = column.flatten().flatten()
+    if not len(runs):
+        return {}
+    row = np.repeat(np.arange(len(column)), counts)
+    at, raw = spans(runs)
+    runs, runs_at = raw[at[0] : at[-1]].view("<i4").reshape(-1, 3).astype(np.int64), (at - at[0]) // 12
+    at, raw = spans(other)
+    other, other_at = raw[at[0] : at[-1]].view("<i4"), (at - at[0]) // 4
+    out: dict[int, list] = {}
+    for i in np.flatnonzero(likely(own, own_at, row, runs, runs_at, other, other_at)).tolist():
+        out.setdefault(int(row[i]), []).append((runs[runs_at[i] : runs_at[i + 1]].tolist(), other[other_at[i] : other_at[i + 1]].astype(np.int64)))
+    return out
+
+
 @released
 def aligner(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in cut_batches(stream, "text", 2_000_000, 512):
-        texts = batch.column("text").to_pylist()
         at, raw = spans(batch.column("text"))
         start, end, offsets = bounds(raw, at)
         size = np.diff(offsets)
-        found = batch.column("parts").to_pylist()
-        some = [i for i, x in enumerate(found) if x]
-        spans_of: list[list] = [[] for _ in texts]
-        if some:
+        spans_of: list[list] = [[] for _ in range(len(batch))]
+        if len(batch) > batch.column("parts").null_count:
             own_at, words = hashes(batch.column("text"))
             words = (words >> np.uint64(33)).astype(np.int64)
-            docs = []
-            for i in some:
-                parts = [(np.frombuffer(x["runs"], np.int32).reshape(-1, 3).tolist(), np.frombuffer(x["words"], np.int32).astype(np.int64)) for x in found[i]]
-                docs.append((words[own_at[i] : own_at[i + 1]], parts))
-            for i, spans_ in zip(some, passages(docs), strict=True):
+            found = likely_parts(batch.column("parts"), own_at, words)
+            docs = [(words[own_at[i] : own_at[i + 1]], parts) for i, parts in found.items()]
+            for i, spans_ in zip(found, passages(docs), strict=True):
                 spans_of[i] = merged(spans_, 2)
         rest, shas = [], []
         for i, runs in enumerate(spans_of):
