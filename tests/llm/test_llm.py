@@ -555,3 +555,38 @@ def test_chain_dedup_drops_chance_meetings_before_it_aligns(monkeypatch):
     assert got == [sum(b - a for a, b in chain_dedup.merged(x, 2)) for x in whole(all_docs)] + [0, 0]
     assert min(got[:30]) >= 65
     assert sum(seen) < 100  # of 1,200, of which 60 hold a passage
+
+
+def test_minhash_verifies_few_pairs_of_a_large_component(monkeypatch):
+    r = random.Random(12)
+    base = [f"w{r.randrange(900)}" for _ in range(200)] + ["again"] * 12
+    texts = []
+    for i in range(160):  # many that share some of their text, few that are alike
+        words = list(base)
+        for at in r.sample(range(200), 8):
+            words[at] = f"x{r.random()}"
+        texts.append(" ".join(words))
+        if i % 20 == 0:
+            texts.append(" ".join([*words[:-30], "other"]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "mark", "node", "text"])
+    signed = next(minhash_dedup.signer(5)(iter([batch])))
+    t = pa.table({"rep": signed.column("doc_id"), "signature": signed.column("signature"), "text": batch.column("text"), "side": pa.array([2] * len(texts))})
+    exact, calls = minhash_dedup.similarity, []
+    sets = [minhash_dedup.weighted_shingles(*minhash_dedup.hashes(pa.array([x])), 5)[1:] for x in texts]
+    table = np.zeros(minhash_dedup.SLOTS)
+    for i in range(0, len(texts), 9):
+        most = minhash_dedup.at_most(sets[i], sets, table)
+        assert not table.any() and all(m >= exact(sets[i], x) - 1e-9 for m, x in zip(most.tolist(), sets, strict=True))
+    monkeypatch.setattr(minhash_dedup, "similarity", lambda a, b: calls.append(1) or exact(a, b))
+    found = minhash_dedup.verifier(5, 0.68)(t)
+    union = minhash_dedup.blocks.Union(len(texts))
+    for i in range(len(texts)):
+        for j in range(i):
+            if exact(sets[i], sets[j]) >= 0.68:
+                union.join(i, j)
+    got = minhash_dedup.blocks.Union(len(texts))
+    for u, v in zip(*(found.column(c).to_pylist() for c in "uv"), strict=True):
+        got.join(u, v)
+    assert [got.root(i) for i in range(len(texts))] == [union.root(i) for i in range(len(texts))]
+    assert len({union.root(i) for i in range(len(texts))}) > 20
+    assert len(calls) < 1500

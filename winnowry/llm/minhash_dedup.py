@@ -100,6 +100,34 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return total
 
 
+#: Slots, a power of two, of a table of one text's shingles.
+SLOTS = 1 << 20
+
+
+def at_most(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray) -> np.ndarray:
+    """No less than the similarity() of a weighted shingle set to each of others, and equal or close to it where weights are ones.
+
+    A shingle that both have counts one to the sum of all greater weights, if its weight is 1 in
+    both, and else at most its lesser share of a set. table: SLOTS zeros, left so; shingles that
+    clash there only raise the bound.
+    """
+    x, u = one
+    own = (x & np.uint64(SLOTS - 1)).astype(np.int64)
+    np.maximum.at(table, own, u)
+    size = np.array([len(y) for y, _ in others])
+    start = np.cumsum(size) - size
+    v = np.concatenate([w for _, w in others])
+    w = table[(np.concatenate([y for y, _ in others]) & np.uint64(SLOTS - 1)).astype(np.int64)]
+    table[own] = 0
+    shared = np.minimum(w, v)
+    ones = (w == 1) & (v == 1)
+    total_x, total_y = u.sum(), np.add.reduceat(v, start)
+    most = np.add.reduceat(ones, start, dtype=np.float64) / (total_x + total_y - np.add.reduceat(shared, start))
+    rest = np.flatnonzero((shared > 0) & ~ones)
+    of = np.searchsorted(start, rest, side="right") - 1
+    return most + np.bincount(of, np.minimum(w[rest] / total_x, v[rest] / total_y[of]), len(others))
+
+
 def fewest(least: float) -> float:
     """Registers that agree in a pair at the bound, but for one of 100,000 pairs: 4.5 standard deviations below the mean."""
     return REGISTERS * (least - 4.5 * (least * (1 - least) / REGISTERS) ** 0.5)
@@ -145,6 +173,7 @@ def candidates(least: float):
 def verifier(k: int, least: float):
     """Within a pair of blocks of a component, links between texts of enough similarity; as many as connect those that any such pair connects."""
     matches = fewest(least)
+    tables: list[np.ndarray] = []
 
     def work(t: pa.Table):
         rep, sign = np.asarray(t.column("rep")), signatures(t)
@@ -171,12 +200,34 @@ def verifier(k: int, least: float):
                 sets[i] = (g, w)
             return sets[i]
 
+        def possible(some: np.ndarray) -> np.ndarray:
+            """Which pairs may be similar enough: in a large component most are not, and end here, a text's pairs at once."""
+            if not tables:
+                tables.append(np.zeros(SLOTS))
+            most = np.empty(len(some))
+            order = np.argsort(some[:, 0], kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(some[order, 0])) + 1):
+                of = [grams(j) for j in some[own, 1].tolist()]
+                so_far = np.cumsum([len(g) for g, _ in of])
+                a = 0
+                while a < len(of):
+                    b = max(a + 1, int(np.searchsorted(so_far, (so_far[a - 1] if a else 0) + SLOTS, side="right")))
+                    most[own[a:b]] = at_most(grams(int(some[own[0], 0])), of[a:b], tables[0])
+                    a = b
+            return most >= least - 1e-9
+
         union, u, v = blocks.Union(n), [], []
-        for i, j, _ in pairs.tolist():  # alike pairs of one component need no check: their link changes nothing
-            if union.root(i) != union.root(j) and similarity(grams(i), grams(j)) >= least:
-                union.join(i, j)
-                u.append(int(rep[i]))
-                v.append(int(rep[j]))
+        a, size = 0, 4096
+        while a < len(pairs):  # alike pairs of one component need no check: their link changes nothing
+            some = pairs[a : a + size]
+            a, size = a + size, min(4 * size, 1 << 17)
+            root = np.array([union.root(i) for i in range(n)])
+            some = some[root[some[:, 0]] != root[some[:, 1]]]
+            for i, j, _ in (some[possible(some)] if len(some) > 50 else some).tolist():
+                if union.root(i) != union.root(j) and similarity(grams(i), grams(j)) >= least:
+                    union.join(i, j)
+                    u.append(int(rep[i]))
+                    v.append(int(rep[j]))
         return links(u, v)
 
     return work
