@@ -43,7 +43,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         gone = common.kept_table(found.where("not kept").select(F.struct("doc_id", "mark").alias("gone")).distinct(), "near-duplicates")
         shared = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    out = docs.join(gone, (docs["doc_id"].cast("bigint") == gone["gone"]["doc_id"]) & (mark == gone["gone"]["mark"]), "left_anti")
+    doc_id = docs["doc_id"].cast("bigint")
+    possible, others = common.sieved(docs, F.xxhash64(doc_id, mark), gone, F.xxhash64("gone.doc_id", "gone.mark"))
+    out = possible.join(gone, (doc_id == gone["gone"]["doc_id"]) & (mark == gone["gone"]["mark"]), "left_anti").unionByName(others)
     if not shared:
         return out
     blank = (F.col("doc_id").isNull()) | (F.length(F.trim(F.coalesce(F.col("text").cast("string"), F.lit("")))) == 0)

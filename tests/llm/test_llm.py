@@ -590,3 +590,51 @@ def test_minhash_verifies_few_pairs_of_a_large_component(monkeypatch):
     assert [got.root(i) for i in range(len(texts))] == [union.root(i) for i in range(len(texts))]
     assert len({union.root(i) for i in range(len(texts))}) > 20
     assert len(calls) < 1500
+
+
+def shuffled(spark, work) -> int:
+    """Bytes that work writes to shuffles."""
+
+    def written() -> dict[int, int]:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        gateway = spark.sparkContext._gateway
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before = written()
+    work()
+    return sum(n for k, n in written().items() if k not in before)
+
+
+@pytest.mark.parametrize(("stage", "most"), [("minhash_dedup", 0.5), ("substring_dedup", 1.7)])
+def test_pipeline_sends_no_texts_that_a_join_leaves_alone(spark, tmp_path, stage, most):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(8)
+    rows = [(i, " ".join(f"{r.getrandbits(160):040x}" for _ in range(500))) for i in range(80)]
+    rows += [(100 + i, rows[i][1].replace(rows[i][1][:40], "edited")) for i in range(3)]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    d = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")  # as if there were more of them than may be broadcast
+    try:
+        sent = shuffled(spark, lambda: dict(pipeline.STAGES)[stage](spark, d, str(tmp_path)).write.parquet(str(tmp_path / "out")))
+    finally:
+        spark.conf.set(setting, before)
+    got = {x.doc_id: x.text for x in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert all(got[i] == t for i, t in rows[:80])
+    assert [i for i in got if i >= 100] == [] if stage == "minhash_dedup" else all(len(got[100 + i].split()) <= 1 for i in range(3))
+    assert 0 < sent < most * sum(len(t) for _, t in rows)
+
+
+def test_sieve_loses_nothing_where_all_keys_clash(spark, monkeypatch):
+    import pyspark.sql.functions as F
+
+    from winnowry.llm import common
+
+    monkeypatch.setattr(common, "SIEVE", 1)
+    rows, others = spark.range(0, 3000).withColumn("_slot", F.lit("x")), spark.range(0, 3000, 50).selectExpr("id as other")
+    some, rest = common.sieved(rows, F.xxhash64("id"), others, F.xxhash64("other"))
+    some, rest = ({x.id for x in part.collect()} for part in (some, rest))
+    assert some | rest == set(range(3000)) and not some & rest and some >= set(range(0, 3000, 50)) and rest
+    assert common.sieved(rows, F.xxhash64("id"), others.limit(0), F.xxhash64("other"))[0].count() == 0

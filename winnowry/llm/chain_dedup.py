@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered_words, mix64, released, table
+from .common import lowered_words, mix64, released, sieved, table
 from .words import bounds, cut_batches, hashes, spans
 
 SEED, PAD, DROP, FLUSH, NEAR, GROUP, MOST = 5, 40, 12, 1_500_000, 16, 500, 3_000_000
@@ -627,8 +627,11 @@ def cut(docs: DataFrame) -> DataFrame:
     unless it holds a repeated passage.
     """
     found = cut_passages(documents(docs)[0]).where("n_removed > 0").select(F.struct("doc_id", "mark", "kept").alias("found"))
+    found = table(found, "cut", release=True)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     text = F.col("row.text").cast("string")
-    rows = rows.join(found, (F.col("row.doc_id").cast("bigint") == F.col("found.doc_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("found.mark")), "left")
+    doc_id, mark = F.col("row.doc_id").cast("bigint"), F.xxhash64(F.coalesce(text, F.lit("")))
+    possible, others = sieved(rows, F.xxhash64(doc_id, mark), found, F.xxhash64("found.doc_id", "found.mark"))
+    rows = possible.join(found, (doc_id == F.col("found.doc_id")) & (mark == F.col("found.mark")), "left").unionByName(others, allowMissingColumns=True)
     left = {"text": F.coalesce("found.kept", text), "n_chars": F.when(F.col("found").isNull(), F.col("row.n_chars")).otherwise(F.char_length("found.kept").cast("bigint")) if "n_chars" in docs.columns else None}
     return rows.select(*((left[c] if c in left else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

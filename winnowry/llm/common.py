@@ -13,7 +13,7 @@ import time
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WS = "[\\x20\\x09-\\x0D]+"
@@ -100,6 +100,25 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Most rows, of 64 bits each, that sieved() broadcasts; a power of two.
+SIEVE = 1 << 19
+
+
+def sieved(df: DataFrame, key: Column, others: DataFrame, other_key: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key, a hash, may be among those of others, and all the rest, whose key is not.
+
+    Rows are told apart where they lie, by one bit for each key of others in a broadcast table of
+    bounded size, so that a join with few of many texts need not send the others. Keys that clash
+    there let a row be taken for a possible one (for a million keys one row in 30), never the other
+    way; what is joined must be joined exactly afterwards.
+    """
+    slot = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(SIEVE - 1)
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(63).cast("int"))
+    bits = F.broadcast(others.select(slot(other_key).alias("_slot"), bit(other_key).alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits")))
+    met = (slot(key) == bits["_slot"]) & (bits["_bits"].bitwiseAND(bit(key)) != 0)
+    return df.join(bits, met, "left_semi"), df.join(bits, met, "left_anti")
+
+
 def released(batches):
     """For functions that mapInArrow runs: no garbage collection of cycles meanwhile; memory goes back to the system when the task ends."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import components, gram_hashes, mix64, released, table
+from .common import components, gram_hashes, mix64, released, sieved, table
 from .words import cut_batches, hashes
 
 REGISTERS, BANDS, ROWS, BLOCK = 126, 21, 6, 1024
@@ -249,7 +249,8 @@ def classes(docs: DataFrame, least: float = 0.8, k: int = 5) -> DataFrame:
     met = blocks.spread(bands, ["band", "key"], "rep", BLOCK).join(reps.select("rep", "signature"), "rep")
     near = components(blocks.each(met, ["band", "key"], candidates(least), "u bigint, v bigint"))
     members = table(reps.select("rep", "signature").join(near, F.col("rep") == F.col("node")).select("rep", "signature", "component"), "members")
-    texts = known.select("node", "text").join(members, F.col("node") == F.col("rep")).select("rep", "component", "signature", "text")
+    possible, _ = sieved(known.select("node", "text"), F.xxhash64("node"), members, F.xxhash64("rep"))
+    texts = possible.join(members, F.col("node") == F.col("rep")).select("rep", "component", "signature", "text")
     spread = blocks.spread(texts.dropDuplicates(["rep"]) if shared else texts, ["component"], "rep", BLOCK)
     found = components(blocks.each(spread, ["component"], verifier(k, least), "u bigint, v bigint"))
     of_text = reps.select("k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
