@@ -170,6 +170,39 @@ def test_dedup_by_index_equals_all_comparisons():
     assert dedup.partial_ratio("abc", "xxabcxx") == 100 and dedup.ratio("", "") == 100
 
 
+def test_near_duplicates_of_long_pages_take_few_comparisons(monkeypatch):
+    r = random.Random(8)
+    word = [f"{a}{b}en" for a in ("st", "br", "kl", "m", "w") for b in ("a", "e", "o", "u")]
+    texts = [" ".join(r.choice(word) for _ in range(r.randrange(12, 60))) for _ in range(300)]
+    texts += [texts[7][:-1] + "x", texts[9][10:]]
+    made = []
+    monkeypatch.setattr(dedup, "lcs", lambda a, b, lcs=dedup.lcs: made.append(1) or lcs(a, b))
+    flags = dedup.greedy(texts)
+    assert flags == [False] * 300 + [True] * 2 and len(made) < 2_000
+    monkeypatch.setattr(dedup, "SEARCHED", 0)
+    assert dedup.greedy(texts) == flags
+
+
+def test_white_space_without_rewriting_equals_rewriting(spark):
+    r = random.Random(4)
+    given = ["", " ", "a", "a b", " a", "a ", "a  b", "\r", "a \r b", "a\n\n b\u2003c", "x\x85y", "tab\tz \u3000", "“q” \u00a0é", "\U0001f600 a  b"]
+    given += ["".join(r.choice("ab é \t\n\r\x1c\u2028😀") for _ in range(r.randrange(1, 15))) for _ in range(300)]
+    c = F.col("c")
+    df = spark.createDataFrame([(t,) for t in [*given, None]], "c string")
+    rows = df.select("c", text.squeezed(c).alias("s"), text.one_line(c).alias("o"), text.words(c).alias("w"), text.strip(c).alias("t"), text.normalize_whitespace(c).alias("n")).collect()
+    import re
+
+    for x in rows:
+        if x.c is None:
+            assert x.s is x.o is x.w is x.t is x.n is None
+            continue
+        lines = re.sub(r"\s+", lambda m: "\n" if "\n" in m[0] or "\r" in m[0] else " ", x.c)
+        assert (x.s, x.o, x.w, x.t, x.n) == (lines.strip(), " ".join(x.c.split()), x.c.split(), x.c.strip(), lines)
+    # long runs of blanks took the square of their length
+    long = spark.createDataFrame([("a" + " " * 300_000 + "b",)], "c string")
+    assert long.select(text.squeezed(c).alias("s"), text.normalize_whitespace(c).alias("n")).first() == ("a b", "a b")
+
+
 def test_scores(spark):
     df = spark.createDataFrame([("a b c", "a c d"), ("", ""), ("x", "")], "pred string, gold string")
     got = evaluate.score(df).collect()

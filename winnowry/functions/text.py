@@ -15,14 +15,44 @@ from pyspark.sql.types import StringType
 SPACE = "\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 
 
+_ENDS = "".join(chr(i) for i in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(_ENDS))
 
 
 def normalize_whitespace(c: Column) -> Column:
     """Runs of white space with a line break become one line feed, others one blank."""
-    lines = F.regexp_replace(c, f"[{SPACE}]*[\\n\\r][{SPACE}]*", "\n")
-    return F.regexp_replace(lines, f"[{SPACE}&&[^\\n]]+", " ")
+    # a match begins at a run's first character only, else a long run is gone through from each of its places
+    lines = F.regexp_replace(c, f"(?<![{SPACE}])[{SPACE}&&[^\\n\\r]]*+[\\n\\r][{SPACE}]*+", "\n")
+    lines = F.when(c.contains("\n") | c.contains("\r"), lines).otherwise(c)
+    # single blanks stay as they are
+    return F.regexp_replace(lines, f"[{SPACE}&&[^\\n ]][{SPACE}&&[^\\n]]*+| [{SPACE}&&[^\\n]]++", " ")
+
+
+def plain(c: Column) -> Column:
+    """Surely words between single blanks: no other white space, none at the ends. Such a line is told by one look at it and needs no rewriting."""
+    return (c != "") & ~c.contains("  ") & ~c.startswith(" ") & ~c.endswith(" ") & ~c.rlike("[^ -~\\xA1-\\x{167F}\\x{2010}-\\x{2027}\\x{3001}-\\x{10FFFF}]")
+
+
+def one_line(c: Column) -> Column:
+    """Stripped, all runs of white space one blank."""
+    return F.when(plain(c), c).otherwise(_joined(c))
+
+
+def squeezed(c: Column) -> Column:
+    """normalize_whitespace(strip(c)), in time that grows with the text's length whatever it holds."""
+    cut = F.transform(F.split(c, "[\\n\\r]+"), _joined)
+    return F.when(plain(c), c).when(~c.contains("\n") & ~c.contains("\r"), _joined(c)).otherwise(F.array_join(F.filter(cut, lambda x: x != ""), "\n"))
+
+
+def _runs(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(f"[^{SPACE}]+"), F.lit(0))
+
+
+def _joined(c: Column) -> Column:
+    return F.array_join(_runs(c), " ")
 
 
 def is_blank(c: Column) -> Column:
@@ -30,7 +60,7 @@ def is_blank(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, f"[{SPACE}]+"), lambda w: w != "")
+    return F.when(plain(c), F.split(c, " ")).otherwise(_runs(c))
 
 
 def escape_angle_emails(c: Column) -> Column:
@@ -57,8 +87,7 @@ def xml_safe(c: Column) -> Column:
 
 
 def clean_forum_date(c: Column) -> Column:
-    one = F.regexp_replace(strip(normalize_whitespace(c)), "\\n", " ")
-    return F.regexp_replace(F.regexp_replace(one, "(?<=[0-9])(?:st|nd|rd|th)\\b", ""), "^[ ,]+|[ ,]+$", "")
+    return F.regexp_replace(F.regexp_replace(one_line(c), "(?<=[0-9])(?:st|nd|rd|th)\\b", ""), "^[ ,]+|[ ,]+$", "")
 
 
 def js_unescape(c: Column) -> Column:

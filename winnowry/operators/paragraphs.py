@@ -94,7 +94,7 @@ def from_pages(pages: DataFrame, forum_qa: bool = True, fix_encoding: bool = Tru
 
 def from_lines(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
     """Lines of plain texts as paragraph rows, in expressions alone."""
-    line = lambda x, i: F.struct(i.alias("idx"), text.normalize_whitespace(text.strip(x)).alias("text"))
+    line = lambda x, i: F.struct(i.alias("idx"), text.squeezed(x).alias("text"))
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(body), F.lit("")), "\n"), line), lambda r: r["text"] != "")
     # blank lines go inside the array: a filter on the rows would be inferred through every later column
     rows = docs.select(F.col(key).alias("page_id"), *(c for c in docs.columns if c not in (key, body)), F.inline(lines))
