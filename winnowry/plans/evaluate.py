@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import difflib
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -209,11 +213,38 @@ def category(pred: Column, gold: Column, metric: Column, noisy: Column) -> Colum
 
 
 def oracle_labels(paragraphs: DataFrame, gold: DataFrame, least: float = 0.6) -> DataFrame:
-    """Adds keep: at least that share of the paragraph's tokens is in the page's wanted text."""
-    wanted = gold.select("page_id", F.array_distinct(tokens(F.col("gold"))).alias("_g"))
-    rows = paragraphs.join(wanted, "page_id").withColumn("_t", tokens(F.col("text")))
-    share = F.when(F.size("_t") > 0, F.size(F.filter("_t", lambda t: F.array_contains("_g", t))) / F.size("_t")).otherwise(0.0)
-    return rows.withColumn("overlap", share).withColumn("keep", F.col("overlap") >= least).drop("_g", "_t")
+    """Adds overlap, the share of the paragraph's tokens that the page's wanted text has, and keep: at least that share.
+
+    The wanted text comes ahead of its page's paragraphs and is kept as a set while they pass, so
+    the work is in proportion to the tokens; an array would be searched for each of them.
+    """
+    names = paragraphs.columns
+    wanted = gold.select("page_id", F.col("gold").alias("_g"), F.lit(0).alias("_k"))
+    both = paragraphs.withColumns({"_g": F.lit(None).cast("string"), "_k": F.lit(1)}).unionByName(wanted, allowMissingColumns=True)
+    both = both.where("page_id is not null").repartition("page_id").sortWithinPartitions("page_id", "_k")
+    both = both.select(*names, "_k", tokens(F.when(F.col("_k") == 0, F.col("_g")).otherwise(F.col("text"))).alias("_t"))
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sets = None, []
+        for batch in stream:
+            found = batch.column("_t")
+            ends = [0, *accumulate(n or 0 for n in pc.list_value_length(found).to_pylist())]
+            values = found.flatten().to_pylist()
+            at, share = [], []
+            for i, (page, paragraph) in enumerate(zip(batch.column("page_id").to_pylist(), batch.column("_k").to_pylist(), strict=True)):
+                if page != key:
+                    key, sets = page, []
+                own = values[ends[i] : ends[i + 1]]
+                if not paragraph:
+                    sets.append(set(own))
+                    continue
+                for known in sets:
+                    at.append(i)
+                    share.append(sum(t in known for t in own) / len(own) if own else 0.0)
+            yield batch.select(names).take(pa.array(at, pa.int32())).append_column("overlap", pa.array(share, pa.float64()))
+
+    schema = StructType([*(StructField(f.name, f.dataType) for f in paragraphs.schema), StructField("overlap", DoubleType())])
+    return both.mapInArrow(batches, schema).withColumn("keep", F.col("overlap") >= least)
 
 
 def oracle_buckets(labelled: DataFrame) -> DataFrame:
