@@ -57,7 +57,8 @@ PIECES: list[tuple[str, list[tuple[str, str, str, int, bool]]]] = [
 def base_lines():
     """A document's lines of letters, digits and single blanks, without empty ones."""
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "[^A-Za-z0-9]+", " "))), lambda x: x != "")
+    # runs found and joined cost a fifth of what putting a blank for all else does
+    return F.filter(F.transform(lines, lambda x: F.array_join(F.regexp_extract_all(x, F.lit("[A-Za-z0-9]+"), F.lit(0)), " ")), lambda x: x != "")
 
 
 BASE_SQL = "base as (select doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[^A-Za-z0-9]+', ' ', 'g'))), lambda x: x <> '') as lines from documents)"
