@@ -22,13 +22,14 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_ENDS))
 
 
-def normalize_whitespace(c: Column) -> Column:
+#: Runs of white space that are more than one blank.
+_RUN = re.compile(r" \s+|[^\S ]\s*")
+
+
+@pandas_udf(StringType())
+def normalize_whitespace(s: pd.Series) -> pd.Series:
     """Runs of white space with a line break become one line feed, others one blank."""
-    # a match begins at a run's first character only, else a long run is gone through from each of its places
-    lines = F.regexp_replace(c, f"(?<![{SPACE}])[{SPACE}&&[^\\n\\r]]*+[\\n\\r][{SPACE}]*+", "\n")
-    lines = F.when(c.contains("\n") | c.contains("\r"), lines).otherwise(c)
-    # single blanks stay as they are
-    return F.regexp_replace(lines, f"[{SPACE}&&[^\\n ]][{SPACE}&&[^\\n]]*+| [{SPACE}&&[^\\n]]++", " ")
+    return s.map(lambda t: _RUN.sub(lambda m: "\n" if "\n" in m[0] or "\r" in m[0] else " ", t), na_action="ignore")
 
 
 def plain(c: Column) -> Column:
@@ -87,7 +88,7 @@ def xml_safe(c: Column) -> Column:
 
 
 def clean_forum_date(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(one_line(c), "(?<=[0-9])(?:st|nd|rd|th)\\b", ""), "^[ ,]+|[ ,]+$", "")
+    return F.btrim(F.regexp_replace(one_line(c), "([0-9])(?:st|nd|rd|th)\\b", "$1"), F.lit(" ,"))
 
 
 def js_unescape(c: Column) -> Column:
@@ -115,7 +116,9 @@ def one_byte(ch: str) -> int:
 
 #: Characters that may be the second and later bytes of a UTF-8 sequence.
 _LATER = "".join({chr(b) for b in range(0x80, 0xC0)} | {bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xC0)})
-_SEQUENCE = re.compile(f"[\u00c2-\u00df][{_LATER}]|[\u00e0-\u00ef][{_LATER}]{{2}}|[\u00f0-\u00f4][{_LATER}]{{3}}")
+# each pattern begins with one set, by which a search passes over all other letters at once
+_SEQUENCE = re.compile(f"[\u00c2-\u00f4](?:(?<=[\u00c2-\u00df])[{_LATER}]|(?<=[\u00e0-\u00ef])[{_LATER}]{{2}}|(?<=[\u00f0-\u00f4])[{_LATER}]{{3}})")
+_BROKEN = re.compile("[\u00c2\u00c3\u00e2\u00f0](?:(?<=[\u00c2\u00c3])[\u0080-\u00bf\u0192]|(?<=\u00e2)[\u20ac\u0080]|(?<=\u00f0)[\u0178\u009f]|(?<=\u00c3)[\u0152-\u2122])")
 
 
 def _decoded(m: re.Match) -> str:
@@ -127,7 +130,7 @@ def _decoded(m: re.Match) -> str:
 
 def fix_mojibake(text: str | None) -> str | None:
     """UTF-8 that was read in a one-byte encoding, up to twice over, read as UTF-8; each sequence by itself, so other characters don't hinder it."""
-    if not text or not re.search(r"[\u00c2\u00c3][\u0080-\u00bf]|\u00e2\u20ac|\u00e2\u0080|\u00f0\u0178|\u00f0\u009f|[\u00c2\u00c3]\u0192|\u00c3[\u0152-\u2122]", text):
+    if not text or text.isascii() or not _BROKEN.search(text):
         return text
     for _ in range(2):
         new = _SEQUENCE.sub(_decoded, text)
@@ -196,14 +199,14 @@ def latex_text(tex: str | None) -> str | None:
         return None
     t = tex.strip().strip("$")
     t = re.sub(r"\\(?:mathrm|mathbf|mathit|mathcal|mathbb|text|textbf|operatorname)\s*\{([^{}]*)\}", r"\1", t)
-    for _ in range(4):
+    for _ in range(4 if "frac" in t else 0):
         t = re.sub(r"\\d?t?frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", r"(\1)/(\2)", t)
     t = re.sub(r"\\sqrt\s*\{([^{}]*)\}", r"√(\1)", t)
     t = re.sub(r"\\(?:left|right)(?![a-zA-Z])", "", t)
     t = re.sub(r"\\([a-zA-Z]+)", lambda m: MACROS.get(m[1], m[0]), t)
     t = re.sub(r"\^\{?([0-9n+-]+)\}?", lambda m: m[1].translate(POWERS), t)
     t = re.sub(r"\\[a-zA-Z]+|[{}\\]", " ", t)
-    return re.sub(r"\s+", " ", t).strip()
+    return " ".join(t.split())
 
 
 @pandas_udf(StringType())
