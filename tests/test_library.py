@@ -291,3 +291,24 @@ def test_overlap_is_looked_up_in_sets(spark):
     assert got == [(1, 0, "a B c a", 0.75, True), (1, 1, "x_1 a", 0.5, True), (1, 2, "", 0.0, False), (2, 0, "é z", 0.0, False), (2, 0, "é z", 0.5, True), (4, 0, None, 0.0, False)]
     # a search of the page's tokens for each token is what took the time
     assert "array_contains" not in labels._jdf.queryExecution().toString()
+
+
+def test_broken_encodings_are_found_by_first_letters():
+    import re
+
+    plainly = re.compile("[\u00c2\u00c3][\u0080-\u00bf]|\u00e2\u20ac|\u00e2\u0080|\u00f0\u0178|\u00f0\u009f|[\u00c2\u00c3]\u0192|\u00c3[\u0152-\u2122]")
+    sequence = re.compile(f"[\u00c2-\u00df][{text._LATER}]|[\u00e0-\u00ef][{text._LATER}]{{2}}|[\u00f0-\u00f4][{text._LATER}]{{3}}")
+    r = random.Random(6)
+    letters = "a\u00c2\u00c3\u00e2\u00f0\u20ac\u0080\u0178\u009f\u0192\u0152\u2122\u00bf\u00e9\u00f4\u00df\u00a9"
+    for _ in range(20_000):
+        t = "".join(r.choice(letters) for _ in range(r.randrange(1, 9)))
+        assert bool(plainly.search(t)) == bool(text._BROKEN.search(t))
+        assert [m.span() for m in sequence.finditer(t)] == [m.span() for m in text._SEQUENCE.finditer(t)]
+
+
+def test_pages_are_parsed_once(monkeypatch):
+    made = []
+    monkeypatch.setattr(paragraphs, "parse", lambda html, parse=paragraphs.parse: made.append(1) or parse(html))
+    monkeypatch.setattr(segment, "parse", lambda html, parse=segment.parse: made.append(1) or parse(html))
+    rows = paragraphs.page_rows(1, "<h1>T</h1><p>caf\u00c3\u00a9 <b>x</b><ul><li>a</ul>", variants=False)
+    assert [r[3] for r in rows] == ["T", "caf\u00e9 x", "- a"] and len(made) == 1

@@ -31,12 +31,14 @@ def page_rows(page_id, html: str | None, forum_qa: bool = True, fix_encoding: bo
         return []
     try:
         out = []
+        source = segment.repaired(html) if fix_encoding else html
+        root = parse(source)
         if forum_qa:
-            source = segment.repaired(html) if fix_encoding else html
-            hit = handlers.handled(parse(source), source)
+            # handlers change copies only, so the page needs no second parse
+            hit = handlers.handled(root, source)
             if hit:
                 return rows_of(page_id, 0, hit[1], hit[0])
-        out += rows_of(page_id, 0, segment.paragraphs(segment.tree(html, fix_encoding, preprocessor)), "page")
+        out += rows_of(page_id, 0, segment.paragraphs(segment.shaped(root, preprocessor)), "page")
         if variants:
             merged = segment.merged_documents(html)
             if merged:
