@@ -312,3 +312,7 @@ def test_pages_are_parsed_once(monkeypatch):
     monkeypatch.setattr(segment, "parse", lambda html, parse=segment.parse: made.append(1) or parse(html))
     rows = paragraphs.page_rows(1, "<h1>T</h1><p>caf\u00c3\u00a9 <b>x</b><ul><li>a</ul>", variants=False)
     assert [r[3] for r in rows] == ["T", "caf\u00e9 x", "- a"] and len(made) == 1
+
+
+def test_single_blanks_are_not_rewritten():
+    assert segment.squeeze("a b\t c \r d  e\x0bf\n") == "a b c\nd e f\n" and segment.RUN.search("a b c") is None
